@@ -22,19 +22,21 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, at_le
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, left_on: str, right_on: str, how: str = "inner",
-                split_hot: bool = False) -> DataFrame:
+                split_hot: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
     """Attach the one matching lookup row to each fact; misses are dropped or kept by ``how``.
 
     Spark picks the join by measured size and splits skewed partitions at run
     time. ``split_hot`` takes hot keys out of the shuffle instead: their lookup
-    rows, at most 1/HOT_SHARE of them since the lookup key is unique, are sent to the facts.
+    rows, at most 1/HOT_SHARE of them since the lookup key is unique, are sent to
+    the facts. A key needs ``hot_rows`` rows to be worth it.
     """
     def joined(f: DataFrame, side: DataFrame) -> DataFrame:
         return f.join(side, f[left_on] == side[right_on], how)
 
     if not split_hot:
         return joined(facts, lookup)
-    hot = F.broadcast(hot_keys(facts.filter(quoted(left_on).isNotNull()), [left_on]).withColumnRenamed(left_on, "_hot"))
+    hot = hot_keys(facts.filter(quoted(left_on).isNotNull()), [left_on], at_least=hot_rows)
+    hot = F.broadcast(hot.select(quoted(left_on).alias("_hot")))
     cold_facts = facts.join(hot, quoted(left_on) == F.col("_hot"), "left_anti")
     hot_facts = facts.join(hot, quoted(left_on) == F.col("_hot"), "left_semi")
     hot_lookup = lookup.join(hot, quoted(right_on) == F.col("_hot"), "left_semi")

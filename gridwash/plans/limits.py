@@ -37,16 +37,22 @@ def _decide(max_requests: int, window_us: int):
                     accepted.popleft()
                 if len(accepted) >= max_requests:
                     ok.append(False)
-                    wait.append((accepted[0] + window_us - at) / 1e6)
+                    wait.append(accepted[0] + window_us - at)
                 else:
                     accepted.append(at)
                     ok.append(True)
-                    wait.append(None)
-            out = batch.assign(accepted=ok, retry_after=pd.Series(wait, index=batch.index, dtype="float64"))
-            yield out.loc[~out["carried"], ["user_id", "at", "request_id", "accepted", "retry_after"]]
+                    wait.append(0)
+            out = batch.assign(accepted=ok, wait_us=wait)
+            yield out.loc[~out["carried"], ["user_id", "at", "request_id", "accepted", "wait_us"]]
     return run
 
 
+def with_retry_after(decided: DataFrame) -> DataFrame:
+    """Seconds until the next request would pass, NULL for accepted ones."""
+    wait = F.when(~F.col("accepted"), F.col("wait_us") / F.lit(1e6))
+    return decided.withColumn("retry_after", wait).drop("wait_us")
+
+
 def rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int = 60) -> DataFrame:
     """Decision and wait for each request of ``(user_id, at, request_id)``, ``at`` in microseconds.
 
@@ -79,8 +85,8 @@ def rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int
                      .sortWithinPartitions("user_id", "run", "at", "request_id")
                      .mapInPandas(_decide(max_requests, window_us),
                                   f"user_id {kind['user_id']}, at bigint, request_id {kind['request_id']}, "
-                                  "accepted boolean, retry_after double"))
-    return passed.unionByName(decided)
+                                  "accepted boolean, wait_us bigint"))
+    return passed.unionByName(with_retry_after(decided))
 
 
 def requests_in_window(requests: DataFrame, window_seconds: int = 60) -> DataFrame:

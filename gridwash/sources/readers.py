@@ -51,7 +51,7 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_csv_lenient(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                     sep: str | None = None) -> tuple[DataFrame, DataFrame]:
+                     sep: str | None = None, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """Every row, short ones padded with NULL, and separately the lines that did not fit with their raw text."""
     line = _first_line(spark, path)
     if "\x00" in line or not line.strip():
@@ -60,7 +60,7 @@ def read_csv_lenient(spark: SparkSession, path: str, schema: T.StructType | None
         sep = sep or sniff_delimiter(spark, path)
         schema = schema or _csv_schema(spark, path, sep, 1.0)
         marked = T.StructType([*schema.fields, T.StructField(RAW, T.StringType())])
-        df = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+        df = (spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", RAW).schema(marked).csv(path))
     except AnalysisException as exc:
         raise UnreadableFile("This file could not be read as a table.") from exc

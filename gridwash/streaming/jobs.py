@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridwash.plans.limits import with_retry_after
 from gridwash.plans.steps import ROW_WISE, Step, replay
 from gridwash.sources.ingest import sanitize_columns
 
@@ -71,11 +72,11 @@ def stream_keep_first(events: DataFrame, keys: Sequence[str], delay: str = "1 da
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-_DECISIONS = "user_id bigint, at bigint, request_id bigint, accepted boolean, retry_after double"
+_DECISIONS = "user_id bigint, at bigint, request_id bigint, accepted boolean, wait_us bigint"
 
 
 def stream_rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int = 60,
-                      delay: str = "0 seconds") -> DataFrame:
+                      delay: str = "1 minute") -> DataFrame:
     """The exact request limit over a stream of ``(user_id, ts, at, request_id)``.
 
     State per user is the accepted times of the last window, at most
@@ -95,17 +96,17 @@ def stream_rate_limit(requests: DataFrame, max_requests: int = 30, window_second
             accepted = [t for t in accepted if t > at - window_us]
             if len(accepted) >= max_requests:
                 ok.append(False)
-                wait.append((accepted[0] + window_us - at) / 1e6)
+                wait.append(accepted[0] + window_us - at)
             else:
                 accepted.append(int(at))
                 ok.append(True)
-                wait.append(None)
+                wait.append(0)
         state.update((accepted,))
         until = int(rows["at"].iloc[-1] + window_us) // 1000 + 1
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield rows[["user_id", "at", "request_id"]].assign(
-            accepted=ok, retry_after=pd.Series(wait, index=rows.index, dtype="float64"))
+        yield rows[["user_id", "at", "request_id"]].assign(accepted=ok, wait_us=wait)
 
-    return (requests.withWatermark("ts", delay).groupBy("user_id")
-            .applyInPandasWithState(decide, _DECISIONS, "accepted array<bigint>", "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    decided = (requests.withWatermark("ts", delay).groupBy("user_id")
+               .applyInPandasWithState(decide, _DECISIONS, "accepted array<bigint>", "append",
+                                       GroupStateTimeout.EventTimeTimeout))
+    return with_retry_after(decided)
