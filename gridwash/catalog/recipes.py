@@ -219,9 +219,9 @@ u AS (SELECT doc_id, CASE WHEN starts_with(q, '```') THEN regexp_replace(regexp_
 c AS (SELECT doc_id, regexp_replace(regexp_replace(q, ';+$', ''), '^\s+|\s+$', '', 'g') AS cleaned_sql FROM u),
 b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(cleaned_sql, '''[^'']*''', '''''', 'g'),
       '"[^"]*"', '""', 'g'), '`[^`]*`', '``', 'g') AS bare FROM c),
-w AS (SELECT *, COALESCE({", ".join(f"CASE WHEN regexp_matches(bare, '(?i)\b{w}\b') THEN '{w}' END" for w in _WORDS)})
+w AS (SELECT *, COALESCE({", ".join(rf"CASE WHEN regexp_matches(bare, '(?i)\b{w}\b') THEN '{w}' END" for w in _WORDS)})
         AS word,
-      COALESCE({", ".join(f"upper(regexp_replace(NULLIF(regexp_extract(bare, '(?is){c}'), ''), '[( \t]+$', ''))" for c in _CALLS)})
+      COALESCE({", ".join(rf"upper(regexp_replace(NULLIF(regexp_extract(bare, '(?is){c}'), ''), '[( \t]+$', ''))" for c in _CALLS)})
         AS call FROM b),
 v AS (SELECT *, CASE WHEN cleaned_sql = '' THEN 'empty'
         WHEN NOT regexp_matches(cleaned_sql, '(?i)^(?:select|with)') THEN 'not a select'

@@ -114,13 +114,10 @@ def c11(t: Tables):
 
 
 @query("c12_arrays_as_json", """
-SELECT l_orderkey, '[' || string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) || ']' AS lines
-FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d GROUP BY 1""")
+SELECT l_orderkey, l_linenumber, '[' || l_partkey || ',' || l_suppkey || ']' AS sources FROM lineitem""")
 def c12(t: Tables):
-    """An order has at most seven line numbers."""
-    lines = (t.lineitem.select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey")
-             .agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines")))
-    return nested.flatten_struct(lines)
+    return nested.flatten_struct(t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.array("l_partkey", "l_suppkey").alias("sources")))
 
 
 @query("c13_flatten_json_text", """
@@ -139,14 +136,22 @@ def c13(t: Tables):
 
 
 @query("c14_unwrap_array", """
-SELECT CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part, l_quantity AS qty FROM lineitem""")
+SELECT CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part, l_quantity AS qty FROM lineitem
+UNION ALL SELECT CAST(-l_linenumber AS BIGINT), l_suppkey, l_tax FROM lineitem""")
 def c14(t: Tables):
-    """One record per line item pair, wrapped and unwrapped again."""
-    wrapped = (t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-               .agg(F.collect_list(F.struct(F.col("l_linenumber").cast("bigint").alias("line"),
-                                            F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty")))
-                    .alias("items")))
-    return nested.unwrap_array(wrapped)
+    """Each line item as a record that wraps two items."""
+    def item(line, part, qty):
+        return F.struct(line.cast("bigint").alias("line"), F.col(part).alias("part"), F.col(qty).alias("qty"))
+
+    items = F.array(item(F.col("l_linenumber"), "l_partkey", "l_quantity"),
+                    item(-F.col("l_linenumber"), "l_suppkey", "l_tax"))
+    return nested.unwrap_array(t.lineitem.select("l_orderkey", items.alias("items")))
+
+
+@query("c14_unwrap_scalars", """
+SELECT CAST(l_partkey AS VARCHAR) AS value FROM lineitem UNION ALL SELECT CAST(l_suppkey AS VARCHAR) FROM lineitem""")
+def c14_scalars(t: Tables):
+    return nested.unwrap_array(t.lineitem.select(F.array("l_partkey", "l_suppkey").alias("items")))
 
 
 @query("c15_redact_literals", r"""

@@ -14,10 +14,13 @@ from gridwash.operators.segments import row_index, sort_columns, tie_break
 SMALL_LIMIT = 100_000
 
 
-def sort_rows(df: DataFrame, sort: Sequence[str | tuple[str, str] | dict]) -> DataFrame:
-    """NULLs last in both directions. Rows with equal keys spread over range partitions."""
+def sort_rows(df: DataFrame, sort: Sequence[str | tuple[str, str] | dict], spread_ties: bool = True) -> DataFrame:
+    """NULLs last in both directions. Rows with equal keys spread over range partitions.
+
+    Without ``spread_ties`` all rows of one key go to one task, which is fine for keys that are nearly unique.
+    """
     order = [(s["col"], s.get("dir", "asc")) if isinstance(s, dict) else s for s in sort]
-    return df.orderBy(*sort_columns(order), tie_break(df))
+    return df.orderBy(*sort_columns(order), *([tie_break(df)] if spread_ties else []))
 
 
 def grid_sort(df: DataFrame, column: str, direction: str = "asc", locale: str | None = None) -> DataFrame:

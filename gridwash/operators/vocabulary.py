@@ -14,6 +14,8 @@ from gridwash.session import frozen
 
 # Most entries sent to a task at once; a larger vocabulary goes through in slices of this size.
 SLICE = 5_000
+# Values whose match a task remembers from one batch to the next.
+REMEMBERED = 100_000
 
 
 def _matcher(entries: Sequence[str]):
@@ -21,8 +23,11 @@ def _matcher(entries: Sequence[str]):
 
     @F.pandas_udf("struct<entry string, score double>")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[str | None, float]] = {}
         for values in batches:
-            known = {v: best_match(v, pairs) for v in values.dropna().unique()}
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update({v: best_match(v, pairs) for v in values.dropna().unique() if v not in known})
             found = [known.get(v, (None, None)) for v in values]
             yield pd.DataFrame(found, columns=["entry", "score"])
 
@@ -38,7 +43,7 @@ def fuzzy_match(df: DataFrame, column: str, entries: Sequence[str] | DataFrame,
                 name: str = "matched", order_by: str | None = None) -> DataFrame:
     """Closest entry by Jaro-Winkler similarity, or NULL below the threshold.
 
-    Runs where the rows are, without a shuffle: a batch scores each different
+    Runs where the rows are, without a shuffle: a task scores each different
     value once, so a very frequent value costs no more than a rare one. The
     vocabulary is a list, or a DataFrame of one text column, which is read
     slice by slice in ``order_by`` order (default: by the text) and may have any size.

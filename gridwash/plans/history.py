@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridwash.operators.cells import quoted
 from gridwash.plans.steps import Step, apply_step, replay
 from gridwash.session import shared_folder
+from gridwash.sources.ingest import MAX_COLUMNS
 
 CHECKPOINT_EVERY = 10
 
@@ -87,22 +88,27 @@ def schema_fingerprint(catalog: DataFrame, export: str = "export", name: str = "
     """
     item = F.concat_ws(":", quoted(name), quoted(dtype))
     joined = F.concat_ws("|", F.sort_array(F.collect_list(item)))
-    return catalog.groupBy(export).agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
-
-
-def schema_drift(catalog: DataFrame, baseline: str, export: str = "export") -> DataFrame:
-    """Per export: fingerprint, and the baseline columns it lacks or has with another type."""
-    prints = schema_fingerprint(catalog, export)
-    base = (catalog.filter(F.col(export) == baseline)
-                   .select(F.lower("name").alias("_k"), F.col("name").alias("_name"), F.col("dtype").alias("_dtype")))
-    have = catalog.select(F.col(export), F.lower("name").alias("_k"), F.col("dtype").alias("_have"))
-    matched = (have.join(base, "_k", "left")
-                   .groupBy(export).agg(F.count("_name").alias("known_columns"),
-                                        F.count_if(F.col("_name").isNull()).alias("new_columns"),
-                                        F.count_if(F.col("_dtype") != F.col("_have")).alias("retyped_columns")))
-    total = base.agg(F.count(F.lit(1)).alias("t"))
-    return (prints.join(matched, export)
-                  .withColumn("missing_columns", total.scalar() - F.col("known_columns")).drop("known_columns"))
+    return catalog.select(export, name, dtype).distinct().groupBy(export).agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
+
+
+def schema_drift(catalog: DataFrame, baseline, export: str = "export") -> DataFrame:
+    """Per export of ``catalog(export, name, dtype)``: fingerprint, and how it differs from the baseline export.
+
+    The baseline schema is read like any table schema, with its limit on columns
+    checked; the exports are then compared row by row without a join.
+    """
+    wanted = (catalog.filter(F.col(export) == F.lit(baseline)).select(F.lower("name"), "dtype").distinct()
+                     .limit(MAX_COLUMNS + 1).collect())
+    if not wanted or len(wanted) > MAX_COLUMNS:
+        raise ValueError(f"baseline {baseline} has {len(wanted) or 'no'} columns; 1 to {MAX_COLUMNS} are supported")
+    types = F.create_map(*[F.lit(x) for name, dtype in wanted for x in (name, dtype)])
+    base = F.try_element_at(types, F.lower("name"))
+    have = catalog.select(export, "name", "dtype").distinct().withColumn("_base", base)
+    matched = have.groupBy(export).agg(
+        F.count_if(F.col("_base").isNull()).alias("new_columns"),
+        F.count_if(F.col("_base") != F.col("dtype")).alias("retyped_columns"),
+        (F.lit(len(wanted)) - F.count("_base")).alias("missing_columns"))
+    return schema_fingerprint(catalog, export).join(matched, export)
 
 
 def step_audit(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
