@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridwash.catalog.registry import Tables, query
+from gridwash.functions.values import month_of
 from gridwash.plans import history, policy
 from gridwash.plans.recipes import Recipe, apply_recipe, apply_recipe_many, renumber_after, snapshot_steps
 from gridwash.plans.steps import Step, replay
@@ -117,7 +118,7 @@ SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, MAX(o_totalpric
        COUNT(DISTINCT o_custkey) AS o_custkey_count_distinct
 FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2""")
 def r7(t: Tables):
-    exports = t.orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    exports = t.orders.withColumn("month", month_of(F.col("o_orderdate")))
     return apply_recipe_many(Recipe.of("monthly", t.orders, MONTHLY), exports, "month")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters a browser's trim() removes besides Java's \s
-# (no-break space, Ogham space, en quad to hair space, line and paragraph
-# separators, narrow no-break, medium mathematical and ideographic space, BOM).
-_WIDE_SPACES = r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-EDGE_SPACE = rf"^[\s\x0B{_WIDE_SPACES}]+|[\s\x0B{_WIDE_SPACES}]+$"
+# The characters a browser's trim() removes: tab to carriage return, blank, no-break and Ogham
+# space, en quad to hair space, line and paragraph separators, narrow no-break, medium mathematical and
+# ideographic space, byte order mark.
+WHITE_SPACE = ("\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 # The characters that end a line.
 LINE_END = r"[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
@@ -19,7 +19,7 @@ MAX_ERROR_LENGTH = 500
 
 def trim_ws(c: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def collapse_spaces(c: Column) -> Column:

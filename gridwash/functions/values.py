@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,9 +11,23 @@ from pyspark.sql import functions as F
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "d MMM yyyy")
 
 
+def _shape(fmt: str) -> str:
+    """A pattern that every text of the format meets: digits, words and the marks between them."""
+    out = []
+    for letters, mark in re.findall(r"([A-Za-z])\1*|('[^']*'|[^A-Za-z])", re.sub(r"M{3,}", "L", fmt)):
+        if letters:
+            out.append(r"[+-]?\d+" if letters in "yMdHms" else r"\D+" if letters == "L" else ".*")
+        else:
+            out.append(re.escape(mark.strip("'")) if len(mark) > 1 else re.escape(mark))
+    return f"^{''.join(out)}$"
+
+
 def standardize_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """First format that parses wins, else NULL. Day or month first is the caller's choice of format."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats])
+    """First format that parses wins, else NULL. Day or month first is the caller's choice of format.
+
+    Parsing a text that does not fit costs an exception per row, so its shape is looked at first.
+    """
+    return F.coalesce(*[F.when(c.rlike(_shape(f)), F.to_date(F.try_to_timestamp(c, F.lit(f)))) for f in formats])
 
 
 def parse_number(c: Column, group_mark: str = ",") -> Column:
@@ -21,7 +36,8 @@ def parse_number(c: Column, group_mark: str = ",") -> Column:
 
 
 def month_of(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM")
+    """'2024-03', from the numbers rather than through a date formatter."""
+    return F.concat(F.lpad(F.year(c).cast("string"), 4, "0"), F.lit("-"), F.lpad(F.month(c).cast("string"), 2, "0"))
 
 
 def numeric_like(c: Column) -> Column:

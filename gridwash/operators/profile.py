@@ -105,30 +105,37 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def numeric_stats(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Min, max, mean and median of each numeric column that has a value."""
+def numeric_stats(df: DataFrame, approx: bool = False, in_memory_values: int = 100_000) -> DataFrame:
+    """Min, max, mean and median of each numeric column that has a value.
+
+    Medians of columns with few distinct values come from the same aggregate;
+    only the others are spread out and found by rank.
+    """
     names = numeric_columns(df)
     schema = "column string, min double, max double, avg double, median double"
     if not names:
         return df.sparkSession.createDataFrame([], schema)
+    cells = {n: quoted(n).cast("double") for n in names}
+    narrow = names
+    if not approx:
+        seen = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cells.values())]).first()
+        narrow = [n for i, n in enumerate(names) if seen[i] <= in_memory_values * 0.8]
     aggs = []
-    for i, name in enumerate(names):
-        cell = quoted(name).cast("double")
+    for i, (name, cell) in enumerate(cells.items()):
         aggs += [F.min(cell).alias(f"lo{i}"), F.max(cell).alias(f"hi{i}"), F.avg(cell).alias(f"av{i}")]
-        if approx:
-            aggs.append(F.percentile_approx(cell, 0.5).alias(f"md{i}"))
-    one = df.agg(*aggs)
-    rows = one.select(F.inline(F.array(*[
+        middle = F.percentile_approx(cell, 0.5) if approx else F.median(cell)
+        aggs.append((middle if name in narrow else F.lit(None).cast("double")).alias(f"md{i}"))
+    rows = df.agg(*aggs).select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("column"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-                 F.round(f"av{i}", 2).alias("avg"),
-                 *([F.round(f"md{i}", 2).alias("median")] if approx else []))
+                 F.round(f"av{i}", 2).alias("avg"), F.round(f"md{i}", 2).alias("median"))
         for i, n in enumerate(names)]))).filter(F.col("min").isNotNull())
-    if approx:
+    wide = [n for n in names if n not in narrow]
+    if not wide:
         return rows
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), quoted(n).cast("double").alias("v"))
-                                         for n in names])))
-    medians = exact_median(cells, ["column"], "v", "median")
-    return rows.join(medians.select("column", F.round("median", 2).alias("median")), "column")
+    spread = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), cells[n].alias("v")) for n in wide])))
+    medians = exact_median(spread, ["column"], "v", "_found")
+    return (rows.join(medians, "column", "left")
+                .withColumn("median", F.coalesce("median", F.round("_found", 2))).drop("_found"))
 
 
 def suggestions(df: DataFrame) -> DataFrame:

@@ -118,19 +118,19 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "m
                  in_memory_values: int = 1_000_000) -> DataFrame:
     """Interpolated median per key; NULLs ignored, keys without a value absent.
 
-    Equal values are counted first. While every key has few distinct values the
-    counts fit an aggregation buffer; beyond ``in_memory_values`` the value is
+    An aggregate holds the distinct values of a key in memory, so their number is
+    estimated first, in one scan. Where a key may have more than
+    ``in_memory_values`` of them, equal values are counted and the median is
     found by rank in the one or two segments that can hold it.
     """
     cells = [F.col(f"`{k}`") for k in keys]
-    counts = frozen(df.filter(F.col(column).isNotNull())
-                      .groupBy(*cells, F.col(column).cast("double").alias("_v"))
-                      .agg(F.count(F.lit(1)).alias("_n")), "value-counts")
-    widest = counts.groupBy(*cells).count().agg(F.max("count")).first()[0] or 0
-    if widest <= in_memory_values:
-        picked = counts.groupBy(*cells).agg(F.expr("percentile(_v, 0.5D, _n)").alias(name))
+    filled = df.select(*cells, F.col(f"`{column}`").cast("double").alias("_v")).filter("_v IS NOT NULL")
+    estimate = filled.groupBy(*cells).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0] or 0
+    if estimate <= in_memory_values * 0.8:
+        picked = filled.groupBy(*cells).agg(F.median("_v").alias(name))
         return picked if keys else picked.filter(F.col(name).isNotNull())
 
+    counts = filled.groupBy(*cells, "_v").agg(F.count(F.lit(1)).alias("_n"))
     seg = segmented(counts, keys, ["_v"])
     per = _before(seg.groupBy(*cells, SEG).agg(F.sum("_n").alias("_in")), keys, "_in", "_start")
     per = (per.withColumn("_start", F.coalesce("_start", F.lit(0)))
