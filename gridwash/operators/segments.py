@@ -114,22 +114,91 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str | tup
                   .drop(SEG, POS, "_local", "_first", "_carry"))
 
 
+# Keys with too many distinct values for memory that are handled one by one; with more of them, all go by rank.
+MAX_WIDE_KEYS = 1_000
+# Counted band values that one window task may walk; beyond it the band is split into segments.
+BAND_ROWS = 2_000_000
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "median",
-                 in_memory_values: int = 1_000_000) -> DataFrame:
+                 in_memory_values: int = 100_000, max_wide_keys: int = MAX_WIDE_KEYS) -> DataFrame:
     """Interpolated median per key; NULLs ignored, keys without a value absent.
 
     An aggregate holds the distinct values of a key in memory, so their number is
-    estimated first, in one scan. Where a key may have more than
-    ``in_memory_values`` of them, equal values are counted and the median is
-    found by rank in the one or two segments that can hold it.
+    estimated first. Keys that may have more than ``in_memory_values`` are looked
+    at a second time: a sketch gives a narrow band around the median, rows
+    outside it are only counted and rows inside it are ranked, which is exact.
     """
     cells = [F.col(f"`{k}`") for k in keys]
     filled = df.select(*cells, F.col(f"`{column}`").cast("double").alias("_v")).filter("_v IS NOT NULL")
-    estimate = filled.groupBy(*cells).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0] or 0
-    if estimate <= in_memory_values * 0.8:
+    sketch = filled.groupBy(*cells).agg(F.approx_count_distinct("_v").alias("_d"),
+                                        F.percentile_approx("_v", [0.4998, 0.5002], 10_000).alias("_b"))
+    wide = sketch.filter(F.col("_d") > in_memory_values * 0.8).select(
+        *cells, F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"))
+    # One small row per key, and never more than the limit of them.
+    bands = wide.limit(max_wide_keys + 1).collect()
+    if len(bands) > max_wide_keys:
+        return _median_by_rank(filled, keys, name)
+    if not bands:
         picked = filled.groupBy(*cells).agg(F.median("_v").alias(name))
         return picked if keys else picked.filter(F.col(name).isNotNull())
+    spark = df.sparkSession
+    found = _median_in_band(filled, keys, spark.createDataFrame(bands, wide.schema), name)
+    missed = [r for r in found if r[name] is None]
+    hit = spark.createDataFrame([r for r in found if r[name] is not None],
+                                filled.select(*cells, F.col("_v").alias(name)).schema)
+    if missed:  # the sketch promises this does not happen; the result stays right if it does
+        names = spark.createDataFrame([tuple(r[k] for k in keys) + (0,) for r in missed],
+                                      filled.select(*cells, F.lit(0).alias("_m")).schema)
+        rows = join_same(filled, F.broadcast(names), keys).drop("_m") if keys else filled
+        hit = hit.unionByName(_median_by_rank(rows, keys, name))
+    if not keys:
+        return hit
+    listed = F.broadcast(spark.createDataFrame(bands, wide.schema))
+    narrow = join_same(filled, listed.select(*cells), keys, "left_anti")
+    return narrow.groupBy(*cells).agg(F.median("_v").alias(name)).unionByName(hit)
+
+
+def _ranked(counts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds ``_upto``, the rank of the last of the ``_n`` equal rows, to a table of counts."""
+    if counts.count() > BAND_ROWS:
+        return running_total(counts, keys, order, F.col("_n"), "_upto")
+    upto = (Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_upto", F.sum("_n").over(upto))
+
+
+def _middle(ranked: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Mean of the values at ranks ``_lo`` and ``_hi``."""
+    def at(rank: str) -> Column:
+        here = (F.col("_upto") >= F.col(rank)) & (F.col("_upto") - F.col("_n") < F.col(rank))
+        return F.max(F.when(here, F.col("_v")))
+
+    return (ranked.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
+                  .withColumn(name, F.col("_a") + (F.col("_b") - F.col("_a")) / 2).drop("_a", "_b"))
+
 
+def _median_in_band(filled: DataFrame, keys: Sequence[str], bands: DataFrame, name: str) -> list:
+    """One row per listed key, NULL where the median lies outside the band."""
+    cells = [F.col(f"`{k}`") for k in keys]
+    if keys:
+        rows = join_same(filled, F.broadcast(bands), keys)
+    else:
+        low, high = bands.first()
+        rows = filled.withColumns({"_low": F.lit(low), "_high": F.lit(high)})
+    side = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), 1).otherwise(0)
+    counts = frozen(rows.groupBy(*cells, side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_v"))
+                        .agg(F.count(F.lit(1)).alias("_n")), "band")
+    totals = counts.groupBy(*cells).agg(F.sum("_n").alias("_total"))
+    ranked = _ranked(counts, keys, ["_side", "_v"])
+    both = join_same(ranked, F.broadcast(totals), keys) if keys else ranked.withColumn("_total", totals.scalar())
+    both = both.withColumn("_lo", F.expr("(_total + 1) div 2")).withColumn("_hi", F.expr("_total div 2 + 1"))
+    return _middle(both, keys, name).collect()
+
+
+def _median_by_rank(filled: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Count equal values, sort them over the cluster and read the one or two segments that hold the middle."""
+    cells = [F.col(f"`{k}`") for k in keys]
     counts = filled.groupBy(*cells, "_v").agg(F.count(F.lit(1)).alias("_n"))
     seg = segmented(counts, keys, ["_v"])
     per = _before(seg.groupBy(*cells, SEG).agg(F.sum("_n").alias("_in")), keys, "_in", "_start")
@@ -141,9 +210,4 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "m
     local = Window.partitionBy(*cells, SEG).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     ranked = (join_same(seg, wanted, [*keys, SEG])
               .withColumn("_upto", F.col("_start") + F.sum("_n").over(local)))
-
-    def at(rank: str) -> Column:
-        return F.max(F.when((F.col("_upto") >= F.col(rank)) & (F.col("_upto") - F.col("_n") < F.col(rank)), F.col("_v")))
-
-    return (ranked.groupBy(*cells).agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
-                  .withColumn(name, F.col("_a") + (F.col("_b") - F.col("_a")) / 2).drop("_a", "_b"))
+    return _middle(ranked, keys, name)
