@@ -181,10 +181,10 @@ def e5(t: Tables):
 
 
 @query("e6_median", """
-SELECT l_returnflag, ROUND(MEDIAN(l_extendedprice), 2) AS median_price FROM lineitem GROUP BY 1""")
+SELECT l_returnflag, ROUND(MEDIAN(l_extendedprice), 4) AS median_price FROM lineitem GROUP BY 1""")
 def e6(t: Tables):
     return exact_median(t.lineitem, ["l_returnflag"], "l_extendedprice", "median_price").withColumn(
-        "median_price", F.round("median_price", 2))
+        "median_price", F.round("median_price", 4))
 
 
 @query("e6_median_in_band", """

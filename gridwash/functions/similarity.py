@@ -10,7 +10,7 @@ BOOST_ABOVE = 0.7
 def jaro_winkler(a: bytes, b: bytes) -> float:
     """Similarity in [0, 1] of two byte strings, case-sensitive."""
     if not a or not b:
-        return 1.0 if a == b else 0.0
+        return 0.0
     if a == b:
         return 1.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)

@@ -41,7 +41,7 @@ def top_n(df: DataFrame, sort: Sequence[str | tuple[str, str]], n: int) -> DataF
 
 def cap_rows(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str | tuple[str, str]] | None = None) -> DataFrame:
     """At most n rows: the first in order, or any n when the table has no order."""
-    return top_n(df, order_by, n) if order_by or n > SMALL_LIMIT else df.limit(n)
+    return top_n(df, order_by or [], n) if order_by or n > SMALL_LIMIT else df.limit(n)
 
 
 def number_parts(df: DataFrame, order_by: Sequence[str | tuple[str, str]], rows_per_part: int = 1_000_000,

@@ -52,7 +52,10 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def read_csv_lenient(spark: SparkSession, path: str, schema: T.StructType | None = None,
                      sep: str | None = None, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Every row, short ones padded with NULL, and separately the lines that did not fit with their raw text."""
+    """Every row, short ones padded with NULL, and separately the rows that did not fit, with their raw line.
+
+    Spark finds misfits while it parses all columns, so read the second table whole or save it first.
+    """
     line = _first_line(spark, path)
     if "\x00" in line or not line.strip():
         raise UnreadableFile("This file could not be read as a table. Saving it again as a standard CSV usually helps.")
