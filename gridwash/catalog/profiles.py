@@ -133,6 +133,14 @@ def f10_private(t: Tables):
     return ops.schema_card(t.customer, privacy=True).select("line")
 
 
+@query("f10_sample_lines", f"""
+SELECT '  o_orderkey=' || o_orderkey || ', o_custkey=' || o_custkey || ', o_orderpriority='
+       || COALESCE(o_orderpriority, 'None') || ', o_orderstatus=' || o_orderstatus AS line
+FROM ({DIRTY_ORDERS}) d ORDER BY o_orderkey LIMIT 3""")
+def f10_lines(t: Tables):
+    return ops.sample_lines(dirty_orders(t).drop("o_totalprice"), ["o_orderkey"])
+
+
 @query("f11_preview_totals", """
 SELECT COUNT(*) AS total_rows, CAST(5 AS BIGINT) AS total_columns FROM orders WHERE o_totalprice > 100000""")
 def f11(t: Tables):

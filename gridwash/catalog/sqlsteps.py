@@ -23,12 +23,13 @@ WITH big AS (SELECT * FROM data WHERE o_totalprice > 300000), per AS (SELECT o_c
 SELECT n AS orders_per_customer, COUNT(*) AS customers FROM per GROUP BY n""")
 
 sql_query("s3_self_join", "orders", """
-SELECT a.o_orderkey, b.o_orderkey AS other FROM data a JOIN data b
-  ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey""")
+SELECT a.o_orderkey, b.o_orderkey AS next_order, b.o_orderstatus AS next_status FROM data a JOIN data b
+  ON b.o_orderkey = a.o_orderkey + 1 AND b.o_orderstatus <> a.o_orderstatus""")
 
-sql_query("s3_range_join", "events", """
-SELECT a.event_id, COUNT(*) AS within_hour FROM data a JOIN data b
-  ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY a.event_id""")
+sql_query("s3_range_join", "orders", """
+SELECT a.o_orderkey, a.o_custkey FROM data a
+  JOIN (SELECT o_custkey, MIN(o_orderdate) AS first_order FROM data GROUP BY o_custkey) b
+  ON a.o_custkey = b.o_custkey AND a.o_orderdate > b.first_order AND a.o_orderdate <= b.first_order + INTERVAL 1 YEAR""")
 
 sql_query("s3_semi_anti_join", "events", """
 SELECT DISTINCT user_id, event_type FROM data a
@@ -97,6 +98,10 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, abs(l_discount - 0.05) AS
   round(ln(l_quantity), 6) AS logarithm, round(power(l_discount, 2), 8) AS square
 FROM data""")
 
+sql_query("s8_regular_expressions", "pages", r"""
+SELECT page_id, regexp_replace(url, '^https?://', '') AS bare_url, regexp_extract(url, '://([^/]+)', 1) AS host,
+  regexp_extract(url, '[?&]page=([0-9]+)', 1) AS page FROM data""")
+
 sql_query("s8_conditionals", "part", """
 SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'medium' ELSE 'small' END AS size_class,
   p_type IN ('PROMO', 'ECONOMY') AS cheap, p_size BETWEEN 10 AND 20 AS teen, p_name LIKE '%bolt' AS bolt

@@ -71,11 +71,23 @@ def c7(t: Tables):
 @query("c8_standardize_dates", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 10 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS order_date FROM orders""")
 def c8(t: Tables):
-    messy = t.orders.selectExpr(
+    return cells.standardize_dates(messy_dates(t), "order_date", FORMATS)
+
+
+FORMATS = ["dd/MM/yyyy", "yyyy-MM-dd", "d MMM yyyy"]
+
+
+def messy_dates(t: Tables):
+    return t.orders.selectExpr(
         "o_orderkey", "CASE WHEN o_orderkey % 11 = 10 THEN 'soon' ELSE CASE o_orderkey % 3 "
         "WHEN 0 THEN date_format(o_orderdate, 'dd/MM/yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') "
         "ELSE date_format(o_orderdate, 'd MMM yyyy') END END AS order_date")
-    return cells.standardize_dates(messy, "order_date", ["dd/MM/yyyy", "yyyy-MM-dd", "d MMM yyyy"])
+
+
+@query("c8_unparsed_dates", """
+SELECT COUNT(*) AS filled_rows, COUNT(*) FILTER (WHERE o_orderkey % 11 = 10) AS unparsed_rows FROM orders""")
+def c8_unparsed(t: Tables):
+    return cells.unparsed_dates(messy_dates(t), "order_date", FORMATS)
 
 
 @query("c9_parse_number", """

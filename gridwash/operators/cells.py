@@ -113,6 +113,13 @@ def standardize_dates(df: DataFrame, column: str, formats: Sequence[str], name:
     return df.withColumn(name or column, standardize_date(quoted(column), formats))
 
 
+def unparsed_dates(df: DataFrame, column: str, formats: Sequence[str]) -> DataFrame:
+    """How many filled cells no format fits."""
+    cell = quoted(column)
+    lost = (F.coalesce(cell, F.lit("")) != "") & standardize_date(cell, formats).isNull()
+    return df.agg(F.count(cell).alias("filled_rows"), F.count_if(lost).alias("unparsed_rows"))
+
+
 def parse_numbers(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     return df.withColumn(name or column, parse_number(quoted(column)))
 

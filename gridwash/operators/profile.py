@@ -184,6 +184,13 @@ def schema_card(df: DataFrame, privacy: bool = False) -> DataFrame:
     return stats.select(F.col("position").cast("bigint").alias("position"), line.alias("line"))
 
 
+def sample_lines(df: DataFrame, order_by: Sequence[str], k: int = 3) -> DataFrame:
+    """First k rows as ``a=1, b=x`` lines, for display next to a card that is not private."""
+    texts = sample_rows(df, order_by, k)
+    pairs = [F.concat(F.lit(f"{c}="), F.coalesce(quoted(c), F.lit("None"))) for c in texts.columns]
+    return texts.select(F.concat(F.lit("  "), F.concat_ws(", ", *pairs)).alias("line"))
+
+
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> tuple[DataFrame, DataFrame]:
     """First rows for display, and exact counts as a second table; only the rows shown reach the driver."""
     totals = df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("total_columns", F.lit(len(df.columns)))

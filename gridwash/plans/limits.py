@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridwash.session import frozen
+
 # Fixed values: (requests, seconds) of the limited actions.
 BUCKETS = {"default": (30, 60), "download": (10, 60), "feedback": (5, 3600)}
 
@@ -65,16 +67,20 @@ def rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int
     window_us = window_seconds * 1_000_000
     rows = requests.withColumn("slot", _slot(window_us))
     counts = rows.groupBy("user_id", "slot").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("user_id", (F.col("slot") + 1).alias("slot"), F.col("n").alias("n_before"))
-    busy = (counts.join(before, ["user_id", "slot"], "left")
-                  .filter(F.col("n") + F.coalesce("n_before", F.lit(0)) > max_requests))
+    # Each slot counts for itself and for the slot after it.
+    shares = F.array(F.struct(F.col("slot").alias("slot"), F.col("n").alias("own"), F.lit(0).cast("bigint").alias("before")),
+                     F.struct((F.col("slot") + 1).alias("slot"), F.lit(0).cast("bigint").alias("own"),
+                              F.col("n").alias("before")))
+    busy = (counts.select("user_id", F.inline(shares)).groupBy("user_id", "slot")
+                  .agg(F.sum("own").alias("own"), F.sum("before").alias("before"))
+                  .filter((F.col("own") > 0) & (F.col("own") + F.col("before") > max_requests)))
     # One row per user and window length at most, whatever the number of requests.
     by_user = Window.partitionBy("user_id").orderBy("slot")
     runs = (busy.withColumn("run", F.col("slot") - F.row_number().over(by_user))
                 .select("user_id", "slot", "run"))
     starts = runs.groupBy("user_id", "run").agg((F.min("slot") - 1).alias("slot"))
-    places = (runs.withColumn("carried", F.lit(False))
-              .unionByName(starts.select("user_id", "slot", "run", F.lit(True).alias("carried"))))
+    places = frozen(runs.withColumn("carried", F.lit(False))
+                    .unionByName(starts.select("user_id", "slot", "run", F.lit(True).alias("carried"))), "busy-slots")
     placed = rows.join(places, ["user_id", "slot"], "left")
     passed = (placed.filter("run IS NULL OR carried")
                     .select("user_id", "at", "request_id", F.lit(True).alias("accepted"),
