@@ -190,8 +190,8 @@ def e6(t: Tables):
 @query("e6_median_in_band", """
 SELECT event_type, ROUND(MEDIAN(value), 4) AS median_value FROM events GROUP BY 1""")
 def e6_band(t: Tables):
-    """The way for keys with more distinct values than an aggregate may hold."""
-    return exact_median(t.events, ["event_type"], "value", "median_value", in_memory_values=0).withColumn(
+    """The way for keys with more rows than an aggregate may hold."""
+    return exact_median(t.events, ["event_type"], "value", "median_value", in_memory_rows=0).withColumn(
         "median_value", F.round("median_value", 4))
 
 
@@ -199,8 +199,8 @@ def e6_band(t: Tables):
 SELECT event_type, ROUND(MEDIAN(value), 4) AS median_value FROM events GROUP BY 1""")
 def e6_rank(t: Tables):
     """The way for very many such keys."""
-    return exact_median(t.events, ["event_type"], "value", "median_value", in_memory_values=0,
-                        max_wide_keys=0).withColumn("median_value", F.round("median_value", 4))
+    return exact_median(t.events, ["event_type"], "value", "median_value", in_memory_rows=0,
+                        max_large_keys=0).withColumn("median_value", F.round("median_value", 4))
 
 
 @query("e7_group_by_derived", """

@@ -185,7 +185,8 @@ def r11(t: Tables):
 @query("r12_table_fingerprint", """
 SELECT COUNT(*) AS row_count, CAST(SUM(CAST('0x' || substr(md5('v' || c_custkey || chr(31) || 'v' || c_name || chr(31)
   || 'v' || c_nationkey || chr(31) || 'v' || c_acctbal || chr(31)
-  || COALESCE('v' || NULLIF(c_mktsegment, 'MACHINERY'), 'n')), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint
+  || COALESCE('v' || NULLIF(c_mktsegment, 'MACHINERY'), 'n')), 1, 8) AS BIGINT)) % 2305843009213693951 AS BIGINT)
+  AS fingerprint
 FROM customer""")
 def r12(t: Tables):
     return history.table_fingerprint(t.customer.withColumn("c_mktsegment", F.expr("nullif(c_mktsegment, 'MACHINERY')")))

@@ -55,7 +55,7 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         aggs = [F.count(F.lit(1)).alias("rows")]
         for i, field in enumerate(df.schema.fields):
-            cell = _text(field.name, field.dataType)
+            cell = quoted(field.name) if isinstance(field.dataType, T.AtomicType) else _text(field.name, field.dataType)
             aggs += [F.count_if(cell.isNull()).alias(f"n{i}"), F.approx_count_distinct(cell).alias(f"u{i}")]
         one = df.agg(*aggs)
         rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("name"),

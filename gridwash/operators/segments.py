@@ -114,36 +114,35 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str | tup
                   .drop(SEG, POS, "_local", "_first", "_carry"))
 
 
-# Keys with too many distinct values for memory that are handled one by one; with more of them, all go by rank.
-MAX_WIDE_KEYS = 1_000
+# Large keys that are handled by sketch and band; with more of them, all keys go by rank.
+MAX_LARGE_KEYS = 1_000
 # Counted band values that one window task may walk; beyond it the band is split into segments.
 BAND_ROWS = 2_000_000
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "median",
-                 in_memory_values: int = 100_000, max_wide_keys: int = MAX_WIDE_KEYS) -> DataFrame:
+                 in_memory_rows: int = 500_000, max_large_keys: int = MAX_LARGE_KEYS) -> DataFrame:
     """Interpolated median per key; NULLs ignored, keys without a value absent.
 
-    An aggregate holds the distinct values of a key in memory, so their number is
-    estimated first. Keys that may have more than ``in_memory_values`` are looked
-    at a second time: a sketch gives a narrow band around the median, rows
-    outside it are only counted and rows inside it are ranked, which is exact.
+    The built-in median holds the values of a key in memory, so keys are counted
+    first and it only gets those with up to ``in_memory_rows`` rows. For larger
+    keys a sketch gives a narrow band around the median; rows outside it are
+    counted, rows inside it are ranked, and the result is exact.
     """
     cells = [F.col(f"`{k}`") for k in keys]
     filled = df.select(*cells, F.col(f"`{column}`").cast("double").alias("_v")).filter("_v IS NOT NULL")
-    sketch = filled.groupBy(*cells).agg(F.approx_count_distinct("_v").alias("_d"),
-                                        F.percentile_approx("_v", [0.4998, 0.5002], 10_000).alias("_b"))
-    wide = sketch.filter(F.col("_d") > in_memory_values * 0.8).select(
-        *cells, F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"))
-    # One small row per key, and never more than the limit of them.
-    bands = wide.limit(max_wide_keys + 1).collect()
-    if len(bands) > max_wide_keys:
+    large = filled.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > in_memory_rows)
+    # One small row per large key, and never more than the limit of them.
+    bands = large.limit(max_large_keys + 1).collect()
+    if len(bands) > max_large_keys:
         return _median_by_rank(filled, keys, name)
     if not bands:
         picked = filled.groupBy(*cells).agg(F.median("_v").alias(name))
         return picked if keys else picked.filter(F.col(name).isNotNull())
     spark = df.sparkSession
-    found = _median_in_band(filled, keys, spark.createDataFrame(bands, wide.schema), name)
+    listed = F.broadcast(spark.createDataFrame(bands, large.schema).drop("_rows"))
+    hot = join_same(filled, listed, keys) if keys else filled
+    found = _median_in_band(hot, keys, _bands(hot, keys), name)
     missed = [r for r in found if r[name] is None]
     hit = spark.createDataFrame([r for r in found if r[name] is not None],
                                 filled.select(*cells, F.col("_v").alias(name)).schema)
@@ -154,9 +153,16 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "m
         hit = hit.unionByName(_median_by_rank(rows, keys, name))
     if not keys:
         return hit
-    listed = F.broadcast(spark.createDataFrame(bands, wide.schema))
-    narrow = join_same(filled, listed.select(*cells), keys, "left_anti")
-    return narrow.groupBy(*cells).agg(F.median("_v").alias(name)).unionByName(hit)
+    others = join_same(filled, listed, keys, "left_anti")
+    return others.groupBy(*cells).agg(F.median("_v").alias(name)).unionByName(hit)
+
+
+def _bands(filled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two approximate quantiles close to the middle per key, a few bytes each."""
+    sketch = filled.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.percentile_approx("_v", [0.4998, 0.5002], 10_000).alias("_b"))
+    bands = sketch.select(*[F.col(f"`{k}`") for k in keys], F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"))
+    return filled.sparkSession.createDataFrame(bands.collect(), bands.schema)
 
 
 def _ranked(counts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -179,7 +185,7 @@ def _middle(ranked: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def _median_in_band(filled: DataFrame, keys: Sequence[str], bands: DataFrame, name: str) -> list:
-    """One row per listed key, NULL where the median lies outside the band."""
+    """One row per key of ``bands``, NULL where the median lies outside the band."""
     cells = [F.col(f"`{k}`") for k in keys]
     if keys:
         rows = join_same(filled, F.broadcast(bands), keys)

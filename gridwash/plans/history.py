@@ -68,16 +68,29 @@ def replay_checkpointed(base_path: str, df: DataFrame, steps: Sequence[Step],
     return replay(table, steps[done:])
 
 
-def row_digest(df: DataFrame) -> Column:
-    """Hash of one row as a number below 2^32; NULL differs from empty text."""
-    cells = [F.coalesce(F.concat(F.lit("v"), quoted(c).cast("string")), F.lit("n")) for c in df.columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 8), 16, 10).cast("bigint")
+# Keeps a fingerprint within a bigint however many rows are summed.
+_MODULUS = 2**61 - 1
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
+def row_digest(df: DataFrame, portable: bool = True) -> Column:
+    """Hash of one row as a number; NULL differs from empty text.
+
+    The portable form (first 32 bits of an MD5 over the cells as text) can be
+    recomputed in any engine; the other one skips the text and is several times faster.
+    """
+    cells = [quoted(c) for c in df.columns]
+    if portable:
+        texts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in cells]
+        return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *texts)), 1, 8), 16, 10).cast("bigint")
+    hashable = [F.to_json(c) if t.startswith(("map", "variant")) else c for c, (_, t) in zip(cells, df.dtypes)]
+    return F.xxhash64(*hashable, *[c.isNull() for c in cells])
+
+
+def table_fingerprint(df: DataFrame, portable: bool = True) -> DataFrame:
     """Rows and a hash of the content that ignores row order but counts copies."""
-    return df.agg(F.count(F.lit(1)).alias("row_count"),
-                  F.coalesce(F.sum(row_digest(df).cast("decimal(38,0)")), F.lit(0)).cast("bigint").alias("fingerprint"))
+    total = F.coalesce(F.sum(row_digest(df, portable).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    wrapped = F.pmod(total, F.lit(_MODULUS).cast("decimal(38,0)")).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("row_count"), wrapped.alias("fingerprint"))
 
 
 def schema_fingerprint(catalog: DataFrame, export: str = "export", name: str = "name",
@@ -120,7 +133,7 @@ def step_audit(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
 
     def measured(table: DataFrame):
         began = time.perf_counter()
-        row = table_fingerprint(table).first()
+        row = table_fingerprint(table, portable=False).first()
         return row["row_count"], row["fingerprint"], time.perf_counter() - began
 
     rows, print_, _ = measured(df)

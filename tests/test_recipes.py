@@ -125,7 +125,11 @@ def test_fingerprint(spark, people):
     assert history.table_fingerprint(people.unionAll(people)).first() != first
     nulls = spark.createDataFrame([(None, "")], "a string, b string")
     blanks = spark.createDataFrame([("", None)], "a string, b string")
-    assert history.table_fingerprint(nulls).first() != history.table_fingerprint(blanks).first()
+    for portable in (True, False):
+        assert (history.table_fingerprint(nulls, portable).first()
+                != history.table_fingerprint(blanks, portable).first())
+        assert (history.table_fingerprint(people.repartition(3), portable).first()
+                == history.table_fingerprint(people, portable).first())
 
 
 def test_step_audit(people):

@@ -63,8 +63,8 @@ def test_row_index_is_dense_and_ordered(skewed):
     assert [(-g[1], g[2]) for g in got] == sorted((-g[1], g[2]) for g in got)
 
 
-@pytest.mark.parametrize("limits", [{}, {"in_memory_values": 0}, {"in_memory_values": 0, "max_wide_keys": 0},
-                                    {"in_memory_values": 50}])
+@pytest.mark.parametrize("limits", [{}, {"in_memory_rows": 0}, {"in_memory_rows": 0, "max_large_keys": 0},
+                                    {"in_memory_rows": 100}])
 def test_exact_median(skewed, limits):
     want = {}
     for key, at in rows(skewed, "key", "at"):
