@@ -13,6 +13,8 @@ WHITE_SPACE = ("\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
 
 # The characters that end a line.
 LINE_END = r"[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+# Fixed value: the fence lines around a code block.
+CODE_FENCE = r"(?m)^```(?:sql)?\s*|\s*```$"
 REDACTED = "'<redacted>'"
 MAX_ERROR_LENGTH = 500
 
@@ -61,5 +63,5 @@ def extension(c: Column) -> Column:
 def strip_fences(c: Column) -> Column:
     """A stored SQL text without code fences, trailing semicolons and outer white space."""
     body = trim_ws(c)
-    unfenced = F.when(body.startswith("```"), trim_ws(F.regexp_replace(body, r"(?m)^```(?:sql)?\s*|\s*```$", "")))
+    unfenced = F.when(body.startswith("```"), trim_ws(F.regexp_replace(body, CODE_FENCE, "")))
     return trim_ws(F.regexp_replace(unfenced.otherwise(body), r";+$", ""))

@@ -67,9 +67,22 @@ def stream_usage(events: DataFrame, delay: str = "1 day", window: str = "1 day")
                           "chat_requests", "actions"))
 
 
-def stream_keep_first(events: DataFrame, keys: Sequence[str], delay: str = "1 day") -> DataFrame:
-    """First occurrence of each key; a key is forgotten once the watermark passes it by the delay."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
+def stream_keep_first(events: DataFrame, keys: Sequence[str], delay: str = "1 day",
+                      thin_first: bool = True) -> DataFrame:
+    """First occurrence of each key; a key is forgotten once the watermark passes it by the delay.
+
+    Streaming deduplication sends all copies of a key to one task. ``thin_first``
+    drops the later copies within each Arrow batch where they are read, so a key
+    with very many copies sends one row per batch.
+    """
+    names = list(keys)
+
+    def thin(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop_duplicates(names)
+
+    source = events.mapInPandas(thin, events.schema) if thin_first else events
+    return source.withWatermark("ts", delay).dropDuplicatesWithinWatermark(names)
 
 
 _DECISIONS = "user_id bigint, at bigint, request_id bigint, accepted boolean, wait_us bigint"
