@@ -1,5 +1,7 @@
 """Chains, recipes, fingerprints and the policy scan."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridwash.catalog.registry import Tables, query
@@ -130,7 +132,8 @@ def r8(t: Tables):
         return Step("add_columns", {"columns": [{"name": "o_custkey", "expr": expr}]})
 
     steps = [plus("o_custkey * 2"), *[plus("o_custkey + 1") for _ in range(11)]]
-    base = f"{t.folder}/orders.parquet"
+    # A name of its own for each run: the shared folder may outlive the tables.
+    base = f"{t.folder}/orders.parquet {uuid.uuid4().hex}"
     return history.replay_checkpointed(base, t.orders.select("o_orderkey", "o_custkey"), steps)
 
 

@@ -17,15 +17,24 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def actual(df: DataFrame, name: str) -> str:
+    """The column's name as the table spells it; names match in any case, as everywhere in Spark."""
+    if name in df.columns:
+        return name
+    hits = [c for c in df.columns if c.lower() == name.lower()]
+    if len(hits) == 1:
+        return hits[0]
+    df.select(quoted(name))  # fails with Spark's own message
+    return name
+
+
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[quoted(c) for c in columns])
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    missing = set(columns) - set(df.columns)
-    if missing:
-        raise ValueError(f"no such columns: {sorted(missing)}")
-    return df.drop(*columns)
+    """Drop columns; unlike in Spark, one that is not there is an error."""
+    return df.drop(*[actual(df, c) for c in columns])
 
 
 def rename_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -63,6 +72,7 @@ def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def fill_nulls(df: DataFrame, column: str, value: Any) -> DataFrame:
     """Replace NULL in a column, keeping its type."""
+    column = actual(df, column)
     kind = df.schema[column].dataType
     return df.withColumn(column, F.coalesce(quoted(column), F.lit(value).cast(kind)))
 
@@ -73,8 +83,9 @@ def update_cells(df: DataFrame, values: Mapping[str, Any], where: str | Sequence
     matches = F.lit(True)
     for predicate in predicates:
         matches = matches & F.expr(predicate)
+    named = {actual(df, name): value for name, value in values.items()}
     edits = {name: F.when(matches, F.lit(value).cast(df.schema[name].dataType)).otherwise(quoted(name))
-             for name, value in values.items()}
+             for name, value in named.items()}
     return df.withColumns(edits)
 
 
@@ -89,11 +100,12 @@ def concat_columns(df: DataFrame, columns: Sequence[str], name: str, separator:
 
 
 def round_columns(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
-    return df.withColumns({c: F.round(quoted(c), digits) for c in columns})
+    return df.withColumns({c: F.round(quoted(c), digits) for c in [actual(df, n) for n in columns]})
 
 
 def cast_column(df: DataFrame, column: str, dtype: str, lenient: bool = False) -> DataFrame:
     """Strict casts fail the job on a bad value; lenient ones give NULL."""
+    column = actual(df, column)
     cell = quoted(column)
     return df.withColumn(column, cell.try_cast(dtype) if lenient else cell.cast(dtype))
 
@@ -106,11 +118,11 @@ def cast_failures(df: DataFrame, column: str, dtype: str) -> DataFrame:
 
 
 def normalize_case(df: DataFrame, columns: Sequence[str], style: str) -> DataFrame:
-    return df.withColumns({c: change_case(quoted(c), style) for c in columns})
+    return df.withColumns({c: change_case(quoted(c), style) for c in [actual(df, n) for n in columns]})
 
 
 def standardize_dates(df: DataFrame, column: str, formats: Sequence[str], name: str | None = None) -> DataFrame:
-    return df.withColumn(name or column, standardize_date(quoted(column), formats))
+    return df.withColumn(name or actual(df, column), standardize_date(quoted(column), formats))
 
 
 def unparsed_dates(df: DataFrame, column: str, formats: Sequence[str]) -> DataFrame:
@@ -121,7 +133,7 @@ def unparsed_dates(df: DataFrame, column: str, formats: Sequence[str]) -> DataFr
 
 
 def parse_numbers(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    return df.withColumn(name or column, parse_number(quoted(column)))
+    return df.withColumn(name or actual(df, column), parse_number(quoted(column)))
 
 
 def numeric_share(df: DataFrame) -> DataFrame:

@@ -46,8 +46,12 @@ def sort_columns(order: Sequence[str | tuple[str, str]]) -> list[Column]:
 
 def tie_break(df: DataFrame) -> Column:
     """A last sort term that spreads rows with equal sort keys over range partitions."""
-    return F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith(("map", "variant")) else F.col(f"`{c}`")
-                        for c, t in df.dtypes])
+    return F.xxhash64(*hashable(df))
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns in a form Spark can hash: maps and variants as JSON text."""
+    return [F.to_json(F.col(f"`{c}`")) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes]
 
 
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, str]]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwash.operators.cells import quoted
+from gridwash.operators.segments import hashable
 from gridwash.plans.steps import Step, apply_step, replay
 from gridwash.session import shared_folder
 from gridwash.sources.ingest import MAX_COLUMNS
@@ -43,6 +44,7 @@ def replay_checkpointed(base_path: str, df: DataFrame, steps: Sequence[Step],
                         every: int = CHECKPOINT_EVERY) -> DataFrame:
     """Like replay, but stores the result after every ``every`` steps and resumes from the nearest stored one.
 
+    ``base_path`` names the table that ``df`` reads, which never changes under that name.
     Plans of long chains stay short and chains with a common start share work.
     ``every`` of 0 or less, or a chain shorter than that, stores nothing; a
     failed checkpoint falls back to plain replay.
@@ -82,8 +84,7 @@ def row_digest(df: DataFrame, portable: bool = True) -> Column:
     if portable:
         texts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in cells]
         return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *texts)), 1, 8), 16, 10).cast("bigint")
-    hashable = [F.to_json(c) if t.startswith(("map", "variant")) else c for c, (_, t) in zip(cells, df.dtypes)]
-    return F.xxhash64(*hashable, *[c.isNull() for c in cells])
+    return F.xxhash64(*hashable(df), *[c.isNull() for c in cells])
 
 
 def table_fingerprint(df: DataFrame, portable: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ import string
 import duckdb
 import pytest
 from conftest import plan, rows
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridwash.functions import replies, text, values
@@ -27,10 +28,19 @@ def test_column_order_survives_edits(spark):
     assert cells.rename_columns(df, {"name": "n"}).columns == ["x y", "n", "z"]
     assert cells.fill_nulls(df, "name", "?").columns == df.columns
     assert cells.add_columns(df, [{"name": "name", "expr": "upper(name)"}]).columns == df.columns
-    with pytest.raises(ValueError):
+    with pytest.raises(AnalysisException):
         cells.drop_columns(df, ["nope"])
 
 
+def test_names_match_in_any_case_and_keep_their_spelling(spark):
+    df = spark.createDataFrame([(1, None)], "`Review Rating` long, Name string")
+    df = cells.fill_nulls(cells.update_cells(df, {"review rating": 2}), "NAME", "x")
+    df = cells.normalize_case(cells.cast_column(df, "REVIEW RATING", "double"), ["name"], "upper")
+    assert df.columns == ["Review Rating", "Name"] and rows(df) == [(2.0, "X")]
+    assert cells.drop_columns(df, ["review rating"]).columns == ["Name"]
+    assert rows(ordering.number_parts(df, ["Review Rating"], 5)) == [(2.0, "X", 1)]
+
+
 def test_strict_cast_fails_lenient_gives_null(spark):
     df = spark.createDataFrame([("1",), ("x",), (None,)], "c string")
     assert [r[0] for r in rows(cells.cast_column(df, "c", "bigint", lenient=True))] == [1, None, None]

@@ -97,6 +97,12 @@ def test_parts_pages_and_caps(skewed, monkeypatch):
     assert cap_rows(skewed, 100).count() == 100
 
 
+def test_any_type_can_be_sorted_and_numbered(spark):
+    df = spark.range(20).selectExpr("id", "map('a', id) AS m", "array(map(1, id)) AS am", "parse_json('{\"k\": 1}') AS v",
+                                    "struct(id AS x) AS s", "cast('b' AS binary) AS b")
+    assert sorted(rows(ops.row_index(df, ["id"]), "id", "row_index")) == [(i, i) for i in range(20)]
+
+
 def test_first_per_key_cuts_before_the_shuffle(skewed):
     got = first_per_key(skewed, ["key"], ["at", "id"])
     text = plan(got)
