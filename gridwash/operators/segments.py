@@ -108,9 +108,11 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str | tup
     seg = segmented(df, keys, order)
     cells = [F.col(f"`{k}`") for k in keys]
     local = Window.partitionBy(*cells, SEG).orderBy(POS)
-    last = seg.groupBy(*cells, SEG).agg(F.max_by(F.struct(F.col(column).alias("v")), POS).alias("_last"))
-    carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*cells).orderBy(SEG)))
-                 .filter("_carry IS NOT NULL").drop("_last"))
+    # A key that goes on in the next segment owns the last row of this one: one row per segment is carried over.
+    ends = seg.groupBy(SEG).agg(F.max(POS).alias(POS))
+    carry = (join_same(seg, F.broadcast(ends), [SEG, POS])
+             .select(*cells, SEG, F.struct(F.col(column).alias("v")).alias("_carry"))
+             .withColumn(SEG, F.lead(SEG).over(Window.orderBy(SEG))))
     rows = (seg.withColumn("_local", F.lag(column).over(local))
                .withColumn("_first", F.row_number().over(local) == 1))
     joined = join_same(rows, F.broadcast(carry), [*keys, SEG], "left")

@@ -22,6 +22,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator relies on to an existing session."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # The default is for a cluster; on one machine, streams above all keep state in as many tasks.
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 

@@ -94,7 +94,8 @@ def stream_rate_limit(requests: DataFrame, max_requests: int = 30, window_second
 
     State per user is the accepted times of the last window, at most
     ``max_requests`` of them, and is dropped a window after the last request.
-    Files must land in time order; within a micro-batch rows are put in order here.
+    Files must land in time order; within a micro-batch a user's rows are put in
+    order here, so ``files_per_trigger`` bounds what one task holds.
     """
     window_us = window_seconds * 1_000_000
 
