@@ -6,7 +6,6 @@ import hashlib
 import time
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +25,10 @@ def checkpoint_key(base: str, steps: Sequence[Step]) -> str:
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """A finished checkpoint, or None. Its marker is written last, so a broken write does not count."""
-    try:
-        spark.read.parquet(f"{path}.done")
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    context = spark.sparkContext
+    marker = context._jvm.org.apache.hadoop.fs.Path(f"{path}.done")
+    files = marker.getFileSystem(context._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if files.exists(marker) else None
 
 
 def _store(df: DataFrame, path: str) -> DataFrame:
