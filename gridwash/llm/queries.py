@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-from gridwash.llm import query_mixing  # noqa: E402, F401
+from gridwash.llm import query_mixing, query_simhash  # noqa: E402, F401
