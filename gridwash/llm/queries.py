@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-from gridwash.llm import query_bpe, query_mixing, query_pii, query_simhash  # noqa: E402, F401
+from gridwash.llm import query_bpe, query_html, query_mixing, query_pii, query_simhash  # noqa: E402, F401
