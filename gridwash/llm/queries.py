@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-from gridwash.llm import query_bpe, query_html, query_langid, query_mixing, query_pii, query_simhash, query_topk  # noqa: E402, F401
+from gridwash.llm import query_ann, query_bpe, query_html, query_langid, query_mixing, query_pii, query_simhash, query_topk  # noqa: E402, F401
