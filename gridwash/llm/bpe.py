@@ -1,31 +1,35 @@
 """Byte-level BPE encoding and decoding that handles each distinct word of the corpus once.
 
 1. Texts are split into pre-tokens with positions. A row for every pre-token would be a few hundred times the rows of the
-   corpus, so a task writes its positions packed, as numbers of words in a word list per chunk of texts, and only the
-   chunk's distinct words leave the task as rows. The most frequent word of a corpus is one row per chunk.
-2. The words meet over the whole corpus; each distinct one is encoded once. Its ids are exploded by position and joined
-   with the token-byte table, which decodes it once.
-3. Ids and bytes are joined back to the word lists of the chunks, and every text is reassembled by its positions.
+   corpus, so a task packs what it explodes: positions become numbers of words in a word list per chunk of texts, and the
+   distinct words of a chunk leave the task dealt into buckets by their hash, one compressed row per bucket.
+2. Equal words meet in one bucket over the whole corpus, where each distinct one is encoded once.
+3. The ids of the words go back to their chunk, and every text is reassembled by its positions. Positions and words leave
+   a task in one exchange, which both the encoding and the reassembling read.
+4. Decoding looks every id up in the token-byte table. The table is as large as the vocabulary file, so every task has it,
+   like the small side of a broadcast join, and positions never leave their row.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from gridwash.llm.common import bounded_batches, text_of
-from gridwash.session import new_path
 
-CHUNK_CHARS = 8_000_000  # texts of so many characters share a word list; a longer text is a chunk of its own
+CHUNK_CHARS = 16_000_000  # texts of so many characters share a word list; a longer text is a chunk of its own
+BUCKETS_PER_PARTITION = 2  # buckets of words for each partition that the session shuffles to
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -87,11 +91,29 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def word_lists(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``chunk, id, packed, words``: positions of each text, and the word list on one row of each chunk."""
-    id_field = docs.schema["id"]
-    schema = StructType([*StructType.fromDDL("chunk long").fields, id_field,
-                         *StructType.fromDDL("packed binary, words array<string>").fields])
+def pack_words(words: list[bytes]) -> bytes:
+    """Byte strings as their lengths and their bytes, compressed."""
+    import zstandard
+
+    lengths = pack(np.array([len(w) for w in words], dtype=np.uint32))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(b"".join(words), 3)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    import zstandard
+
+    middle = 4 + int.from_bytes(packed[:4], "little")
+    ends = np.cumsum(unpack(packed[4:middle]).astype(np.int64)).tolist()
+    whole = zstandard.decompress(packed[middle:])
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def word_lists(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """``chunk, bucket, id, numbers, words``: for each text of ``id, text`` the word numbers by position (bucket -1), and
+    for each bucket of a chunk its words and their numbers. A word's bucket depends on its bytes alone.
+    """
+    schema = StructType([*StructType.fromDDL("chunk long, bucket int").fields, docs.schema["id"],
+                         *StructType.fromDDL("numbers binary, words binary").fields])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,20 +123,24 @@ def word_lists(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS) ->
         def chunk(nth: int, ids: list, texts: list) -> pa.RecordBatch:
             numbers: defaultdict = defaultdict()
             numbers.default_factory = numbers.__len__
-            packed = [np.fromiter(map(numbers.__getitem__, cut(t)), dtype=np.uint32) for t in texts]
+            positions = [np.fromiter(map(numbers.__getitem__, cut(t)), dtype=np.uint32) for t in texts]
             # Frequent words get small numbers, which pack better.
             times = np.zeros(len(numbers), dtype=np.int64)
-            for p in packed:
+            for p in positions:
                 times += np.bincount(p, minlength=len(numbers))
             order = np.argsort(-times, kind="stable")
             place = np.empty(len(order), dtype=np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            names = list(numbers)
-            words = [[names[i] for i in order], *[None] * (len(ids) - 1)]
+            names = [w.encode() for w in numbers]
+            dealt = np.fromiter((zlib.crc32(w) % buckets for w in names), dtype=np.int64, count=len(names))[order]
+            at = [int(b) for b in np.unique(dealt)]
+            lists = [np.flatnonzero(dealt == b) for b in at]
             return pa.RecordBatch.from_arrays(
-                [pa.array([first + nth] * len(ids), pa.int64()), pa.array(ids, id_type),
-                 pa.array([pack(place[p]) for p in packed], pa.binary()), pa.array(words, pa.list_(pa.string()))],
-                names=["chunk", "id", "packed", "words"])
+                [pa.array([first + nth] * (len(ids) + len(at)), pa.int64()), pa.array([-1] * len(ids) + at, pa.int32()),
+                 pa.array(ids + [None] * len(at), id_type),
+                 pa.array([pack(place[p]) for p in positions] + [pack(np.diff(x, prepend=0)) for x in lists], pa.binary()),
+                 pa.array([None] * len(ids) + [pack_words([names[i] for i in order[x]]) for x in lists], pa.binary())],
+                names=["chunk", "bucket", "id", "numbers", "words"])
 
         nth, ids, texts, chars, id_type = 0, [], [], 0, None
         for batch in batches:
@@ -132,77 +158,104 @@ def word_lists(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS) ->
     return docs.mapInArrow(split, schema)
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``word, ids`` for each row of distinct ``word``."""
-    known = words.sparkSession.sparkContext.broadcast(ranks)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        for batch in batches:
-            ids = [encode_word(w.encode(), table) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))],
-                                             names=["word", "ids"])
-
-    return words.mapInArrow(encode, "word string, ids array<int>")
-
-
-def token_bytes(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """``token, bytes``: the table that decoding joins, one row per token of the vocabulary."""
-    return spark.createDataFrame(pd.DataFrame({"token": list(ranks.values()), "bytes": list(ranks)}),
-                                 "token int, bytes binary")
+def encode_words(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``of, part, lengths, ids``: the token ids of the words of every chunk ``of`` and bucket ``part``.
 
-
-def decode_words(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``word, ids, decoded``: bytes of the ids by the token-byte table, in the order of positions.
-
-    The table is as large as the vocabulary file, so it may be sent to every task.
+    Rows of a bucket come one after the other, so each of its distinct words is encoded once, whatever chunks it is in.
     """
-    table = F.broadcast(token_bytes(encoded.sparkSession, ranks))
-    tokens = encoded.select("word", F.posexplode("ids").alias("position", "token")).join(table, "token")
-    parts = F.sort_array(F.collect_list(F.struct("position", F.hex("bytes").alias("hex"), "token")))
-    whole = tokens.groupBy("word").agg(parts.alias("parts"))
-    return whole.select("word", F.col("parts.token").alias("ids"),
-                        F.unhex(F.array_join("parts.hex", "")).alias("decoded"))
+    known = lists.sparkSession.sparkContext.broadcast(ranks)
 
+    def only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.filter(pa.compute.is_valid(batch.column("words")))
+            yield held.select(["chunk", "bucket", "words"])
 
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id",
-                      text_column: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``id, ids, decoded`` for every row: token ids of the whole text, and the bytes that they decode to.
-
-    NULL and empty texts have no ids and decode to no bytes. Repeated rows and NULL ids stay as they are; other columns,
-    whatever their names, are not read. An empty table gives an empty result. A text is held by one task, however long.
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bucket, done = known.value, None, {}
+        for batch in batches:
+            lengths, ids = [], []
+            for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if b != bucket:
+                    bucket, done = b, {}
+                found = []
+                for word in unpack_words(packed):
+                    coded = done.get(word)
+                    if coded is None:
+                        coded = done[word] = encode_word(word, table)
+                    found.append(coded)
+                lengths.append(pack(np.array([len(c) for c in found], dtype=np.uint32)))
+                ids.append(pack(np.fromiter((i for c in found for i in c), dtype=np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(lengths, pa.binary()),
+                                              pa.array(ids, pa.binary())], names=["of", "part", "lengths", "ids"])
+
+    words = lists.mapInArrow(only_words, "chunk long, bucket int, words binary")
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        encode, "of long, part int, lengths binary, ids binary")
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text_column: str = "text",
+           chunk_chars: int = CHUNK_CHARS, count_only: bool = False) -> DataFrame:
+    """``id, ids`` for every row: the token ids of the whole text (with ``count_only`` their number, ``n_tokens``).
+
+    NULL and empty texts have no ids. Repeated rows and NULL ids stay as they are; other columns, whatever their names,
+    are not read. An empty table gives an empty result. A text is held by one task, however long.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     slim = docs.select(F.col(f"`{id_column}`").alias("id"), text_of(text_column).alias("text"))
-    path = new_path(spark, "word-lists")
-    lists = word_lists(slim, pattern, chunk_chars)
-    lists.write.option("compression", "zstd").parquet(path)
-    lists = spark.read.schema(lists.schema).parquet(path)
-
-    occurring = lists.filter("words IS NOT NULL").select("chunk", F.posexplode("words").alias("number", "word"))
-    known = decode_words(encode_words(occurring.select("word").distinct(), ranks), ranks)
-    back = occurring.join(known, "word").select(F.col("chunk").alias("of"), "number", "ids", "decoded")
-    schema = StructType([slim.schema["id"], StructField("ids", ArrayType(IntegerType())),
-                         *StructType.fromDDL("decoded binary").fields])
+    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = word_lists(slim, pattern, buckets, chunk_chars).repartition("chunk")
+    coded = encode_words(lists, ranks)
+    result = StructField("n_tokens", LongType()) if count_only else StructField("ids", ArrayType(IntegerType()))
+    schema = StructType([slim.schema["id"], result])
 
     def reassemble(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        words = words.sort_values("number")
-        lengths = np.array([len(i) for i in words["ids"]], dtype=np.int64)
-        flat = np.concatenate([np.empty(0, dtype=np.int32), *words["ids"]]).astype(np.int32)
-        starts, pieces = np.cumsum(lengths) - lengths, list(words["decoded"])
-        ids, decoded = [], []
-        for packed in texts["packed"]:
-            numbers = unpack(packed)
-            counts = lengths[numbers]
-            steps = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            ids.append(flat[np.repeat(starts[numbers], counts) + steps])
-            decoded.append(b"".join(map(pieces.__getitem__, numbers.tolist())))
-        return pd.DataFrame({"id": texts["id"], "ids": ids, "decoded": decoded})
+        by_bucket = dict(zip(words["part"], zip(words["lengths"], words["ids"])))
+        lists = texts[texts["bucket"] >= 0]
+        numbers = [np.cumsum(unpack(n).astype(np.int64)) for n in lists["numbers"]]
+        size = 1 + max((int(n[-1]) for n in numbers), default=-1)
+        lengths, starts, flat, at = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), [], 0
+        for bucket, places in zip(lists["bucket"], numbers):
+            counts, ids = (unpack(x) for x in by_bucket[bucket])
+            lengths[places] = counts
+            starts[places] = at + np.cumsum(counts) - counts
+            flat.append(ids.astype(np.int32))
+            at += len(ids)
+        ids, out = np.concatenate([np.empty(0, dtype=np.int32), *flat]), []
+        texts = texts[texts["bucket"] < 0]
+        for packed in texts["numbers"]:
+            places = unpack(packed)
+            counts = lengths[places]
+            if count_only:
+                out.append(int(counts.sum()))
+                continue
+            ends = np.cumsum(counts)
+            steps = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[places] - (ends - counts), counts)
+            out.append(ids[steps])
+        return pd.DataFrame({"id": texts["id"], result.name: pd.Series(out, index=texts.index, dtype=object)})
 
     # Both sides of a chunk are bounded by its characters; chunks are many more than tasks.
-    texts = lists.select("chunk", "id", "packed")
-    return texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInPandas(reassemble, schema)
+    return lists.groupBy("chunk").cogroup(coded.groupBy("of")).applyInPandas(reassemble, schema)
+
+
+def encoded_lengths(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id",
+                    text_column: str = "text") -> DataFrame:
+    """``id, n_tokens`` for every row: the number of tokens of the whole text."""
+    return encode(docs, ranks, pattern, id_column, text_column, count_only=True)
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_column: str = "ids", name: str = "decoded") -> DataFrame:
+    """``encoded`` with the bytes of an array of token ids; NULL ids give no bytes, and an unknown id is an error."""
+    bounded_batches(encoded.sparkSession)
+    known = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+
+    @F.pandas_udf("binary")
+    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        piece = known.value.__getitem__
+        for batch in batches:
+            yield pd.Series([b"" if ids is None else b"".join(map(piece, ids.tolist())) for ids in batch], dtype=object)
+
+    return encoded.withColumn(name, joined(F.col(f"`{ids_column}`")))
 
 
 def ids_digest(ids: Sequence[int] | str = "ids"):
