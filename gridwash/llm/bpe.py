@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from gridwash.llm.common import bounded_batches, text_of
 
-CHUNK_CHARS = 16_000_000  # texts of so many characters share a word list; a longer text is a chunk of its own
+CHUNK_CHARS = 4_000_000  # texts of so many characters share a word list; a longer text is a chunk of its own
 BUCKETS_PER_PARTITION = 2  # buckets of words for each partition that the session shuffles to
 
 
