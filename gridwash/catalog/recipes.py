@@ -196,7 +196,7 @@ def r12(t: Tables):
 
 
 # "~" stands for a quote, so that both dialects read the same literals.
-STORED = """replace(CASE doc_id % 14
+STORED = """replace(CASE doc_id % 15
   WHEN 0 THEN concat('SELECT * FROM data WHERE lang = ~', lang, '~;;')
   WHEN 1 THEN concat('```sql', chr(10), 'SELECT * FROM data', chr(10), '```')
   WHEN 2 THEN concat('WITH t AS (SELECT ', doc_id, ') DELETE FROM data')
@@ -210,10 +210,11 @@ STORED = """replace(CASE doc_id % 14
   WHEN 10 THEN concat('SELECT a FROM data WHERE set = ', doc_id)
   WHEN 11 THEN concat(' with x as (select 1) select * from x where y = ~', replace(text, chr(39), ''), '~')
   WHEN 12 THEN concat('SELECT * FROM glob(~**~) -- drop ', lang)
+  WHEN 13 THEN concat('SELECT 1 AS "it~s", reflect(~java.lang.Math~, ~abs~, ', doc_id, ') AS "b~"')
   ELSE text END, '~', chr(39))"""
-_WORDS = policy.BLOCKED_WORDS + policy.SPARK_WORDS
-_CALLS = [r"\bread_\w+\s*\(", r"\b\w+_scan\s*\(", r"\bglob\s*\(", r"\bsniff_csv\s*\(", r"\breflect\s*\(",
-          r"\bjava_method\s*\(", r"\btry_reflect\s*\("]
+# The texts as lists of tokens: what hides code, calls, words, other characters. Written apart from the operator's patterns.
+_HIDES = r'''r'[^']*'|'(?:[^'\\]|\\.|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|--[^\r\n]*|/[*][^+][\s\S]*?[*]/'''.replace("'", "''")
+_WORDS = ", ".join(f"'{w}'" for w in policy.BLOCKED_WORDS + policy.SPARK_WORDS)
 
 
 @query("r13_policy_scan", rf"""
@@ -222,16 +223,18 @@ f AS (SELECT doc_id, regexp_replace(stored, '^\s+|\s+$', '', 'g') AS q FROM s),
 u AS (SELECT doc_id, CASE WHEN starts_with(q, '```') THEN regexp_replace(regexp_replace(q, '^```(?:sql)?\s*|\s*```$',
       '', 'g'), '^\s+|\s+$', '', 'g') ELSE q END AS q FROM f),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(q, ';+$', ''), '^\s+|\s+$', '', 'g') AS cleaned_sql FROM u),
-b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(cleaned_sql, '''[^'']*''', '''''', 'g'),
-      '"[^"]*"', '""', 'g'), '`[^`]*`', '``', 'g') AS bare FROM c),
-w AS (SELECT *, COALESCE({", ".join(rf"CASE WHEN regexp_matches(bare, '(?i)\b{w}\b') THEN '{w}' END" for w in _WORDS)})
-        AS word,
-      COALESCE({", ".join(rf"upper(regexp_replace(NULLIF(regexp_extract(bare, '(?is){c}'), ''), '[( \t]+$', ''))" for c in _CALLS)})
-        AS call FROM b),
+k AS (SELECT *, list_filter(regexp_extract_all(cleaned_sql, '(?i){_HIDES}|\w+\s*[(]|\w+|\W'),
+      lambda x: regexp_matches(x, '^\w') AND NOT regexp_matches(x, '^[rR][' || chr(39) || ']') OR x = ';') AS tokens FROM c),
+n AS (SELECT *, list_transform(list_filter(tokens, lambda x: x <> ';'), lambda x: upper(regexp_replace(x, '[( \t]+$', '')))
+        AS words,
+      list_transform(list_filter(tokens, lambda x: regexp_matches(x,
+        '(?i)^(read_\w+|\w+_scan|glob|sniff_csv|reflect|java_method|try_reflect)\s*[(]$')),
+        lambda x: upper(regexp_replace(x, '[( \t]+$', ''))) AS calls FROM k),
+w AS (SELECT *, list_filter(words, lambda x: x IN ({_WORDS}))[1] AS word, calls[1] AS call FROM n),
 v AS (SELECT *, CASE WHEN cleaned_sql = '' THEN 'empty'
-        WHEN NOT regexp_matches(cleaned_sql, '(?i)^(?:select|with)') THEN 'not a select'
+        WHEN words[1] IS NULL OR words[1] NOT IN ('SELECT', 'WITH') THEN 'not a select'
         WHEN word IS NOT NULL THEN 'blocked keyword' WHEN call IS NOT NULL THEN 'blocked function'
-        WHEN contains(bare, ';') THEN 'multiple statements' ELSE 'ok' END AS verdict FROM w)
+        WHEN list_contains(tokens, ';') THEN 'multiple statements' ELSE 'ok' END AS verdict FROM w)
 SELECT doc_id, cleaned_sql, verdict, CASE verdict WHEN 'blocked keyword' THEN word WHEN 'blocked function' THEN call END
   AS blocked_keyword FROM v""")
 def r13(t: Tables):
