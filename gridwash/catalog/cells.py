@@ -227,7 +227,7 @@ g AS (SELECT label, ROUND(SUM(v), 2) AS value, MIN(event_id) AS first_seen FROM
 SELECT label, value FROM g ORDER BY first_seen LIMIT 30""")
 def e9(t: Tables):
     df = t.events.withColumn("shown", F.expr("CASE WHEN event_type = 'error' THEN 'n/a' ELSE cast(value AS string) END"))
-    return agg.chart_series(df, "user_id", "shown", "sum", "event_id")
+    return agg.chart_series(df, "user_id", "shown", "sum", "event_id", limit=30)
 
 
 @query("g1_sort", f"""

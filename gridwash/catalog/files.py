@@ -66,8 +66,49 @@ def a6(t: Tables):
     """Texts with line breaks, quotes and commas survive."""
     path = new_path(t.spark, "documents-csv")
     writers.write_csv(t.documents, path)
-    return (t.spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .schema(t.documents.schema).csv(path))
+    return readers.read_csv(t.spark, path)
+
+
+CONVERSATIONS = "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations"
+
+
+@query("a1_read_csv_texts", CONVERSATIONS)
+def a1_texts(t: Tables):
+    """Texts with the delimiter, quotes and line breaks, through a sniffed delimiter and an inferred schema."""
+    path = new_path(t.spark, "conversations-csv")
+    writers.write_csv(t.conversations, path)
+    return readers.read_csv(t.spark, path)
+
+
+@query("a2_read_csv_lenient_texts", CONVERSATIONS)
+def a2_texts(t: Tables):
+    path = new_path(t.spark, "conversations-csv")
+    writers.write_csv(t.conversations, path)
+    rows, _ = readers.read_csv_lenient(t.spark, path)
+    return rows
+
+
+@query("a3_read_tsv_texts", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def a3_texts(t: Tables):
+    path = new_path(t.spark, "documents-tsv")
+    writers.write_tsv(t.documents, path)
+    return readers.read_tsv(t.spark, path)
+
+
+@query("a4_read_export_json", """
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, text FROM conversations
+UNION ALL SELECT p_partkey, CAST(p_size AS BIGINT), p_name FROM part""")
+def a4_export(t: Tables):
+    """A folder of record lines and one of arrays, both named .json."""
+    lines, arrays = f"{new_path(t.spark, 'lines')}.json", f"{new_path(t.spark, 'arrays')}.json"
+    writers.write_export(t.conversations.select("conv_id", "turn", "text"), lines, "json")
+    parts = t.part.selectExpr("p_partkey AS conv_id", "p_size AS turn", "p_name AS text")
+    one = parts.groupBy((F.col("conv_id") % 20).alias("file")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    one.repartition("file").write.partitionBy("file").text(arrays)
+    return (readers.read_export(t.spark, lines).select("conv_id", "turn", "text")
+            .unionByName(readers.read_export(t.spark, arrays).select("conv_id", "turn", "text")))
+
+
 
 
 @query("a7_write_json", """
@@ -108,6 +149,13 @@ def a12(t: Tables):
     return t.spark.read.parquet(ingest(t.spark, landed, path, fmt="csv").path)
 
 
+@query("a12_ingest_texts", CONVERSATIONS)
+def a12_texts(t: Tables):
+    landed, path = new_path(t.spark, "landed-csv"), new_path(t.spark, "original")
+    writers.write_csv(t.conversations, landed)
+    return t.spark.read.parquet(ingest(t.spark, landed, path, fmt="csv").path)
+
+
 @query("a13_split_parts", f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        CAST((row_number() OVER (ORDER BY {', '.join(LINE_KEY[:4])}) - 1) // 7000 + 1 AS BIGINT) AS part

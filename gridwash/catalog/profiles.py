@@ -100,7 +100,7 @@ UNION ALL
 SELECT rank, 'Column ''' || col || ''' has ' || pct || '% null values', 'drop rows where ' || col || ' is null'
 FROM h WHERE rank <= 3""")
 def f6(t: Tables):
-    return ops.suggestions(t.documents.selectExpr(*SPARSE_SPARK))
+    return ops.suggestions(t.documents.selectExpr(*SPARSE_SPARK), most_columns=3)
 
 
 @query("f7_most_null_column", f"""

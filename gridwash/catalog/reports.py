@@ -61,7 +61,8 @@ def k3(t: Tables):
 
 @query("k4_usage_summary", f"""
 WITH u AS ({USERS}), r AS (SELECT * FROM ({ROLLUP}) x WHERE month = DATE '2024-01-01'),
-a AS (SELECT user_id, COUNT(*) AS n FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-01' GROUP BY 1)
+a AS (SELECT user_id, COUNT(*) AS n FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-01'
+      AND ts < TIMESTAMP '2024-02-01' GROUP BY 1)
 SELECT u.user_id, tier, COALESCE(uploads, 0) AS uploads, COALESCE(transforms, 0) AS transforms,
   COALESCE(chat_requests, 0) AS chat_requests, COALESCE(rows_processed, 0) AS rows_processed,
   COALESCE(n, 0) AS recipe_applies,

@@ -230,7 +230,8 @@ def c19(t: Tables):
 
 @query("c20_base_name", r"""
 SELECT page_id, regexp_replace(url, '\.[^/.]+$', '') AS base,
-       CASE WHEN contains(url, '.') THEN lower(split_part(url, '.', -1)) ELSE '' END AS extension FROM pages""")
+       CASE WHEN contains(split_part(url, '/', -1), '.') THEN lower(split_part(url, '.', -1)) ELSE '' END AS extension
+FROM pages""")
 def c20(t: Tables):
     return t.pages.select("page_id", text.base_name(F.col("url")).alias("base"),
                           text.extension(F.col("url")).alias("extension"))

@@ -56,8 +56,9 @@ def base_name(c: Column) -> Column:
 
 
 def extension(c: Column) -> Column:
-    """Lower-case text after the last dot, empty when there is none."""
-    return F.when(F.instr(c, ".") > 0, F.lower(F.element_at(F.split(c, r"\."), -1))).otherwise(F.lit(""))
+    """Lower-case text after the last dot of a file name, empty when there is none; dots of folders do not count."""
+    name = F.substring_index(c, "/", -1)
+    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
 
 
 def strip_fences(c: Column) -> Column:

@@ -30,9 +30,18 @@ def standardize_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column
     return F.coalesce(*[F.when(c.rlike(_shape(f)), F.to_date(F.try_to_timestamp(c, F.lit(f)))) for f in formats])
 
 
+# Digits, at most one point, an exponent. Spark's cast alone would also take Java's number suffixes, as in '5d' or '12F'.
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+
+
+def text_as_number(c: Column) -> Column:
+    """The number that a text spells, else NULL."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
 def parse_number(c: Column, group_mark: str = ",") -> Column:
     """'1,240.50' to 1240.5; NULL when no number is left."""
-    return F.replace(F.trim(c), F.lit(group_mark), F.lit("")).try_cast("double")
+    return text_as_number(F.replace(F.trim(c), F.lit(group_mark), F.lit("")))
 
 
 def month_of(c: Column) -> Column:
@@ -42,7 +51,7 @@ def month_of(c: Column) -> Column:
 
 def numeric_like(c: Column) -> Column:
     """Whether a cell is a number or the text of one."""
-    return F.coalesce(F.trim(c.cast("string")) != "", F.lit(False)) & c.cast("string").try_cast("double").isNotNull()
+    return F.coalesce(c.cast("string").rlike(NUMBER), F.lit(False))
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

@@ -65,18 +65,21 @@ def pivot_table(df: DataFrame, by: Sequence[str], on: str, values: Sequence, agg
     return wide.withColumnsRenamed({str(v): f"{prefix}{v}" for v in values}) if prefix else wide
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 500) -> list:
-    """Pivot values when the caller has none; refuses more than a table may have columns."""
-    rows = df.select(quoted(column)).filter(quoted(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def distinct_values(df: DataFrame, column: str, limit: int | None = None) -> list:
+    """Pivot values when the caller has none, so as many as the result gets columns; refuses more than ``limit``."""
+    values = df.select(quoted(column)).filter(quoted(column).isNotNull()).distinct()
+    rows = (values if limit is None else values.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} values; a table may not have that many columns")
     return sorted(r[0] for r in rows)
 
 
-def chart_series(df: DataFrame, x: str, y: str, mode: str, order_by: str, limit: int = 30) -> DataFrame:
-    """Label and value of the first groups in row order; text that is no number counts as 0."""
+def chart_series(df: DataFrame, x: str, y: str, mode: str, order_by: str,
+                 limit: int | None = None) -> DataFrame:
+    """Label and value of all groups, or the first ``limit`` in row order; text that is no number counts as 0."""
     number = F.coalesce(F.nanvl(quoted(y).cast("string").try_cast("double"), F.lit(0.0)), F.lit(0.0))
     modes = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}
     groups = (df.groupBy(F.coalesce(quoted(x).cast("string"), F.lit("null")).alias("label"))
                 .agg(F.round(modes[mode](number).cast("double"), 2).alias("value"), F.min(order_by).alias("_first")))
-    return groups.orderBy("_first", "label").limit(limit).drop("_first")
+    ordered = groups.orderBy("_first", "label")
+    return (ordered if limit is None else ordered.limit(limit)).drop("_first")

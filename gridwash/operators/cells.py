@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwash.functions.text import change_case
 from gridwash.functions.values import parse_number, standardize_date
@@ -38,8 +39,8 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def rename_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """New names in place; order and other columns stay."""
-    return df.withColumnsRenamed(dict(columns))
+    """New names in place; order and other columns stay. A name that is not there is an error, as in ``drop_columns``."""
+    return df.withColumnsRenamed({actual(df, old): new for old, new in columns.items()})
 
 
 def add_columns(df: DataFrame, columns: Sequence[Mapping[str, str]]) -> DataFrame:
@@ -70,11 +71,30 @@ def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return df.filter(condition)
 
 
+def _with_value(cell: Column, kind: T.DataType, value: Any) -> tuple[Column, Column]:
+    """Cell and value brought to one type that loses nothing of either.
+
+    A value that the column's type holds takes that type. A number it cannot hold, such as 0.9 among whole numbers, widens
+    the column to double; a text that spells no number does not fit a column of numbers and is an error.
+    """
+    if value is None or not isinstance(kind, T.NumericType):
+        return cell, F.lit(value).cast(kind)
+    if isinstance(value, str):
+        try:
+            value = int(value)
+        except ValueError:
+            value = float(value)
+    whole = isinstance(value, int) or isinstance(value, float) and value.is_integer()
+    bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(kind))
+    if bits is None or whole and -(1 << bits - 1) <= value < 1 << bits - 1:
+        return cell, F.lit(value).cast(kind)
+    return cell.cast("double"), F.lit(float(value))
+
+
 def fill_nulls(df: DataFrame, column: str, value: Any) -> DataFrame:
-    """Replace NULL in a column, keeping its type."""
+    """Replace NULL in a column, keeping its type where that holds the value."""
     column = actual(df, column)
-    kind = df.schema[column].dataType
-    return df.withColumn(column, F.coalesce(quoted(column), F.lit(value).cast(kind)))
+    return df.withColumn(column, F.coalesce(*_with_value(quoted(column), df.schema[column].dataType, value)))
 
 
 def update_cells(df: DataFrame, values: Mapping[str, Any], where: str | Sequence[str] | None = None) -> DataFrame:
@@ -84,8 +104,10 @@ def update_cells(df: DataFrame, values: Mapping[str, Any], where: str | Sequence
     for predicate in predicates:
         matches = matches & F.expr(predicate)
     named = {actual(df, name): value for name, value in values.items()}
-    edits = {name: F.when(matches, F.lit(value).cast(df.schema[name].dataType)).otherwise(quoted(name))
-             for name, value in named.items()}
+    edits = {}
+    for name, value in named.items():
+        cell, new = _with_value(quoted(name), df.schema[name].dataType, value)
+        edits[name] = F.when(matches, new).otherwise(cell)
     return df.withColumns(edits)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,8 @@ def json_text_schema(df: DataFrame, column: str) -> T.StructType:
     shape = df.agg(F.schema_of_variant_agg(F.try_parse_json(quoted(column)))).first()[0] or "VOID"
     if not shape.startswith("OBJECT<"):
         raise ValueError(f"{column} does not hold JSON objects of one kind (found {shape[:80]})")
-    ddl = shape.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
+    ddl = re.sub(r"`(?:[^`]|``)*`|(?:^|(?<=: )|(?<=ARRAY<))(?:OBJECT(?=<)|VOID|VARIANT)",
+                 lambda m: m[0] if m[0].startswith("`") else "STRUCT" if m[0] == "OBJECT" else "STRING", shape)
     return _text_leaves(T.StructType.fromDDL(f"doc {ddl}")["doc"].dataType)
 
 
@@ -63,14 +66,14 @@ def flatten_json_text(df: DataFrame, column: str, schema: T.StructType | None =
 
 
 def unwrap_array(df: DataFrame) -> DataFrame:
-    """``{"items": [...]}`` to one row per element; other records stay one row each.
+    """``{"items": [...]}`` to one row per element; a record with NULL or no elements stays one row of NULLs.
 
     The first array field is taken. Elements that are no records become column ``value``.
     """
     arrays = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     if not arrays:
         return df
-    items = df.select(F.explode(quoted(arrays[0].name)).alias("value"))
+    items = df.select(F.explode_outer(quoted(arrays[0].name)).alias("value"))
     if isinstance(arrays[0].dataType.elementType, T.StructType):
         return items.select("value.*")
     return items.select(F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))

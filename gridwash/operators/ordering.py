@@ -33,15 +33,15 @@ def grid_sort(df: DataFrame, column: str, direction: str = "asc", locale: str |
 
 
 def top_n(df: DataFrame, sort: Sequence[str | tuple[str, str]], n: int) -> DataFrame:
-    """The first n rows in the given order."""
+    """The first n rows in the given order; the same total order, ties by hash, whatever n is."""
     if n <= SMALL_LIMIT:
-        return df.orderBy(*sort_columns(sort)).limit(n)
+        return df.orderBy(*sort_columns(sort), tie_break(df)).limit(n)
     return row_index(df, sort, "_at").filter(F.col("_at") < n).drop("_at")
 
 
 def cap_rows(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str | tuple[str, str]] | None = None) -> DataFrame:
     """At most n rows: the first in order, or any n when the table has no order."""
-    return top_n(df, order_by or [], n) if order_by or n > SMALL_LIMIT else df.limit(n)
+    return top_n(df, order_by, n) if order_by else df.limit(n)
 
 
 def number_parts(df: DataFrame, order_by: Sequence[str | tuple[str, str]], rows_per_part: int = 1_000_000,
@@ -55,16 +55,16 @@ SORTABLE = {"created_at", "name", "row_count"}
 
 
 def paginate(df: DataFrame, q: str | None = None, sort: str = "created_at", direction: str = "desc",
-             page: int = 1, page_size: int = 20, tie: str = "id") -> DataFrame:
+             page: int = 1, page_size: int = 20, tie: str = "id", max_page_size: int = 100) -> DataFrame:
     """One page of a listing with the total number of matches on each row.
 
     Expects columns ``name``, ``created_at``, ``row_count`` and a unique ``tie``.
-    Unknown sort columns fall back to created_at, unknown directions to desc.
+    Unknown sort columns fall back to created_at, unknown directions to desc, and sizes to 1 to ``max_page_size``.
     """
     sort, direction = (sort or "").strip().lower(), (direction or "").strip().lower()
     sort = sort if sort in SORTABLE else "created_at"
     direction = direction if direction in ("asc", "desc") else "desc"
-    size = min(max(int(page_size), 1), 100)
+    size = min(max(int(page_size), 1), max_page_size)
     page = max(int(page), 1)
     matches = df.filter(quoted("name").ilike(f"%{q}%")) if q else df
     total = matches.agg(F.count(F.lit(1)).alias("total"))
@@ -76,7 +76,7 @@ def page_of(df: DataFrame, order_by: Sequence[str | tuple[str, str]], page: int,
     """Rows of one page; a page far into the table is found by row index, not by sorting up to it in one task."""
     start = (page - 1) * page_size
     if start + page_size <= SMALL_LIMIT:
-        return df.orderBy(*sort_columns(order_by)).offset(start).limit(page_size)
+        return df.orderBy(*sort_columns(order_by), tie_break(df)).offset(start).limit(page_size)
     return (row_index(df, order_by, "_at").filter(F.col("_at").between(start, start + page_size - 1)).drop("_at"))
 
 

@@ -16,7 +16,6 @@ from gridwash.operators.duplicates import duplicate_row_count
 from gridwash.operators.segments import exact_median
 
 SUGGEST_ABOVE_PCT = 10
-MAX_NULL_SUGGESTIONS = 3
 SAMPLE_VALUES = 5
 PREVIEW_ROWS = 500
 
@@ -138,8 +137,8 @@ def numeric_stats(df: DataFrame, approx: bool = False, in_memory_values: int = 1
                 .withColumn("median", F.coalesce("median", F.round("_found", 2))).drop("_found"))
 
 
-def suggestions(df: DataFrame) -> DataFrame:
-    """What to clean first: duplicates, then the first three columns with many NULLs."""
+def suggestions(df: DataFrame, most_columns: int | None = None) -> DataFrame:
+    """What to clean first: duplicates, then the columns with many NULLs, all or the first ``most_columns``."""
     order = {c: i for i, c in enumerate(df.columns)}
     dup = (duplicate_row_count(df).filter("duplicate_rows > 0")
            .select(F.lit(0).cast("bigint").alias("rank"),
@@ -150,7 +149,7 @@ def suggestions(df: DataFrame) -> DataFrame:
     # One row per column of the table, so this window is as small as the schema.
     high = (null_columns(df).filter(F.col("null_pct") > SUGGEST_ABOVE_PCT)
             .withColumn("rank", F.row_number().over(Window.orderBy(place)).cast("bigint"))
-            .filter(F.col("rank") <= MAX_NULL_SUGGESTIONS)
+            .filter(F.lit(True) if most_columns is None else F.col("rank") <= most_columns)
             .select("rank",
                     F.concat(F.lit("Column '"), F.col("column"), F.lit("' has "),
                              F.col("null_pct").cast("string"), F.lit("% null values")).alias("text"),

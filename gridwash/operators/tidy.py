@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridwash.functions.text import collapse_spaces, trim_ws
+from gridwash.functions.text import WHITE_SPACE, collapse_spaces, trim_ws
 from gridwash.operators.cells import quoted
 
 
@@ -35,9 +36,15 @@ def clean_text(df: DataFrame, columns: Sequence[str] | None = None, trim: bool =
     return df.withColumns({n: _cleaned(n, trim, collapse) for n in names})
 
 
-def clean_headers(df: DataFrame) -> DataFrame:
-    """Trim the column names."""
-    return df.toDF(*[c.strip() for c in df.columns])
+def cleaned_header(name: str, trim: bool = True, collapse: bool = False) -> str:
+    """A column name cleaned as a text cell is."""
+    name = name.strip(WHITE_SPACE) if trim else name
+    return re.sub(" {2,}", " ", name) if collapse else name
+
+
+def clean_headers(df: DataFrame, trim: bool = True, collapse: bool = False) -> DataFrame:
+    """Clean the column names like cells."""
+    return df.toDF(*[cleaned_header(c, trim, collapse) for c in df.columns])
 
 
 def drop_empty_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -70,7 +77,7 @@ def drop_empty_columns(df: DataFrame, ignore_header: bool = False) -> DataFrame:
 def clean_report(df: DataFrame, trim: bool = True, collapse: bool = False) -> DataFrame:
     """Cells touched (headers included), empty rows and columns removed by a cleaning run, in one scan."""
     names = text_columns(df)
-    headers = sum(c.strip() != c for c in df.columns) if trim else 0
+    headers = sum(cleaned_header(c, trim, collapse) != c for c in df.columns)
     changed = [F.when(quoted(n) != _cleaned(n, trim, collapse), 1).otherwise(0) for n in names]
     touched = reduce(lambda a, b: a + b, changed, F.lit(0))
     after = [F.coalesce(_cleaned(c, trim, collapse) if c in names else quoted(c).cast("string"), F.lit("")) != ""

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from gridwash.operators.cells import quoted
 from gridwash.operators.segments import row_numbers
-from gridwash.plans.policy import PolicyError, check_sql
+from gridwash.operators.tidy import text_columns
+from gridwash.plans.policy import PolicyError, check_sql, code_of
 from gridwash.plans.steps import ROW_WISE, Step, apply_step, replay
 
 
@@ -44,6 +48,13 @@ class Recipe:
                                          for s in raw["steps"]),
                       tuple(tuple(c) for c in raw.get("required_columns", [])))
 
+    @staticmethod
+    def from_rows(name: str, rows: Sequence, required_columns: Sequence[tuple[str, str]] = ()) -> Recipe:
+        """From stored rows of ``step_number, instruction, sql_query``, in any order; every step is a SQL step."""
+        ordered = sorted((r.asDict() if isinstance(r, Row) else dict(r) for r in rows), key=lambda r: r["step_number"])
+        return Recipe(name, tuple(Step("sql", {"query": r["sql_query"]}, (r.get("instruction") or "").strip())
+                                  for r in ordered), tuple(required_columns)).validated()
+
     def missing_in(self, target: DataFrame) -> list[str]:
         """Source columns the target lacks, ignoring case, in source order."""
         have = {c.lower() for c in target.columns}
@@ -75,25 +86,60 @@ def apply_recipe(recipe: Recipe, target: DataFrame, existing: Sequence[Step] = (
 
 
 def apply_recipe_many(recipe: Recipe, exports: DataFrame, export_column: str) -> DataFrame:
-    """One recipe over many exports read as one table, each export on its own.
+    """One recipe over many exports read as one table, with the result of each export as if it were alone.
 
-    Row-wise steps need nothing; grouping, distinct and keep-first steps carry the
-    export along as a further key. Steps that cannot be split this way are refused.
+    Row-wise steps need nothing; grouping, distinct and keep-first steps carry the export along as a further key. From the
+    first step on that looks at other rows in any other way (SQL, windows, limits, pivots and what finds its columns in the
+    data), the exports go on one by one: their names come to the driver, and the plan has one branch for each.
     """
-    df = exports
-    for step in recipe.validated().steps:
-        if step.op == "groupby":
-            step = Step("groupby", {**step.args, "by": [export_column, *step.args["by"]]})
-        elif step.op in ("distinct_on", "keep_first") and step.args.get("keys"):
-            step = Step(step.op, {**step.args, "keys": [export_column, *step.args["keys"]]})
-        elif step.op == "select":
-            step = Step("select", {"columns": [export_column, *step.args["columns"]]})
-        elif step.op not in ROW_WISE and step.op not in ("distinct", "sort"):
-            raise RecipeError(f"step {step.op} looks across exports; apply the recipe per export")
+    df, steps = exports, list(recipe.validated().steps)
+    while steps:
+        step = _with_export(df, steps[0], export_column)
+        if step is None:
+            return _one_by_one(df, steps, export_column)
         df = apply_step(df, step)
+        steps.pop(0)
     return df
 
 
+def _with_export(df: DataFrame, step: Step, export: str) -> Step | None:
+    """The step as it means the same on all exports together, None if there is no such form."""
+    others = [c for c in df.columns if c != export]
+    args = step.args
+    if step.op == "groupby":
+        return Step("groupby", {**args, "by": [export, *args["by"]]})
+    if step.op in ("distinct_on", "keep_first"):
+        return Step(step.op, {**args, "keys": [export, *args["keys"]]}) if args.get("keys") else None
+    if step.op == "select":
+        return Step("select", {"columns": [export, *args["columns"]]})
+    if step.op in ("drop_empty_rows", "dropna"):
+        return Step(step.op, {"columns": list(args.get("columns") or others)})
+    if step.op == "clean_text":
+        return Step(step.op, {**args, "columns": list(args.get("columns") or [c for c in text_columns(df) if c != export])})
+    if step.op in ("add_columns", "filter", "update"):
+        found = [item["expr"] for item in args["columns"]] if step.op == "add_columns" else args.get("where") or []
+        return step if _looks_at_one_row([found] if isinstance(found, str) else found) else None
+    return step if step.op in ROW_WISE or step.op in ("distinct", "sort") else None
+
+
+def _looks_at_one_row(expressions: Sequence[str]) -> bool:
+    """No window, aggregate or subquery; anything that could be one counts as one."""
+    code = " ".join(code_of(e) for e in expressions)
+    return not re.search(r"(?i)\bover\b|\bselect\b|\b(?:sum|avg|mean|min|max|count|first|last|median|mode|stddev|variance|"
+                         r"percentile|approx|collect|any|every|some|bool|rank|row_number|lag|lead|ntile)\w*\s*\(", code)
+
+
+def _one_by_one(df: DataFrame, steps: Sequence[Step], export: str) -> DataFrame:
+    """The remaining steps on each export alone, put together by name with the export as first column."""
+    others = [c for c in df.columns if c != export]
+    names = sorted((r[0] for r in df.select(quoted(export)).distinct().collect()), key=lambda n: (n is None, str(n)))
+    parts = [replay(df.filter(quoted(export).eqNullSafe(F.lit(n))).select(*map(quoted, others)), steps)
+             .select(F.lit(n).cast(df.schema[export].dataType).alias(export), "*") for n in names]
+    if not parts:
+        return replay(df.select(*map(quoted, others)), steps).select(F.lit(None).cast(df.schema[export].dataType).alias(export), "*")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def snapshot_steps(steps: DataFrame, chain: str = "file_id") -> DataFrame:
     """Stored chain rows to recipe rows: ordered, renumbered from 1, instruction trimmed, three fields kept."""
     numbered = row_numbers(steps, [chain], ["step_number"], "_n")

@@ -63,7 +63,8 @@ def usage_summary(users: DataFrame, usage: DataFrame, audit: DataFrame, month: s
                   limits: Mapping[str, Mapping[str, int]]) -> DataFrame:
     """Counters of one month, limits, and recipe applies from ``audit(user_id, action, created_at)``."""
     first = F.lit(month).cast("date")
-    applies = (audit.filter((F.col("action") == "recipe_apply") & (F.col("created_at") >= first))
+    within = (F.col("created_at") >= first) & (F.col("created_at") < F.add_months(first, 1))
+    applies = (audit.filter((F.col("action") == "recipe_apply") & within)
                     .groupBy("user_id").agg(F.count(F.lit(1)).alias("recipe_applies")))
     current = usage.filter(F.col("month") == first).drop("month")
     out = users.join(current, "user_id", "left").join(applies, "user_id", "left")

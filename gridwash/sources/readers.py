@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridwash.functions.text import WHITE_SPACE
+
 DELIMITERS = [",", "\t", ";", "|"]
 RAW = "_raw_line"
+SNIFFED = 65_536  # characters of the first line that are looked at
+# One dialect for readers and writers: a quote inside a quoted cell is doubled, and such cells may hold line breaks.
+DIALECT = {"quote": '"', "escape": '"'}
 
 
 class UnreadableFile(ValueError):
@@ -16,7 +21,9 @@ class UnreadableFile(ValueError):
 
 
 def _first_line(spark: SparkSession, path: str) -> str:
-    rows = spark.read.text(path).limit(1).collect()
+    """The beginning of the first line that is not blank."""
+    line = F.substring("value", 1, SNIFFED)
+    rows = spark.read.text(path).select(line.alias("line")).filter(F.trim("line") != "").limit(1).collect()
     return rows[0][0] if rows else ""
 
 
@@ -32,18 +39,33 @@ def _widened(schema: T.StructType) -> T.StructType:
                          for f in schema.fields])
 
 
-def _csv_schema(spark: SparkSession, path: str, sep: str, sampling: float) -> T.StructType:
-    inferred = (spark.read.option("header", True).option("inferSchema", True).option("sep", sep)
+def _csv_reader(spark: SparkSession, sep: str, multi_line: bool, header: bool = True) -> DataFrameReader:
+    return spark.read.options(**DIALECT).option("header", header).option("sep", sep).option("multiLine", multi_line)
+
+
+def _csv_schema(spark: SparkSession, path: str, sep: str, sampling: float, multi_line: bool = True) -> T.StructType:
+    inferred = (_csv_reader(spark, sep, multi_line).option("inferSchema", True)
                 .option("samplingRatio", sampling).csv(path))
     return _widened(inferred.schema)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str | None = None,
-             sampling: float = 1.0) -> DataFrame:
-    """Delimited text with a header. A given schema saves the pass that infers one."""
+             sampling: float = 1.0, multi_line: bool = True) -> DataFrame:
+    """Delimited text with a header. A given schema saves the pass that infers one.
+
+    Quoted cells may hold line breaks, so a file is read by one task. ``multi_line=False`` splits huge files that are known
+    to have none.
+    """
     sep = sep or sniff_delimiter(spark, path)
-    schema = schema or _csv_schema(spark, path, sep, sampling)
-    return spark.read.option("header", True).option("sep", sep).schema(schema).csv(path)
+    schema = schema or _csv_schema(spark, path, sep, sampling, multi_line)
+    # A mark that no cell has stands for NULL, so that a quoted empty cell is an empty text and an unquoted one NULL.
+    return _csv_reader(spark, sep, multi_line).option("nullValue", "\x00").schema(schema).csv(path)
+
+
+def header_names(spark: SparkSession, path: str, sep: str | None = None) -> list[str]:
+    """The header as it stands in the file; Spark renames repeated and blank names when it reads one."""
+    first = _csv_reader(spark, sep or sniff_delimiter(spark, path), True, header=False).csv(path).first()
+    return [c or "" for c in first] if first else []
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -51,7 +73,7 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_csv_lenient(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                     sep: str | None = None, header: bool = True) -> tuple[DataFrame, DataFrame]:
+                     sep: str | None = None, header: bool = True, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Every row, short ones padded with NULL, and separately the rows that did not fit, with their raw line.
 
     Spark finds misfits while it parses all columns, so read the second table whole or save it first.
@@ -61,18 +83,28 @@ def read_csv_lenient(spark: SparkSession, path: str, schema: T.StructType | None
         raise UnreadableFile("This file could not be read as a table. Saving it again as a standard CSV usually helps.")
     try:
         sep = sep or sniff_delimiter(spark, path)
-        schema = schema or _csv_schema(spark, path, sep, 1.0)
+        schema = schema or _csv_schema(spark, path, sep, 1.0, multi_line)
         marked = T.StructType([*schema.fields, T.StructField(RAW, T.StringType())])
-        df = (spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+        df = (_csv_reader(spark, sep, multi_line, header).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", RAW).schema(marked).csv(path))
     except AnalysisException as exc:
         raise UnreadableFile("This file could not be read as a table.") from exc
     return df.drop(RAW), df.filter(F.col(RAW).isNotNull())
 
 
+def json_by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether JSON text holds a record per line, by its first line that is not blank: an array, or a record that goes on in
+    the next line, is read as a whole."""
+    line = F.trim(F.col("value"), F.lit(WHITE_SPACE))
+    whole = line.startswith("{") & F.try_parse_json(line).isNotNull()
+    first = spark.read.text(path).select(line.alias("line"), whole.alias("whole")).filter("line <> ''").select("whole").first()
+    return first is None or bool(first.whole)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              lines: bool = True) -> DataFrame:
-    """JSON lines, or with ``lines=False`` files that hold one array of records each."""
+              lines: bool | None = None) -> DataFrame:
+    """Records of JSON text, one per line or whole files of an array or a record; by default as the text begins."""
+    lines = json_by_lines(spark, path) if lines is None else lines
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
@@ -85,7 +117,7 @@ def read_export(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     """Read by format, by default the one the file name ends in."""
     fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
     readers = {"csv": read_csv, "tsv": read_tsv, "parquet": read_parquet, "pq": read_parquet,
-               "jsonl": read_json, "json": lambda s, p: read_json(s, p, lines=False)}
+               "jsonl": lambda s, p: read_json(s, p, lines=True), "json": read_json}
     if fmt not in readers:
         raise ValueError(f"unsupported format {fmt!r}; use one of {sorted(readers)}")
     return readers[fmt](spark, path)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from gridwash.functions.text import extension
 
-MAX_FILE_BYTES = 400 * 1024 * 1024
 # Leading bytes by extension, signatures of programs, macro markers inside workbooks.
 MAGIC = {"xlsx": b"PK\x03\x04", "xls": b"\xd0\xcf\x11\xe0", "parquet": b"PAR1", "pq": b"PAR1"}
 PROGRAMS = {b"MZ": "Windows executable", b"\x7fELF": "Linux executable", b"#!": "script"}
+HEAD_BYTES = 16
 MACRO_MARKERS = [b"vbaProject.bin", b"xl/vbaProject", b"xl/macros"]
 
 
@@ -31,11 +31,25 @@ def triage(files: DataFrame) -> DataFrame:
                  .select("path", "ext", "verdict", "reason"))
 
 
-def triage_landing_zone(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Triage of every file below a folder. Files above the size limit are rejected without being opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    small = triage(files.filter(F.col("length") <= max_bytes).select("path", "content"))
-    large = (files.filter(F.col("length") > max_bytes)
-             .select("path", extension(F.col("path")).alias("ext"), F.lit("rejected").alias("verdict"),
-                     F.lit("too large").alias("reason")))
-    return small.unionByName(large)
+def triage_landing_zone(spark: SparkSession, folder: str) -> DataFrame:
+    """Triage of every file below a folder, of any size.
+
+    Files are judged by their leading bytes, which come from a scan that holds one line at a time; only workbooks, whose
+    macros may be anywhere, are looked at as a whole. Empty files hold nothing to ingest and are not listed.
+    """
+    def files(glob: str | None = None) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        return (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
+
+    lines = (spark.read.option("recursiveFileLookup", True).text(folder)
+             .filter("_metadata.file_block_start = 0")
+             .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"),
+                     F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("head")))
+    heads = lines.groupBy("path").agg(F.min_by("head", "at").alias("head"))
+    macros = files("*.[xX][lL][sS]*").select("path", reduce(lambda a, b: a | b, [
+        F.contains(F.col("content"), F.lit(bytearray(m))) for m in MACRO_MARKERS]).alias("macros")).filter("macros")
+    # What the rules look at: the head, and a marker in its place for workbooks that have one anywhere.
+    content = F.concat(F.coalesce("head", F.lit(b"")), F.when(F.col("macros"), F.lit(bytearray(MACRO_MARKERS[0])))
+                       .otherwise(F.lit(b"")))
+    return triage(files().select("path").join(heads, "path", "left").join(macros, "path", "left")
+                  .select("path", content.alias("content")))

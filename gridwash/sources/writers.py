@@ -7,10 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from gridwash.operators.ordering import number_parts
+from gridwash.sources.readers import DIALECT
+
+
+def _csv_options(sep: str = ",") -> dict:
+    """The readers' dialect; cells keep the blanks at their ends."""
+    return {**DIALECT, "header": True, "sep": sep, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
-    df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    df.write.mode(mode).options(**_csv_options(sep)).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -41,8 +47,10 @@ def split_export(df: DataFrame, path: str, order_by: Sequence[str], rows_per_par
     """
     parts = number_parts(df, order_by, rows_per_part).repartition("part").sortWithinPartitions("part", *order_by)
     writer = parts.write.mode(mode).partitionBy("part")
-    if fmt == "csv":
-        writer.option("header", True).csv(path)
+    if fmt in ("csv", "tsv"):
+        writer.options(**_csv_options("\t" if fmt == "tsv" else ",")).csv(path)
+    elif fmt == "json":
+        writer.option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
         writer.option("compression", "zstd").parquet(path)
     else:

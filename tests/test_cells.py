@@ -236,3 +236,53 @@ def test_filters_and_columns_reach_the_scan(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     text_ = plan(cells.filter_rows(orders, ["o_totalprice > 1000"]).select("o_orderkey"))
     assert "GreaterThan(o_totalprice,1000.0)" in text_ and "o_orderpriority" not in text_.split("ReadSchema")[1]
+
+
+def test_values_that_a_column_cannot_hold_widen_it(spark):
+    df = spark.createDataFrame([(1, None), (None, "a")], "n int, t string")
+    assert rows(cells.fill_nulls(df, "n", 0.9), "n") == [(1.0,), (0.9,)]
+    assert cells.fill_nulls(df, "n", 7.0).dtypes[0] == ("n", "int") and cells.fill_nulls(df, "n", 2**40).dtypes[0] == ("n", "double")
+    assert rows(cells.update_cells(df, {"n": 0.5, "t": 3}, "n = 1")) == [(0.5, "3"), (None, "a")]
+    with pytest.raises(ValueError):
+        cells.fill_nulls(df, "n", "none")
+
+
+def test_codes_are_no_numbers(spark):
+    df = spark.createDataFrame([(x,) for x in ["5d", "12F", "1,240.5", " -3e2 ", ".5", "NaN", "", None, "1.2.3", "0x1F"]], "t string")
+    assert rows(cells.parse_numbers(df, "t")) == [(x,) for x in [None, None, 1240.5, -300.0, 0.5, None, None, None, None, None]]
+    assert cells.numeric_share(df).first().numeric_cells == 2
+
+
+def test_renaming_a_missing_column_fails(spark, people):
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        cells.rename_columns(people, {"salary": "pay"})
+    assert cells.rename_columns(people, {"NAME": "who"}).columns == ["who", "age", "city"]
+
+
+def test_json_keys_named_like_types(spark):
+    df = spark.createDataFrame([('{"AVOIDED": "x", "VOID": {"VARIANT s": [1, null]}, "n": null}',), ('{"OBJECTS": true}',)], "j string")
+    got = nested.flatten_json_text(df, "j")
+    assert sorted(got.columns) == ["j.AVOIDED", "j.OBJECTS", "j.VOID.VARIANT s", "j.n"]
+    assert got.first()["j.AVOIDED"] == "x"
+
+
+def test_records_without_elements_stay(spark):
+    df = spark.createDataFrame([(["a"],), (None,), ([],)], "xs array<string>")
+    assert rows(nested.unwrap_array(df)) == [("a",), ("",), ("",)]
+
+
+def test_headers_are_cleaned_like_cells(spark):
+    df = spark.createDataFrame([("x", "y")], ["a  b", " c"])
+    assert tidy.clean_headers(df, collapse=True).columns == ["a b", "c"] and tidy.clean_headers(df).columns == ["a  b", "c"]
+    assert tidy.clean_report(df, collapse=True).first().cells_touched == 2 and tidy.clean_report(df).first().cells_touched == 1
+
+
+def test_ties_fall_alike_on_both_sides_of_the_border(spark, monkeypatch):
+    df = spark.createDataFrame([(1, i) for i in range(20)], "k int, v long")
+    got = []
+    for border in (3, 100):
+        monkeypatch.setattr("gridwash.operators.ordering.SMALL_LIMIT", border)
+        pages = [rows(ordering.page_of(df, ["k"], p, 5), "v") for p in (1, 2, 3, 4)]
+        assert sorted(r for page in pages for r in page) == [(i,) for i in range(20)]
+        got.append([sorted(rows(ordering.top_n(df, ["k"], 5), "v")), *map(sorted, pages)])
+    assert got[0] == got[1]

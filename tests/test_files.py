@@ -49,10 +49,43 @@ def test_garbage_gives_a_readable_error(spark, tmp_path):
 
 
 def test_column_names():
-    assert sanitize_column_names(["na\x00me\t", "  ", ""]) == ["name", "unnamed", "unnamed_1"]
-    assert sanitize_column_names(["a", "a", "a"]) == ["a", "a_1", "a_2"]
-    assert len(set(sanitize_column_names(["a", "a", "a_1"]))) == 3
-    assert len(sanitize_column_names(["n" * 300])[0]) == 255
+    assert sanitize_column_names(["\x1fPrice\r", " Price", "\x07"]) == ["Price", "Price_1", "unnamed"]
+    assert sanitize_column_names(["x", "X", "x_1", "x"]) == ["x", "X_2", "x_1", "x_3"]
+    assert sanitize_column_names(["w" * 400]) == ["w" * 400]
+    assert sanitize_column_names(["w" * 400, "w" * 9], max_length=9) == ["w" * 9, "w" * 9 + "_1"]
+
+
+def test_headers_reach_ingest_as_they_stand(spark, tmp_path):
+    (tmp_path / "h.csv").write_text('k,K,,"two\nlines",k\n1,2,3,4,5\n')
+    done = ingest(spark, str(tmp_path / "h.csv"), new_path(spark, "in"))
+    table = spark.read.parquet(done.path)
+    assert table.columns == ["k", "K_1", "unnamed", "twolines", "k_2"] and rows(table) == [(1, 2, 3, 4, 5)]
+
+
+TEXTS = ['say "hi", ok', "a\nb", "", " blanks ", 'ends with "', "\"", "a\r\nb", "tab\there", "\\", "a,b;c|d"]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "tsv", "json", "parquet"])
+def test_texts_survive_every_format(spark, fmt):
+    table = spark.createDataFrame(list(enumerate(TEXTS)), "n long, t string")
+    path = f"{new_path(spark, 'texts')}.{fmt}"
+    writers.write_export(table, path, fmt)
+    assert sorted(rows(readers.read_export(spark, path).select("n", "t"))) == list(enumerate(TEXTS))
+    if fmt != "parquet":
+        parts = f"{new_path(spark, 'parts')}.{fmt}"
+        writers.split_export(table, parts, ["n"], 4, fmt)
+        back = readers.read_export(spark, parts)
+        assert sorted(rows(back.select("n", "t"))) == list(enumerate(TEXTS))
+        assert sorted(rows(back.groupBy("part").count())) == [(1, 4), (2, 4), (3, 2)]
+
+
+def test_json_is_told_by_its_beginning(spark, tmp_path):
+    cases = {"lines": '\n {"a": 1}\n{"a": 2}\n', "array": '\n\n[{"a": 1},\n{"a": 2}]', "pretty": '{\n"a": 1\n}',
+             "short": '[{"a": 1}, {"a": 2}]'}
+    for name, text in cases.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        want = [(1,)] if name == "pretty" else [(1,), (2,)]
+        assert sorted(rows(readers.read_export(spark, str(tmp_path / f"{name}.json")), "a")) == want
 
 
 def test_ingest_counts_caps_and_refuses(spark, ab):
@@ -63,8 +96,9 @@ def test_ingest_counts_caps_and_refuses(spark, ab):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         ingest(spark, ab, done.path)
     wide = ab.select(*[F.lit(1).alias(f"c{i}") for i in range(501)])
+    assert ingest(spark, wide, new_path(spark, "in")).column_count == 501
     with pytest.raises(ValueError, match="501 columns"):
-        ingest(spark, wide, new_path(spark, "in"))
+        ingest(spark, wide, new_path(spark, "in"), max_columns=500)
 
 
 def test_split_export(spark):
@@ -76,18 +110,20 @@ def test_split_export(spark):
 
 
 def test_triage(spark, tmp_path):
-    files = {"ok.csv": b"a,b\n", "ok.parquet": b"PAR1..", "bad.parquet": b"a,b", "tool.csv": b"MZ\x90", "run.json": b"#!/bin/sh",
-             "elf.tsv": b"\x7fELF", "book.xlsx": b"PK\x03\x04zip", "macro.xlsx": b"PK\x03\x04..xl/vbaProject.bin",
-             "macro.xlsm": b"PK\x03\x04", "old.xls": b"\xd0\xcf\x11\xe0", "big.csv": b"x" * 5000}
-    for name, raw in files.items():
+    files = {"plain.tsv": (b"k\tv\n1\t2\n", None), "t.PQ": (b"PAR1\x15\x04", None), "t.pq": (b"k,v\n", "content is not .pq"),
+             "calc.json": (b"MZ\x00\x03", "Windows executable"), "job.csv": (b"#!perl", "script"),
+             "lib.csv": (b"\x7fELF\x02", "Linux executable"), "a.xlsx": (b"PK\x03\x04" + b"sheet\n" * 9, None),
+             "b.xlsx": (b"PK\x03\x04\n\n" + b"z" * 90_000 + b"xl/macros", "contains macros"),
+             "c.XLSM": (b"PK\x03\x04", "macro-enabled workbook"), "d.xls": (b"\xd0\xcf\x11\xe0", None),
+             "folder.v2/README": (b"text", None), "huge.csv": (b"k,v\n" + b"1,2\n" * 200_000, None)}
+    (tmp_path / "folder.v2").mkdir()
+    for name, (raw, _) in files.items():
         (tmp_path / name).write_bytes(raw)
-    got = {r.path.rsplit("/", 1)[-1]: r.reason for r in triage_landing_zone(spark, str(tmp_path), max_bytes=4000).collect()}
-    assert got == {"ok.csv": None, "ok.parquet": None, "bad.parquet": "content is not .parquet",
-                   "tool.csv": "Windows executable", "run.json": "script", "elf.tsv": "Linux executable",
-                   "book.xlsx": None, "macro.xlsx": "contains macros", "macro.xlsm": "macro-enabled workbook",
-                   "old.xls": None, "big.csv": "too large"}
-    noext = spark.createDataFrame([("README", bytearray(b"text"))], "path string, content binary")
-    assert rows(triage(noext)) == [("README", "", "ok", None)]
+    found = {r.path.split(str(tmp_path) + "/")[-1]: r for r in triage_landing_zone(spark, str(tmp_path)).collect()}
+    assert {name: r.reason for name, r in found.items()} == {name: reason for name, (_, reason) in files.items()}
+    assert found["folder.v2/README"].ext == "" and found["t.PQ"].ext == "pq"
+    one = spark.createDataFrame([("s3://in.v2/x/README", bytearray(b"text"))], "path string, content binary")
+    assert rows(triage(one)) == [("s3://in.v2/x/README", "", "ok", None)]
 
 
 def test_shared_folder_is_the_configured_one(spark):

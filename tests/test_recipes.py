@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from gridwash.plans import history
 from gridwash.plans.recipes import (Recipe, RecipeError, apply_recipe, apply_recipe_many, renumber_after, require_steps,
@@ -88,34 +89,96 @@ def test_many_exports_stay_apart(spark):
     df = spark.createDataFrame([("jan", "x", 1), ("jan", "x", 2), ("feb", "x", 5)], "month string, k string, v long")
     recipe = Recipe.of("sum", df, [Step("groupby", {"by": ["k"], "aggs": [{"col": "v", "fn": "sum"}]})])
     assert sorted(rows(apply_recipe_many(recipe, df, "month"))) == [("feb", "x", 5), ("jan", "x", 3)]
-    with pytest.raises(RecipeError):
-        apply_recipe_many(Recipe.of("top", df, [Step("limit", {"n": 1})]), df, "month")
 
 
-def test_checkpointed_replay_equals_plain_replay(spark):
+ALONE = [
+    [Step("limit", {"n": 1, "sort": [{"col": "v", "dir": "desc"}]})], [Step("drop_empty_rows")], [Step("dropna")],
+    [Step("clean_text")], [Step("distinct")], [Step("keep_first", {"keys": ["k"], "order_by": ["v"]})],
+    [Step("add_columns", {"columns": [{"name": "share", "expr": "v / sum(v) over ()"}]})],
+    [Step("filter", {"where": "v > 1"})], [Step("filter", {"where": "v = (select 2)"})],
+    [Step("update", {"set": {"v": 0.5}, "where": "v = 2"})],
+    [Step("sql", {"query": "SELECT k, count(*) n, max(v) m FROM data GROUP BY k"}), Step("filter", {"where": "n > 1"})],
+    [Step("groupby", {"by": ["k"], "aggs": [{"col": "v", "fn": "sum"}]})], [Step("drop_empty_columns", {"ignore_header": True})],
+    [Step("select", {"columns": ["v"]})], [Step("sort", {"sort": [{"col": "v", "dir": "asc"}]})],
+]
+
+
+@pytest.mark.parametrize("steps", ALONE, ids=lambda s: s[0].op)
+def test_many_exports_equal_each_alone(spark, steps):
+    df = spark.createDataFrame([(" jan", "x", 1), (" jan", " x ", 2), (" jan", None, None), ("feb", "x", 5), ("feb", "", None),
+                                ("feb", "x", 5), (None, "y", 2)], "month string, k string, v long")
+    recipe = Recipe.of("r", df, steps)
+    got = apply_recipe_many(recipe, df, "month")
+    want = []
+    for month in (" jan", "feb", None):
+        alone = apply_recipe(recipe, df.filter(F.col("month").eqNullSafe(F.lit(month))).drop("month"))
+        want += [{"month": month, **{c: None for c in got.columns if c != "month"}, **r.asDict()} for r in alone.collect()]
+    assert sorted(map(str, (dict(sorted(r.asDict().items())) for r in got.collect()))) == sorted(
+        str(dict(sorted(w.items()))) for w in want)
+
+
+def test_recipe_from_stored_rows(people):
+    stored = [{"step_number": 2, "instruction": " by age ", "sql_query": "SELECT name FROM data ORDER BY age DESC"},
+              {"step_number": 1, "instruction": None, "sql_query": "SELECT * FROM data WHERE age > 28;"}]
+    recipe = Recipe.from_rows("older", stored)
+    assert [s.instruction for s in recipe.steps] == ["", "by age"]
+    assert rows(apply_recipe(recipe, people)) == [("Charlie",), ("Alice",)]
+    for bad in ([], [{"step_number": 1, "instruction": "", "sql_query": "DROP TABLE data"}]):
+        with pytest.raises(RecipeError):
+            Recipe.from_rows("bad", bad)
+
+
+def test_stored_chains_change_no_result(spark):
     df = base(spark)
-    for n in (1, 9, 10, 12, 23):
+    for n in (1, 4, 5, 6, 11):
         steps = [plus()] * n
-        assert sorted(rows(history.replay_checkpointed(f"t{n}", df, steps))) == [(i + n,) for i in range(1, 6)]
-
-
-def test_checkpoint_resumes_and_edits_miss(spark):
-    df = base(spark)
-    steps = [plus()] * 7
-    assert sorted(rows(history.replay_checkpointed("edit", df, steps, every=3))) == [(8,), (9,), (10,), (11,), (12,)]
-    # A longer chain with the same start reads the stored table: another base table shows that it was not replayed.
-    other = spark.createDataFrame([(100,)], "a long")
-    assert sorted(rows(history.replay_checkpointed("edit", other, steps + [plus()], every=3)))[0] == (9,)
-    edited = [steps[0], plus("a * 2"), *steps[2:]]
-    assert sorted(rows(history.replay_checkpointed("edit", df, edited, every=3))) == [(9,), (11,), (13,), (15,), (17,)]
-
-
-def test_checkpoint_off_or_broken(spark, monkeypatch):
-    df, steps = base(spark), [plus()] * 12
-    monkeypatch.setattr(history, "_store", lambda *a: (_ for _ in ()).throw(OSError("disk full")))
-    assert sorted(rows(history.replay_checkpointed("broken", df, steps)))[0] == (13,)
-    monkeypatch.setattr(history, "shared_folder", lambda *a: pytest.fail("must not look for checkpoints"))
-    assert sorted(rows(history.replay_checkpointed("off", df, steps, every=0)))[0] == (13,)
+        for _ in range(2):
+            assert sorted(rows(history.replay_checkpointed("same", df, steps, every=5))) == [(i + n,) for i in range(1, 6)]
+
+
+def test_longer_chains_go_on_from_the_longest_stored_beginning(spark):
+    nothing, steps = base(spark).limit(0), [plus()] * 9
+    history.replay_checkpointed("grow", base(spark), steps[:4], every=4)
+    history.replay_checkpointed("grow", base(spark), steps[:8], every=4)
+    # Without any row in the table itself, what comes out was stored.
+    assert len(rows(history.replay_checkpointed("grow", nothing, steps, every=4))) == 5
+    assert len(rows(history.replay_checkpointed("grow", nothing, steps[:5], every=4))) == 5
+    assert rows(history.replay_checkpointed("grow", nothing, steps[:3], every=4)) == []
+    assert rows(history.replay_checkpointed("grow", nothing, [*steps[:3], plus("a * 2"), steps[4]], every=4)) == []
+    assert rows(history.replay_checkpointed("another", nothing, steps, every=4)) == []
+
+
+def test_only_the_folder_is_forgiven(spark, monkeypatch, caplog):
+    df, steps = base(spark), [plus()] * 6
+
+    def full(*_):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(history.ChainStore, "write", full)
+        assert sorted(rows(history.replay_checkpointed("full", df, steps, every=3)))[0] == (7,)
+        m.setattr(history.ChainStore, "finished", full)
+        assert sorted(rows(history.replay_checkpointed("full", df, steps, every=3)))[0] == (7,)
+    assert sum("no space" in r.getMessage() for r in caplog.records) == 2
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|CAST_INVALID_INPUT"):
+        history.replay_checkpointed("broken", df, [*steps, plus("cast('x' as bigint)")], every=3)
+    monkeypatch.setattr(history, "ChainStore", lambda *a: pytest.fail("must not look for stored chains"))
+    assert sorted(rows(history.replay_checkpointed("off", df, steps, every=0)))[0] == (7,)
+
+
+def test_sql_steps_read_data_alone(spark, people):
+    people.createOrReplaceTempView("secret")
+    people.limit(0).createOrReplaceTempView("data")
+    for sql in ("SELECT * FROM secret", "SELECT (SELECT max(age) FROM secret) FROM data", "SELECT * FROM default.secret",
+                "WITH x AS (WITH secret AS (SELECT 1) SELECT * FROM secret) SELECT * FROM secret"):
+        with pytest.raises(ValueError, match="another table"):
+            replay(people, [Step("sql", {"query": sql})])
+    views = {t.name for t in spark.catalog.listTables()}
+    got = replay(people, [Step("sql", {"query": "WITH data AS (SELECT * FROM data WHERE age > 28) SELECT name FROM data -- end"})])
+    assert sorted(rows(got)) == [("Alice",), ("Charlie",)]
+    assert {t.name for t in spark.catalog.listTables()} == views and spark.table("data").count() == 0
+    for name in ("secret", "data"):
+        spark.catalog.dropTempView(name)
 
 
 def test_fingerprint(spark, people):
