@@ -9,15 +9,20 @@ from gridwash.plans.steps import Step
 from gridwash.session import new_path
 from gridwash.streaming import jobs
 
-CUTS = ["2024-01-01", "2024-01-11", "2024-01-21", "2999-01-01"]
+CUTS = ["2024-01-11", "2024-01-21"]
 
 
 def landed_events(t: Tables) -> tuple[str, DataFrame]:
-    """Three exports in time order."""
+    """All events as three exports: before the first cut, before the second, and the rest, those without a time included.
+
+    One file each, as a trigger takes one file and an export is one batch.
+    """
     folder, ev = new_path(t.spark, "landing"), t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    for low, high in zip(CUTS, CUTS[1:]):
-        (ev.filter((F.col("ts") >= F.lit(low).cast("timestamp")) & (F.col("ts") < F.lit(high).cast("timestamp")))
-           .coalesce(1).write.mode("append").parquet(folder))
+    export = F.lit(len(CUTS))
+    for i, cut in reversed(list(enumerate(CUTS))):
+        export = F.when(F.col("ts") < F.lit(cut).cast("timestamp"), i).otherwise(export)
+    for i in range(len(CUTS) + 1):
+        ev.filter(export == i).coalesce(1).write.mode("append").parquet(folder)
     return folder, ev
 
 

@@ -13,7 +13,6 @@ from gridwash.functions.values import percent
 from gridwash.operators.aggregates import filled_percentages
 from gridwash.operators.cells import quoted
 from gridwash.operators.duplicates import duplicate_row_count
-from gridwash.operators.segments import exact_median
 
 SUGGEST_ABOVE_PCT = 10
 SAMPLE_VALUES = 5
@@ -104,37 +103,49 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def numeric_stats(df: DataFrame, approx: bool = False, in_memory_values: int = 100_000) -> DataFrame:
+# Ranks, as shares, that a sketch of this accuracy puts around the middle: both middle ranks lie between its two values.
+BAND, ACCURACY = (0.4998, 0.5002), 10_000
+
+
+def numeric_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """Min, max, mean and median of each numeric column that has a value.
 
-    Medians of columns with few distinct values come from the same aggregate;
-    only the others are spread out and found by rank.
+    Columns are aggregated side by side. For exact medians one job finds two values around the middle of each column; the
+    result then counts what lies below, and shuffles only the few values between.
     """
-    names = numeric_columns(df)
+    cells = {n: quoted(n).cast("double") for n in numeric_columns(df)}
     schema = "column string, min double, max double, avg double, median double"
-    if not names:
+    if not cells:
         return df.sparkSession.createDataFrame([], schema)
-    cells = {n: quoted(n).cast("double") for n in names}
-    narrow = names
-    if not approx:
-        seen = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cells.values())]).first()
-        narrow = [n for i, n in enumerate(names) if seen[i] <= in_memory_values * 0.8]
-    aggs = []
-    for i, (name, cell) in enumerate(cells.items()):
-        aggs += [F.min(cell).alias(f"lo{i}"), F.max(cell).alias(f"hi{i}"), F.avg(cell).alias(f"av{i}")]
-        middle = F.percentile_approx(cell, 0.5) if approx else F.median(cell)
-        aggs.append((middle if name in narrow else F.lit(None).cast("double")).alias(f"md{i}"))
-    rows = df.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("column"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-                 F.round(f"av{i}", 2).alias("avg"), F.round(f"md{i}", 2).alias("median"))
-        for i, n in enumerate(names)]))).filter(F.col("min").isNotNull())
-    wide = [n for n in names if n not in narrow]
-    if not wide:
-        return rows
-    spread = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), cells[n].alias("v")) for n in wide])))
-    medians = exact_median(spread, ["column"], "v", "_found")
-    return (rows.join(medians, "column", "left")
-                .withColumn("median", F.coalesce("median", F.round("_found", 2))).drop("_found"))
+
+    def stats(more: list[Column]) -> DataFrame:
+        """One row per column from one row of aggregates, with ``more`` as ``x``."""
+        aggs = []
+        for i, (cell, extra) in enumerate(zip(cells.values(), more)):
+            aggs += [F.min(cell).alias(f"lo{i}"), F.max(cell).alias(f"hi{i}"), F.avg(cell).alias(f"av{i}"),
+                     F.count(cell).alias(f"n{i}"), extra.alias(f"x{i}")]
+        return df.agg(*aggs).select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("column"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
+                     F.round(f"av{i}", 2).alias("avg"), F.col(f"n{i}").alias("n"), F.col(f"x{i}").alias("x"))
+            for i, name in enumerate(cells)]))).filter("n > 0")
+
+    if approx:
+        rows = stats([F.percentile_approx(c, 0.5) for c in cells.values()])
+        return rows.select("column", "min", "max", "avg", F.round("x", 2).alias("median"))
+    found = df.agg(*[F.percentile_approx(c, list(BAND), ACCURACY).alias(f"b{i}") for i, c in enumerate(cells.values())]).first()
+    bands = {n: found[i] for i, n in enumerate(cells) if found[i]}
+    below = [F.count_if(c < bands[n][0]) if n in bands else F.lit(0).cast("bigint") for n, c in cells.items()]
+    # A row gives a value for each of its columns that is in the band, so most rows give none.
+    between = F.array_compact(F.array(*[
+        F.when(cells[n].between(*band), F.struct(F.lit(n).alias("column"), cells[n].alias("v"))) for n, band in bands.items()]))
+    counted = (df.select(F.inline(between)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("rows")) if bands
+               else df.sparkSession.createDataFrame([], "column string, v double, rows long"))
+    upto = Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = stats(below)
+    ranked = counted.withColumn("upto", F.sum("rows").over(upto)).join(rows, "column").withColumn("upto", F.col("upto") + F.col("x"))
+    middle = [F.min(F.when(F.col("upto") >= rank, F.col("v"))) for rank in (F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"))]
+    return ranked.groupBy("column", "min", "max", "avg").agg(
+        F.round(middle[0] + (middle[1] - middle[0]) / 2, 2).alias("median"))
 
 
 def suggestions(df: DataFrame, most_columns: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,21 @@ def usage_summary(users: DataFrame, usage: DataFrame, audit: DataFrame, month: s
     return out.withColumns(filled).withColumns(capped)
 
 
+def _since(months: int, *sources: DataFrame):
+    """The earliest of the latest ``months`` months of ``created_at`` in any source, None if there are not so many.
+
+    A literal, so that files and partitions of earlier rows are never read. As many dates as are asked for reach the driver.
+    """
+    found = reduce(lambda a, b: a.unionByName(b), [
+        s.select(F.trunc("created_at", "month").alias("month")).filter("month IS NOT NULL").distinct() for s in sources])
+    latest = [r.month for r in found.distinct().orderBy(F.col("month").desc()).limit(months).collect()]
+    return latest[-1] if len(latest) == months else None
+
+
+def _from(df: DataFrame, since) -> DataFrame:
+    return df if since is None else df.filter(F.col("created_at") >= F.lit(since))
+
+
 def activation_report(files: DataFrame, transforms: DataFrame, months: int = 3) -> DataFrame:
     """Per month of upload: uploaders, activated users, rate and median minutes to the first transform.
 
@@ -81,6 +97,7 @@ def activation_report(files: DataFrame, transforms: DataFrame, months: int = 3)
     """
     first = transforms.groupBy(F.col("file_id").alias("id")).agg(F.min("created_at").alias("first_transform"))
     named = files.filter(F.col("user_id").cast("string") != ANONYMOUS)
+    named = _from(named, _since(months, named))
     per_user = frozen(named.join(first, "id", "left")
                       .groupBy(F.trunc("created_at", "month").alias("month"), "user_id")
                       .agg(F.count(F.lit(1)).alias("uploads"), F.min("created_at").alias("first_upload"),
@@ -115,17 +132,20 @@ def funnel_report(signups: DataFrame, files: DataFrame, transforms: DataFrame, r
     def named(df: DataFrame) -> DataFrame:
         return df.filter(F.col("user_id").cast("string") != ANONYMOUS)
 
-    touched = transforms.select("file_id", month).distinct()
+    # Months that only transforms have can but move the cut to later; without them it is early enough.
+    since = subscriptions.withColumn("created_at", F.coalesce("created_at", "updated_at")).filter("tier = 'pro'")
+    named_events = events.filter(F.col("event").isin(["paywall_hit", "checkout_started", "subscription_activated"]))
+    cut = _since(months, signups, named(files), named(recipes), named_events, since)
+    touched = _from(transforms, cut).select("file_id", month).distinct()
     owners = named(files).select(F.col("id").alias("file_id"), F.col("user_id").cast("string").alias("user_id"))
     transformed = touched.join(owners, "file_id").select("month", F.lit("transformed").alias("stage"), "user_id")
     from_events = {"paywall_hit": "paywall", "checkout_started": "checkout", "subscription_activated": "converted"}
     stage_of = F.create_map(*[F.lit(x) for pair in from_events.items() for x in pair])
-    since = subscriptions.withColumn("created_at", F.coalesce("created_at", "updated_at"))
-    steps = (tagged(signups, "signups", "id")
-             .unionByName(tagged(named(files), "uploaded")).unionByName(transformed)
-             .unionByName(tagged(named(recipes), "recipe"))
-             .unionByName(tagged(events.filter(F.col("event").isin(list(from_events))), stage_of[F.col("event")]))
-             .unionByName(tagged(since.filter("tier = 'pro'"), "converted")))
+    steps = (tagged(_from(signups, cut), "signups", "id")
+             .unionByName(tagged(_from(named(files), cut), "uploaded")).unionByName(transformed)
+             .unionByName(tagged(_from(named(recipes), cut), "recipe"))
+             .unionByName(tagged(_from(named_events, cut), stage_of[F.col("event")]))
+             .unionByName(tagged(_from(since, cut), "converted")))
     table = (steps.filter("month IS NOT NULL").distinct()
                   .groupBy("month").agg(*[F.count_if(F.col("stage") == s).alias(s) for s in STAGES]))
     latest = table.orderBy(F.col("month").desc()).limit(months)
