@@ -48,12 +48,15 @@ OUT = frozenset("head nav header footer aside form fieldset button select dialog
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Parts of class names, ids and roles that name what is not the article.
 OUT_NAMES = re.compile(
-    r"^(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|alerts?|popup|modal|"
+    r"^(?:ads?\d*|ad(?:box|slot|unit|wrap\w*|sense|sbygoogle)\d*|advert\w*|sponsor\w*|promo\w*|teasers?|banner\w*|"
+    r"taboola|outbrain|cookie\w*|consent\w*|gdpr|privacy|notices?|announcements?|alerts?|toast|paywall|popup|modal|"
     r"overlay|newsletter\w*|subscri\w*|signup|login|nav\w*|menus?|breadcrumbs?|sidebar\w*|side|widgets?|header|masthead|"
-    r"topbar|footer|foot|comments?|commentlist|commentary|disqus\w*|replies|reply|respond|discussion|share|sharing|social|"
+    r"topbar|footer|foot|comments?|commentlist|commentary|disqus\w*|replies|reply|respond|responses|discussion|share|sharing|social|"
     r"related|recommended|pagination|pager|toolbar|search|complementary|contentinfo|navigation|tags|copyright|disclaimer|"
     r"hidden)$")
-COMMENTS = re.compile(r"^(?:comments?|commentlist|disqus\w*|replies|reply|respond|discussion)$")
+COMMENTS = re.compile(r"^(?:comments?|commentlist|disqus\w*|replies|reply|respond|responses|discussion)$")
+ARTICLE_NAMES = frozenset("article story post entry".split())
+SPOKEN_OF = re.compile(r"(?:has|with|without|no)[-_]")  # a name that says what else the page has, such as with-sidebar
 ARTICLE = frozenset("article main".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -164,18 +167,22 @@ def blocks_of(page: str) -> list[Block]:
         elif stack[-1].tag == "p":
             stack.pop()  # a paragraph holds no blocks
         above = stack[-1]
-        named = [v for m in ATTRIBUTE.finditer(rest) for v in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower())]
+        named = {part for m in ATTRIBUTE.finditer(rest) for v in (m[2] or m[3] or m[4] or "").lower().split()
+                 if not SPOKEN_OF.match(v) for part in re.split("[_-]+", v)}
+        if above.article:
+            named.discard("header")  # an article's own header holds its title
         soft = any(map(OUT_NAMES.match, named)) or bool(HIDDEN.search(rest))
+        article = name in ARTICLE or not soft and bool(ARTICLE_NAMES & named)
         comments = above.comments or any(map(COMMENTS.match, named))
         held = above.out
-        if name in ARTICLE and not soft and above.soft and not comments:
+        if article and not soft and above.soft and not comments:
             held = False  # an advert or notice that was never closed does not hold the article
         hard = name in OUT and not (name == "header" and above.article)
         container = above.number if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote") else numbers
         numbers += 1
         if name in ("body", "html"):
-            soft = False
-        stack.append(Element(name, container, held or hard or soft, (above.article or name in ARTICLE), comments,
+            soft = article = False
+        stack.append(Element(name, container, held or hard or soft, above.article or article, comments,
                              soft and not hard or above.soft and held))
         cut()
     cut()
