@@ -147,3 +147,34 @@ def f11(t: Tables):
     _, totals = ops.preview(dirty_orders(t).join(
         t.orders.filter("o_totalprice > 100000").select("o_orderkey"), "o_orderkey", "left_semi"))
     return totals.withColumn("total_columns", F.col("total_columns").cast("bigint"))
+
+
+_STEPPED = f"SELECT * FROM ({DIRTY_ORDERS}) q WHERE o_orderstatus = 'O' AND o_orderpriority IS NOT NULL"
+
+
+@query("f8_all_findings", f"""
+WITH d AS ({_STEPPED}),
+n AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls, COUNT(*) AS n FROM d" for c in [*ORDERS, "o_totalprice"])}),
+s AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, MIN({c})::DOUBLE AS lo, MAX({c})::DOUBLE AS hi, ROUND(AVG({c}), 2) AS av, ROUND(MEDIAN({c}), 2) AS md FROM d"
+                          for c in ("o_orderkey", "o_custkey", "o_totalprice"))})
+SELECT 'row_count' AS finding, CAST(NULL AS VARCHAR) AS "column", CAST(COUNT(*) AS DOUBLE) AS value FROM d
+UNION ALL SELECT 'column_count', NULL, 5.0
+UNION ALL SELECT 'duplicate_rows', NULL, (SELECT COUNT(*) FROM d) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM d) x)
+UNION ALL SELECT 'null_count', c, nulls FROM n WHERE nulls > 0
+UNION ALL SELECT 'null_pct', c, ROUND(100.0 * CAST(nulls AS DOUBLE) / n, 1) FROM n WHERE nulls > 0
+UNION ALL SELECT 'min', c, lo FROM s UNION ALL SELECT 'max', c, hi FROM s
+UNION ALL SELECT 'avg', c, av FROM s UNION ALL SELECT 'median', c, md FROM s""")
+def f8_all(t: Tables):
+    steps = [Step("filter", {"where": "o_orderstatus = 'O'"}), Step("dropna", {"columns": ["o_orderpriority"]})]
+    return ops.findings(replay(dirty_orders(t), steps))
+
+
+@query("f11_preview_rows", """
+SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place
+FROM orders WHERE o_totalprice > 100000 ORDER BY place LIMIT 50""")
+def f11_rows(t: Tables):
+    """The rows shown, with the place at which they are shown."""
+    shown, _ = ops.preview(t.orders.filter("o_totalprice > 100000").select("o_orderkey", "o_totalprice"), 50,
+                           [("o_totalprice", "desc"), "o_orderkey"])
+    # At most 50 rows, numbered as they come.
+    return shown.withColumn("place", F.monotonically_increasing_id() + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,6 +182,22 @@ def insights(df: DataFrame) -> dict[str, DataFrame]:
             "numeric_stats": numeric_stats(df), "suggestions": suggestions(df)}
 
 
+def findings(df: DataFrame) -> DataFrame:
+    """All findings of one table as rows of ``finding, column, value``; those of the whole table have no column."""
+    parts = insights(df)
+    none = F.lit(None).cast("string")
+
+    def rows(frame: DataFrame, names: Sequence[str], column) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(n).alias("finding"), column.alias("column"), F.col(n).cast("double").alias("value"))
+                          for n in names])
+        return frame.select(F.inline(cells))
+
+    found = [rows(parts["counts"], ["row_count", "column_count"], none), rows(parts["duplicate_rows"], ["duplicate_rows"], none),
+             rows(parts["null_columns"], ["null_count", "null_pct"], F.col("column")),
+             rows(parts["numeric_stats"], ["min", "max", "avg", "median"], F.col("column"))]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def schema_card(df: DataFrame, privacy: bool = False) -> DataFrame:
     """One line of text per column; privacy mode leaves every cell value out."""
     stats = profile(df)
@@ -201,7 +218,11 @@ def sample_lines(df: DataFrame, order_by: Sequence[str], k: int = 3) -> DataFram
     return texts.select(F.concat(F.lit("  "), F.concat_ws(", ", *pairs)).alias("line"))
 
 
-def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> tuple[DataFrame, DataFrame]:
-    """First rows for display, and exact counts as a second table; only the rows shown reach the driver."""
+def preview(df: DataFrame, n: int = PREVIEW_ROWS, order_by: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """First rows for display, in an order if one is given, and exact counts as a second table.
+
+    Only the rows shown reach the driver.
+    """
     totals = df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("total_columns", F.lit(len(df.columns)))
-    return df.limit(n), totals
+    from gridwash.operators.ordering import top_n
+    return (top_n(df, order_by, n) if order_by else df.limit(n)), totals
