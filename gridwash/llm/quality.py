@@ -45,8 +45,8 @@ def features_of(text: str) -> list[float]:
     size, words = max(1, len(raw)), text.split()
     n = max(1, len(words))
 
-    def share(chars: bytes) -> float:
-        return (len(raw) - len(raw.translate(None, chars))) / size
+    def many(chars: bytes) -> int:
+        return len(raw) - len(raw.translate(None, chars))
 
     counts = Counter(words)
     threes = max(1, len(words) - 2)
@@ -54,14 +54,13 @@ def features_of(text: str) -> list[float]:
     lengths = list(map(len, words))
     odd = sum(w[-1] in "*%$&#|!=~^_+<>@\\/{}[]" for w in words)
     values = [
-        np.log1p(len(words)) / 10, np.log1p(sum(lengths) / n), share(UPPER), share(DIGITS),
-        len(raw.translate(None, ORDINARY)) / size, share(b"!"), share(b"|"), raw.translate(None, bytes(
-            b for b in range(256) if b not in STOPS)).__len__() / n, share(b",") * size / n, odd / n,
+        np.log1p(len(words)) / 10, np.log1p(sum(lengths) / n), many(UPPER) / size, many(DIGITS) / size,
+        len(raw.translate(None, ORDINARY)) / size, many(b"!") / size, many(b"|") / size, many(STOPS) / n, many(b",") / n, odd / n,
         sum(x <= 2 for x in lengths) / n, sum(x > 20 for x in lengths) / n, 1 - len(counts) / n,
         max(counts.values(), default=0) / n, sum(map(str.__eq__, words, words[1:])) / n,
         1 - min(1.0, len(set(zip(words, words[1:], words[2:]))) / threes) if len(words) > 2 else 0.0,
         1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))) / 10,
-        (text.count("http") + text.count("www.")) / n, float(not any(map(str.isalpha, words[:1] and text)))]
+        (text.count("http") + text.count("www.")) / n, float(not any(map(str.isalpha, text)))]
     # Roots, as a small share of a text that is wrong already tells.
     return [float(v) if i in (0, 1, 17) else float(np.sqrt(v)) for i, v in enumerate(values)]
 
@@ -133,9 +132,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Ranking:
         return np.array([r.features for r in rows.collect()], dtype=np.float64).reshape(-1, len(FEATURES))
 
     ranking = fit(some(1), some(0))
-    shares = known.agg(F.avg(F.lit(1.0) - F.col("label")).alias("bad")).first().bad
-    if shares is not None and 0 < shares < 1:
-        ranking.cut = known.agg(F.percentile_approx(ranking.raw_score("features"), float(shares), 100_000).alias("c")).first().c
+    n, bad = known.agg(F.count("label").alias("n"), F.count_if(F.col("label") == 0).alias("bad")).first()
+    if 0 < bad < n:
+        # Halfway between the last score of the share and the next one.
+        shares = [bad / n, min(1.0, (bad + 1) / n)]
+        low, high = known.agg(F.percentile_approx(ranking.raw_score("features"), shares, 100_000).alias("c")).first().c
+        ranking.cut = (low + high) / 2
     return ranking
 
 
