@@ -12,7 +12,7 @@ large as vocabulary times languages, whatever the corpus; only such sums reach t
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,14 +32,6 @@ REMEMBERED = 300_000  # words whose scores a task keeps
 UNKNOWN = "und"
 
 
-@dataclass
-class Model:
-    languages: list[str]
-    prior: np.ndarray  # log share of each language
-    pieces: dict[bytes, int]
-    logs: np.ndarray  # pieces x languages
-
-
 def words_of():
     import regex
 
@@ -53,15 +45,67 @@ def parts_of(word: str) -> list[bytes]:
     return [whole[i:i + PART] for i in range(0, len(whole), PART)]
 
 
-def piece_ids(parts: list[bytes], pieces: dict[bytes, int]) -> np.ndarray:
-    """(parts, start, length - 1) -> piece, for parts of one length; ``len(pieces)`` where there is none."""
-    n, none, get = len(parts[0]), len(pieces), pieces.get
-    out = np.full((len(parts), n, n), none, dtype=np.int32)
-    spans = [(i, j) for i in range(n) for j in range(i + 1, n + 1)]
-    flat = np.array([[get(p[i:j], none) for i, j in spans] for p in parts], dtype=np.int32)
-    for k, (i, j) in enumerate(spans):
-        out[:, i, j - i - 1] = flat[:, k]
-    return out
+class Pieces:
+    """The pieces of a vocabulary by number, and where they occur in many words at once.
+
+    Substrings are compared by a 64-bit polynomial hash, so all of a block of words are looked up together.
+    """
+
+    BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.names = sorted(pieces)
+        self.bits = max(4, int(4 * len(self.names)).bit_length())
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.values = np.full(1 << self.bits, len(self.names), dtype=np.int32)
+        for number, key in enumerate(map(int, (self._whole(p) for p in self.names))):
+            slot = (key * int(self.SPREAD) & (1 << 64) - 1) >> 64 - self.bits
+            while self.keys[slot]:
+                slot = slot + 1 & (1 << self.bits) - 1
+            self.keys[slot], self.values[slot] = key, number
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def _whole(self, piece: bytes) -> int:
+        key = 0
+        for byte in piece:
+            key = key * int(self.BASE) + byte + 1 & (1 << 64) - 1
+        return key
+
+    def find(self, parts: list[bytes]) -> np.ndarray:
+        """(parts, start, length - 1) -> piece, for parts of one length; ``len(self)`` where there is none."""
+        count, n = len(parts), len(parts[0])
+        letters = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(count, n).astype(np.uint64) + np.uint64(1)
+        hashes = np.zeros((count, n + 1), dtype=np.uint64)
+        powers = np.array([pow(int(self.BASE), i, 1 << 64) for i in range(n + 1)], dtype=np.uint64)
+        for i in range(n):
+            hashes[:, i + 1] = hashes[:, i] * self.BASE + letters[:, i]
+        start, end = np.triu_indices(n)
+        keys = hashes[:, end + 1] - hashes[:, start] * powers[end - start + 1]
+        slots = (keys * self.SPREAD) >> np.uint64(64 - self.bits)
+        held = self.keys[slots]
+        numbers = np.where(held == keys, self.values[slots], len(self)).astype(np.int32)
+        open_ = np.nonzero((held != keys) & (held != 0))
+        at = slots[open_]
+        while len(at):
+            at = at + np.uint64(1) & np.uint64((1 << self.bits) - 1)
+            held, wanted = self.keys[at], keys[open_]
+            hit = held == wanted
+            numbers[open_[0][hit], open_[1][hit]] = self.values[at[hit]]
+            more = ~hit & (held != 0)
+            open_, at = (open_[0][more], open_[1][more]), at[more]
+        out = np.full((count, n, n), len(self), dtype=np.int32)
+        out[:, start, end - start] = numbers
+        return out
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    prior: np.ndarray  # log share of each language
+    pieces: Pieces
+    table: np.ndarray  # probabilities of pieces x languages, with a last row of zeros
 
 
 def _by_length(parts: list[bytes], most: int = 2_000) -> Iterator[np.ndarray]:
@@ -85,7 +129,7 @@ def forward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
     return sums
 
 
-def word_scores(words: list[str], pieces: dict[bytes, int], table: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     parts, owner = [], []
     for i, w in enumerate(words):
@@ -95,7 +139,7 @@ def word_scores(words: list[str], pieces: dict[bytes, int], table: np.ndarray) -
     owner = np.array(owner, dtype=np.int64)
     out = np.zeros((len(words), table.shape[1]))
     for where in _by_length(parts):
-        whole = forward(piece_ids([parts[i] for i in where], pieces), table)[:, -1]
+        whole = forward(pieces.find([parts[i] for i in where]), table)[:, -1]
         np.add.at(out, owner[where], np.log(np.maximum(whole, 1e-300)))
     return out
 
@@ -115,7 +159,7 @@ def count_words(labelled: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def expected_uses(counts: DataFrame, languages: list[str], pieces: dict[bytes, int], probabilities: np.ndarray) -> DataFrame:
+def expected_uses(counts: DataFrame, languages: list[str], pieces: Pieces, probabilities: np.ndarray) -> DataFrame:
     """``nth, piece, uses``: how often each language uses each piece, over all segmentations of its words."""
     sent = counts.sparkSession.sparkContext.broadcast((pieces, probabilities))
     place = {lang: i for i, lang in enumerate(languages)}
@@ -132,7 +176,7 @@ def expected_uses(counts: DataFrame, languages: list[str], pieces: dict[bytes, i
                     times.append(n)
             column, times = np.array(column, dtype=np.int64), np.array(times, dtype=np.float64)
             for where in _by_length(parts):
-                ids, nth = piece_ids([parts[i] for i in where], known), column[where]
+                ids, nth = known.find([parts[i] for i in where]), column[where]
                 size = ids.shape[1]
                 p = table[ids, nth[:, None, None]]
                 ahead = np.zeros((len(where), size + 1))
@@ -157,7 +201,7 @@ def expected_uses(counts: DataFrame, languages: list[str], pieces: dict[bytes, i
     return found.groupBy("nth", "piece").agg(F.sum("uses").alias("uses"))
 
 
-def train(labelled: DataFrame, pieces: dict[bytes, int], rounds: int = ROUNDS) -> Model:
+def train(labelled: DataFrame, pieces: Iterable[bytes], rounds: int = ROUNDS) -> Model:
     """Learn from all rows of ``lang, text``; rows with a NULL language teach nothing."""
     bounded_batches(labelled.sparkSession, rows=20_000)
     counts = frozen(count_words(labelled.filter("lang IS NOT NULL")), "word-counts")
@@ -165,7 +209,7 @@ def train(labelled: DataFrame, pieces: dict[bytes, int], rounds: int = ROUNDS) -
     if len(texts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(texts)
-    numbered = {p: i for i, p in enumerate(sorted(pieces))}
+    numbered = Pieces(pieces)
     size = len(numbered)
     probabilities = np.full((size + 1, len(languages)), 1.0 / max(1, size))
     probabilities[size] = 0.0
@@ -204,7 +248,7 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
             found = [find(t) for t in batch]
             new = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in known]
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            scores = np.concatenate([scores, word_scores(new, m.pieces, m.logs)])
+            scores = np.concatenate([scores, word_scores(new, m.pieces, m.table)])
             for ws in found:
                 if not ws or not m.languages:
                     names.append(UNKNOWN)

@@ -18,7 +18,8 @@ SMALL = "/root/testdata/sf0.001"
 
 # ---- language
 
-PIECES = {p: i for i, p in enumerate([bytes([b]) for b in range(256)] + [b" a", b"ab", b"abc", b"bc", b" ab", b"ca"])}
+VOCABULARY = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"abc", b"bc", b" ab", b"ca"]
+PIECES = {p: i for i, p in enumerate(sorted(VOCABULARY))}
 
 
 def all_segmentations(word, table):
@@ -39,17 +40,32 @@ def test_forward_sums_all_segmentations():
     table = rng.random((len(PIECES) + 1, 2)) / 10
     table[-1] = 0
     words = ["abc", "cabab", "a", "bcabcab"]
-    got = langid.word_scores(words, PIECES, table)
+    got = langid.word_scores(words, langid.Pieces(VOCABULARY), table)
     for w, row in zip(words, got):
         for lang in (0, 1):
             assert row[lang] == pytest.approx(math.log(all_segmentations(b" " + w.encode(), table[:, lang])))
 
 
+def test_pieces_are_found_where_they_are():
+    import public_tokenizers
+    from gridwash.llm.bpe import load_ranks
+    names = sorted(load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    pieces, number = langid.Pieces(names), {p: i for i, p in enumerate(names)}
+    rnd = random.Random(1)
+    for n in (1, 2, 9, 48):
+        parts = [bytes(rnd.choice(b"abcdefgh the\xc3\xa9\x00\xff") for _ in range(n)) for _ in range(60)]
+        found = pieces.find(parts)
+        for k, p in enumerate(parts):
+            for i in range(n):
+                for j in range(i + 1, n + 1):
+                    assert found[k, i, j - i - 1] == number.get(p[i:j], len(names))
+
+
 def test_expected_uses_by_hand(spark):
     table = np.full((len(PIECES) + 1, 1), 0.01)
     table[-1] = 0
     counts = spark.createDataFrame([("x", "ab", 3)], "lang string, word string, n long")
-    got = {r.piece: r.uses for r in langid.expected_uses(counts, ["x"], PIECES, table).collect()}
+    got = {r.piece: r.uses for r in langid.expected_uses(counts, ["x"], langid.Pieces(VOCABULARY), table).collect()}
     # " ab" in one piece, in two (" a"+"b", " "+"ab"), in three
     ways = {(b" ab",): 0.01, (b" a", b"b"): 1e-4, (b" ", b"ab"): 1e-4, (b" ", b"a", b"b"): 1e-6}
     for piece, i in PIECES.items():
@@ -64,14 +80,14 @@ def lang_docs(spark):
 
 def test_language_of_odd_texts(spark):
     docs = lang_docs(spark)
-    model = langid.train(langid.labelled_rows(docs, F.lit(True)), PIECES)
+    model = langid.train(langid.labelled_rows(docs, F.lit(True)), VOCABULARY)
     assert model.languages == ["p", "q"]
     odd = spark.createDataFrame([(1, "ABBA ab", "x"), (2, None, "x"), (3, "12 !?", "x"), (4, "", "x"), (5, "c" * 100_000, "x"),
                                  (6, "ca", "x"), (6, "ca", "x"), (None, "abab ca abab", "x")], "doc_id long, text string, row string")
     got = sorted(((r.row.doc_id, r.lang_pred, 0 <= r.score <= 1) for r in langid.predict(odd, model).collect()), key=str)
     assert got == sorted([(1, "p", True), (2, "und", True), (3, "und", True), (4, "und", True), (5, "q", True), (6, "q", True),
                           (6, "q", True), (None, "p", True)], key=str)
-    nothing = langid.train(langid.labelled_rows(docs.limit(0), F.lit(True)), PIECES)
+    nothing = langid.train(langid.labelled_rows(docs.limit(0), F.lit(True)), VOCABULARY)
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
     assert langid.predict(docs.limit(0), model).count() == 0
 
@@ -136,6 +152,10 @@ TEXT = "\n".join(["A title", (LINE * 3).strip(), "Short one.", (LINE * 4).strip(
     (f"<body><ul class='menu'><li><a href=1>One two</a><li><a href=2>Three</a></ul><div>{ARTICLE}</div></body>", TEXT),
     (f"<div><a href=1>{LINE}</a> <a href=2>{LINE}</a></div><div>{ARTICLE}</div>", TEXT),
     ("<article><p>That it.</p></article><footer>x y</footer>", "That it."),
+    (f"<div class='page with-sidebar'><div class=post><header class=entry-header><h1>A title</h1></header>{ARTICLE[16:]}</div>"
+     f"<div class='widget_area'>{LINE * 3}</div></div>", TEXT),
+    (f"<article>{ARTICLE}</article><div class='reader-comments'><div class=post><p>{LINE * 4}</p></div></div>", TEXT),
+    (f"<div id=adslot3><p>{LINE * 3}</p></div><div class='privacy-notice' role=alert>{LINE}</div><main>{ARTICLE}</main>", TEXT),
     ("<p>a<br>b\n  c</p><p> </p>", "a b c"),
     ("<p title=\"a > b\">x</p><p title='never closed>y</p>", "x\ny"),
     ("<p>1 < 2 and <3</p><!-- never closed <p>z</p>", "1 < 2 and <3"),
