@@ -20,7 +20,7 @@ def crc_fold(id_column: str, folds: int) -> Column:
 
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> None:
     """Bound what Python workers get at once by bytes, as texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

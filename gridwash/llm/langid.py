@@ -11,9 +11,10 @@ large as vocabulary times languages, whatever the corpus; only such sums reach t
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ ROUNDS = 2  # of expectation-maximisation
 PART = 48  # bytes; longer words are scored in parts of this length
 SMOOTH = 0.01  # uses that every piece starts with
 MAX_LANGUAGES = 1_000  # labels are a short list; more mean a wrong column, which is an error
-REMEMBERED = 300_000  # words whose scores a task keeps
+REMEMBERED = 200_000  # words whose scores a task keeps
 UNKNOWN = "und"
 
 
@@ -39,6 +40,13 @@ def words_of():
     return lambda text: find(text.lower())
 
 
+def numbering() -> defaultdict:
+    """A dict that gives each new key the next number."""
+    numbers: defaultdict = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 def parts_of(word: str) -> list[bytes]:
     """The bytes of a word with the space before it, in parts of bounded length."""
     whole = b" " + word.encode("utf-8", "surrogatepass")
@@ -240,21 +248,21 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
     @F.pandas_udf(out)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m, find = sent.value, words_of()
-        known, scores = {}, np.empty((0, len(m.languages)))
+        known, scores = numbering(), np.empty((0, len(m.languages)))
         for batch in batches:
             names, values = [], []
             if len(known) > REMEMBERED:
-                known, scores = {}, scores[:0]
-            found = [find(t) for t in batch]
-            new = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in known]
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+                known, scores = numbering(), scores[:0]
+            # A text is kept as numbers of words, which take a fraction of the words' memory.
+            found = [np.fromiter(map(known.__getitem__, find(t)), dtype=np.int32) for t in batch]
+            new = list(islice(known, len(scores), None))
             scores = np.concatenate([scores, word_scores(new, m.pieces, m.table)])
-            for ws in found:
-                if not ws or not m.languages:
+            for numbers in found:
+                if not len(numbers) or not m.languages:
                     names.append(UNKNOWN)
                     values.append(0.0)
                     continue
-                total = m.prior + scores[np.fromiter(map(known.__getitem__, ws), dtype=np.int64)].sum(axis=0)
+                total = m.prior + scores[numbers].sum(axis=0)
                 best = int(np.argmax(total))
                 names.append(m.languages[best])
                 values.append(round(float(1.0 / np.exp(total - total[best]).sum()), 6))
