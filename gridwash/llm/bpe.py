@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from gridwash.llm.common import bounded_batches, text_of
 
@@ -109,12 +109,12 @@ def unpack_words(packed: bytes) -> list[bytes]:
 
 
 def word_lists(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``chunk, bucket, id, numbers, words``: for each text of ``id, text`` the word numbers by position (bucket -1), and
-    for each bucket of a chunk its words and their numbers. A word's bucket depends on its bytes alone.
-    """
-    schema = StructType([*StructType.fromDDL("chunk long, bucket int").fields, docs.schema["id"],
-                         *StructType.fromDDL("numbers binary, words binary").fields])
+    """``chunk, bucket, id, numbers, words`` from rows of ``id string, text``.
 
+    For each bucket of a chunk its words and their numbers; under bucket -1 the numbers of the words of all texts by
+    position, and how many each text has; and a row for the ``id`` of each text, bucket -2 for the first, -3 for the
+    second ... A word's bucket depends on its bytes alone.
+    """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -135,16 +135,19 @@ def word_lists(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = C
             dealt = np.fromiter((zlib.crc32(w) % buckets for w in names), dtype=np.int64, count=len(names))[order]
             at = [int(b) for b in np.unique(dealt)]
             lists = [np.flatnonzero(dealt == b) for b in at]
+            whole = place[np.concatenate([np.empty(0, dtype=np.uint32), *positions])]
+            counts = np.array([len(p) for p in positions], dtype=np.uint32)
+            none = [None] * len(ids)
             return pa.RecordBatch.from_arrays(
-                [pa.array([first + nth] * (len(ids) + len(at)), pa.int64()), pa.array([-1] * len(ids) + at, pa.int32()),
-                 pa.array(ids + [None] * len(at), id_type),
-                 pa.array([pack(place[p]) for p in positions] + [pack(np.diff(x, prepend=0)) for x in lists], pa.binary()),
-                 pa.array([None] * len(ids) + [pack_words([names[i] for i in order[x]]) for x in lists], pa.binary())],
+                [pa.array([first + nth] * (len(ids) + 1 + len(at)), pa.int64()),
+                 pa.array([-2 - i for i in range(len(ids))] + [-1] + at, pa.int32()),
+                 pa.array(ids + [None] * (1 + len(at)), pa.string()),
+                 pa.array(none + [pack(whole)] + [pack(np.diff(x, prepend=0)) for x in lists], pa.binary()),
+                 pa.array(none + [pack(counts)] + [pack_words([names[i] for i in order[x]]) for x in lists], pa.binary())],
                 names=["chunk", "bucket", "id", "numbers", "words"])
 
-        nth, ids, texts, chars, id_type = 0, [], [], 0, None
+        nth, ids, texts, chars = 0, [], [], 0
         for batch in batches:
-            id_type = batch.schema.field("id").type
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(i)
                 texts.append(text)
@@ -155,11 +158,11 @@ def word_lists(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = C
         if ids:
             yield chunk(nth, ids, texts)
 
-    return docs.mapInArrow(split, schema)
+    return docs.mapInArrow(split, "chunk long, bucket int, id string, numbers binary, words binary")
 
 
-def encode_words(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``of, part, lengths, ids``: the token ids of the words of every chunk ``of`` and bucket ``part``.
+def encode_words(lists: DataFrame, ranks: dict[bytes, int], count_only: bool = False) -> DataFrame:
+    """``of, part, lengths, ids``: the token ids of the words of every chunk ``of`` and bucket ``part``, or their numbers.
 
     Rows of a bucket come one after the other, so each of its distinct words is encoded once, whatever chunks it is in.
     """
@@ -167,7 +170,7 @@ def encode_words(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.filter(pa.compute.is_valid(batch.column("words")))
+            held = batch.filter(pa.compute.greater_equal(batch.column("bucket"), 0))
             yield held.select(["chunk", "bucket", "words"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +187,7 @@ def encode_words(lists: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                         coded = done[word] = encode_word(word, table)
                     found.append(coded)
                 lengths.append(pack(np.array([len(c) for c in found], dtype=np.uint32)))
-                ids.append(pack(np.fromiter((i for c in found for i in c), dtype=np.uint32)))
+                ids.append(None if count_only else pack(np.fromiter((i for c in found for i in c), dtype=np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(lengths, pa.binary()),
                                               pa.array(ids, pa.binary())], names=["of", "part", "lengths", "ids"])
 
@@ -202,12 +205,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    slim = docs.select(F.col(f"`{id_column}`").alias("id"), text_of(text_column).alias("text"))
+    # Ids travel as texts, which keeps NULLs and large numbers as they are on the way through Python.
+    slim = docs.select(F.col(f"`{id_column}`").cast("string").alias("id"), text_of(text_column).alias("text"))
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = word_lists(slim, pattern, buckets, chunk_chars).repartition("chunk")
-    coded = encode_words(lists, ranks)
+    coded = encode_words(lists, ranks, count_only)
     result = StructField("n_tokens", LongType()) if count_only else StructField("ids", ArrayType(IntegerType()))
-    schema = StructType([slim.schema["id"], result])
+    schema = StructType([StructField("id", StringType()), result])
 
     def reassemble(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         by_bucket = dict(zip(words["part"], zip(words["lengths"], words["ids"])))
@@ -216,15 +220,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
         size = 1 + max((int(n[-1]) for n in numbers), default=-1)
         lengths, starts, flat, at = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), [], 0
         for bucket, places in zip(lists["bucket"], numbers):
-            counts, ids = (unpack(x) for x in by_bucket[bucket])
+            counts = unpack(by_bucket[bucket][0]).astype(np.int64)
             lengths[places] = counts
             starts[places] = at + np.cumsum(counts) - counts
-            flat.append(ids.astype(np.int32))
-            at += len(ids)
+            at += int(counts.sum())
+            if not count_only:
+                flat.append(unpack(by_bucket[bucket][1]).astype(np.int32))
         ids, out = np.concatenate([np.empty(0, dtype=np.int32), *flat]), []
-        texts = texts[texts["bucket"] < 0]
-        for packed in texts["numbers"]:
-            places = unpack(packed)
+        packed = texts[texts["bucket"] == -1].iloc[0]
+        whole, at = unpack(packed["numbers"]), 0
+        texts = texts[texts["bucket"] < -1].sort_values("bucket", ascending=False)
+        for many in unpack(packed["words"]).tolist():
+            places = whole[at:at + many]
+            at += many
             counts = lengths[places]
             if count_only:
                 out.append(int(counts.sum()))
@@ -235,7 +243,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
         return pd.DataFrame({"id": texts["id"], result.name: pd.Series(out, index=texts.index, dtype=object)})
 
     # Both sides of a chunk are bounded by its characters; chunks are many more than tasks.
-    return lists.groupBy("chunk").cogroup(coded.groupBy("of")).applyInPandas(reassemble, schema)
+    found = lists.groupBy("chunk").cogroup(coded.groupBy("of")).applyInPandas(reassemble, schema)
+    return found.withColumn("id", F.col("id").cast(docs.schema[id_column].dataType))
 
 
 def encoded_lengths(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id",
