@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from gridwash.llm.common import bounded_batches, text_of
 
@@ -197,8 +197,11 @@ def encode_words(lists: DataFrame, ranks: dict[bytes, int], count_only: bool = F
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text_column: str = "text",
-           chunk_chars: int = CHUNK_CHARS, count_only: bool = False) -> DataFrame:
-    """``id, ids`` for every row: the token ids of the whole text (with ``count_only`` their number, ``n_tokens``).
+           chunk_chars: int = CHUNK_CHARS, count_only: bool = False, decoded: bool = False) -> DataFrame:
+    """``id, ids`` for every row: the token ids of the whole text, or with ``count_only`` just their number, ``n_tokens``.
+
+    With ``decoded`` the ids are decoded again where they are, into ``decoded``, as ``decode`` does it for ids that lie
+    in a table.
 
     NULL and empty texts have no ids. Repeated rows and NULL ids stay as they are; other columns, whatever their names,
     are not read. An empty table gives an empty result. A text is held by one task, however long.
@@ -211,7 +214,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
     lists = word_lists(slim, pattern, buckets, chunk_chars).repartition("chunk")
     coded = encode_words(lists, ranks, count_only)
     result = StructField("n_tokens", LongType()) if count_only else StructField("ids", ArrayType(IntegerType()))
-    schema = StructType([StructField("id", StringType()), result])
+    schema = StructType([StructField("id", StringType()), result, *[StructField("decoded", BinaryType())] * decoded])
+    table = spark.sparkContext.broadcast(token_bytes(ranks) if decoded else {})
 
     def reassemble(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         by_bucket = dict(zip(words["part"], zip(words["lengths"], words["ids"])))
@@ -240,13 +244,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: st
             ends = np.cumsum(counts)
             steps = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[places] - (ends - counts), counts)
             out.append(ids[steps])
-        return pd.DataFrame({"id": texts["id"], result.name: pd.Series(out, index=texts.index, dtype=object)})
+        rows = pd.DataFrame({"id": texts["id"], result.name: pd.Series(out, index=texts.index, dtype=object)})
+        if decoded:
+            rows["decoded"] = pd.Series([bytes_of(i, table.value) for i in out], index=texts.index, dtype=object)
+        return rows
 
     # Both sides of a chunk are bounded by its characters; chunks are many more than tasks.
     found = lists.groupBy("chunk").cogroup(coded.groupBy("of")).applyInPandas(reassemble, schema)
     return found.withColumn("id", F.col("id").cast(docs.schema[id_column].dataType))
 
 
+def token_bytes(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    """The token-byte table."""
+    return {token: piece for piece, token in ranks.items()}
+
+
+def bytes_of(ids: np.ndarray, table: dict[int, bytes]) -> bytes:
+    """The bytes of token ids, in order."""
+    return b"".join(map(table.__getitem__, ids.tolist()))
+
+
 def encoded_lengths(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """``id, n_tokens`` for every row: the number of tokens of the whole text."""
@@ -256,13 +273,12 @@ def encoded_lengths(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_c
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_column: str = "ids", name: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of an array of token ids; NULL ids give no bytes, and an unknown id is an error."""
     bounded_batches(encoded.sparkSession)
-    known = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    known = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     @F.pandas_udf("binary")
     def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = known.value.__getitem__
         for batch in batches:
-            yield pd.Series([b"" if ids is None else b"".join(map(piece, ids.tolist())) for ids in batch], dtype=object)
+            yield pd.Series([b"" if ids is None else bytes_of(ids, known.value) for ids in batch], dtype=object)
 
     return encoded.withColumn(name, joined(F.col(f"`{ids_column}`")))
 

@@ -267,13 +267,15 @@ def odd_texts(count, seed):
 
 def test_encodes_and_decodes_as_the_library(spark, ranks, library):
     texts = odd_texts(400, 1) + ["", None, "x" * 5_000 + " y", "<|endoftext|> 's", "the the the " * 3_000, "a" * 999]
-    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(3, texts[3], "s"), (None, "no id", None)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(3, texts[3], "s"), (None, "no id", None), (2**62 + 1, "large id", "s")]
     docs = table(spark, rows).repartition(5)
     for chunk in (40, 2_000_000):
         out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, chunk_chars=chunk), ranks)
         got = sorted(((r.id, list(r.ids), bytes(r.decoded)) for r in out.collect()), key=str)
         want = sorted(((i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in rows), key=str)
         assert got == want
+        both = bpe.encode(docs, ranks, public_tokenizers.PATTERN, chunk_chars=chunk, decoded=True)
+        assert sorted(((r.id, list(r.ids), bytes(r.decoded)) for r in both.collect()), key=str) == want
     assert bpe.encode(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
