@@ -75,7 +75,9 @@ def meet(queries: DataFrame, blocks: DataFrame, compare: Callable) -> DataFrame:
     left = blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
     right = queries.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"),
                            F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("q_bucket"))
-    pairs = left.join(right, (F.col("bucket") == F.col("q_bucket")) & (F.col("dims") == F.col("q_dims")))
+    # Spark would judge the copies by the size of what they are copied from, so no side is left to be broadcast.
+    pairs = left.hint("merge").join(right.hint("merge"),
+                                    (F.col("bucket") == F.col("q_bucket")) & (F.col("dims") == F.col("q_dims")))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
