@@ -90,6 +90,8 @@ def v3(t: Tables):
 
 @query("v4_stream_rate_limit", EXACT_LIMIT)
 def v4(t: Tables):
-    requests = _stream(t).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").alias("request_id"))
-    return _result(t, jobs.stream_rate_limit(requests, 3, DAY)).select(
+    requests = _stream(t).select("user_id", F.unix_micros("ts").alias("at"), F.col("event_id").alias("request_id"))
+    path = new_path(t.spark, "stream-out")
+    jobs.stream_rate_limit(requests, path, new_path(t.spark, "stream-state"), 3, DAY).awaitTermination()
+    return t.spark.read.parquet(path).select(
         "user_id", "request_id", "accepted", F.round("retry_after", 3).alias("retry_after"))

@@ -45,7 +45,7 @@ def _decide(max_requests: int, window_us: int):
                     ok.append(True)
                     wait.append(0)
             out = batch.assign(accepted=ok, wait_us=wait)
-            yield out.loc[~out["carried"], ["user_id", "at", "request_id", "accepted", "wait_us"]]
+            yield out.loc[~(out["carried"] | out["earlier"]), ["user_id", "at", "request_id", "accepted", "wait_us"]]
     return run
 
 
@@ -55,7 +55,8 @@ def with_retry_after(decided: DataFrame) -> DataFrame:
     return decided.withColumn("retry_after", wait).drop("wait_us")
 
 
-def rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int = 60) -> DataFrame:
+def rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int = 60,
+               earlier: DataFrame | None = None) -> DataFrame:
     """Decision and wait for each request of ``(user_id, at, request_id)``, ``at`` in microseconds.
 
     Time is cut into slots of one window length. If a slot and the one before it
@@ -63,9 +64,15 @@ def rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int
     slots also show the exact state at their end. Runs of the other slots are
     independent, so a user with very many requests spreads over as many tasks as
     there are busy runs; only within a run are rows walked in order, as a stream.
+
+    ``earlier`` are requests that were accepted before all of these. They count and come first at equal times, but are
+    not decided again.
     """
     window_us = window_seconds * 1_000_000
-    rows = requests.withColumn("slot", _slot(window_us))
+    rows = requests.select("user_id", "at", "request_id", F.lit(False).alias("earlier"))
+    if earlier is not None:
+        rows = rows.unionByName(earlier.select("user_id", "at", "request_id", F.lit(True).alias("earlier")))
+    rows = rows.withColumn("slot", _slot(window_us))
     counts = rows.groupBy("user_id", "slot").agg(F.count(F.lit(1)).alias("n"))
     # Each slot counts for itself and for the slot after it.
     shares = F.array(F.struct(F.col("slot").alias("slot"), F.col("n").alias("own"), F.lit(0).cast("bigint").alias("before")),
@@ -82,13 +89,14 @@ def rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int
     places = frozen(runs.withColumn("carried", F.lit(False))
                     .unionByName(starts.select("user_id", "slot", "run", F.lit(True).alias("carried"))), "busy-slots")
     placed = rows.join(places, ["user_id", "slot"], "left")
-    passed = (placed.filter("run IS NULL OR carried")
+    passed = (placed.filter("(run IS NULL OR carried) AND NOT earlier")
                     .select("user_id", "at", "request_id", F.lit(True).alias("accepted"),
                             F.lit(None).cast("double").alias("retry_after")))
     kind = dict(requests.dtypes)
-    decided = (placed.filter("run IS NOT NULL").select("user_id", "run", "at", "request_id", "carried")
+    decided = (placed.filter("run IS NOT NULL").select("user_id", "run", "at", "request_id", "carried",
+                                                      "earlier")
                      .repartition("user_id", "run")
-                     .sortWithinPartitions("user_id", "run", "at", "request_id")
+                     .sortWithinPartitions("user_id", "run", "at", F.desc("earlier"), "request_id")
                      .mapInPandas(_decide(max_requests, window_us),
                                   f"user_id {kind['user_id']}, at bigint, request_id {kind['request_id']}, "
                                   "accepted boolean, wait_us bigint"))

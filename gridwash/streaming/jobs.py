@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gridwash.plans.limits import with_retry_after
+from gridwash.plans.limits import rate_limit
 from gridwash.plans.steps import ROW_WISE, Step, replay
 from gridwash.sources.ingest import sanitize_columns
 
@@ -85,42 +84,29 @@ def stream_keep_first(events: DataFrame, keys: Sequence[str], delay: str = "1 da
     return source.withWatermark("ts", delay).dropDuplicatesWithinWatermark(names)
 
 
-_DECISIONS = "user_id bigint, at bigint, request_id bigint, accepted boolean, wait_us bigint"
+def stream_rate_limit(requests: DataFrame, path: str, checkpoint: str, max_requests: int = 30, window_seconds: int = 60,
+                      delay_seconds: int = 60) -> StreamingQuery:
+    """The exact request limit over a stream of ``(user_id, at, request_id)``, decisions by micro-batch.
 
-
-def stream_rate_limit(requests: DataFrame, max_requests: int = 30, window_seconds: int = 60,
-                      delay: str = "1 minute") -> DataFrame:
-    """The exact request limit over a stream of ``(user_id, ts, at, request_id)``.
-
-    State per user is the accepted times of the last window, at most
-    ``max_requests`` of them, and is dropped a window after the last request.
-    Files must land in time order; within a micro-batch a user's rows are put in
-    order here, so ``files_per_trigger`` bounds what one task holds.
+    Files must land in time order. Each micro-batch is decided as a table, so no task holds the rows of a user. What it
+    needs of earlier ones are the accepted requests of the last window and ``delay_seconds``, a few per user, which are
+    written beside the checkpoint. A batch that is run again replaces its own folders.
     """
-    window_us = window_seconds * 1_000_000
-
-    def decide(key, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "request_id"], kind="stable")
-        ok, wait = [], []
-        for at in rows["at"]:
-            accepted = [t for t in accepted if t > at - window_us]
-            if len(accepted) >= max_requests:
-                ok.append(False)
-                wait.append(accepted[0] + window_us - at)
-            else:
-                accepted.append(int(at))
-                ok.append(True)
-                wait.append(0)
-        state.update((accepted,))
-        until = int(rows["at"].iloc[-1] + window_us) // 1000 + 1
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield rows[["user_id", "at", "request_id"]].assign(accepted=ok, wait_us=wait)
-
-    decided = (requests.withWatermark("ts", delay).groupBy("user_id")
-               .applyInPandasWithState(decide, _DECISIONS, "accepted array<bigint>", "append",
-                                       GroupStateTimeout.EventTimeTimeout))
-    return with_retry_after(decided)
+    kept_us = (window_seconds + delay_seconds) * 1_000_000
+
+    def decide(batch: DataFrame, number: int) -> None:
+        spark, names = batch.sparkSession, ["user_id", "at", "request_id"]
+        earlier = spark.read.parquet(f"{checkpoint}-accepted/{number - 1}") if number else None
+        out = f"{path}/batch={number}"
+        rate_limit(batch.select(names), max_requests, window_seconds, earlier).write.mode("overwrite").parquet(out)
+        decided = spark.read.parquet(out)
+        last = decided.agg(F.max("at")).first()[0]
+        accepted = decided.filter("accepted").select(names)
+        if earlier is not None:
+            accepted = accepted.unionByName(earlier)
+        if last is not None:
+            accepted = accepted.filter(F.col("at") > last - kept_us)
+        accepted.write.mode("overwrite").parquet(f"{checkpoint}-accepted/{number}")
+
+    return (requests.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
+                    .trigger(availableNow=True).start())

@@ -2,9 +2,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from gridwash.plans.limits import rate_limit
 from gridwash.plans.steps import Step
 from gridwash.session import new_path
 from gridwash.streaming import jobs
+from test_limits import brute_force, traffic
 
 
 def land(spark, folder, data):
@@ -42,3 +44,23 @@ def test_whole_table_steps_are_refused_on_streams(spark):
     with pytest.raises(ValueError, match="sort"):
         jobs.stream_recipe(stream, [Step("sort", {"sort": ["value"]})])
     assert jobs.stream_recipe(stream, [Step("filter", {"where": "value > 1"})]).isStreaming
+
+
+def test_request_limit_walks_a_user_across_batches(spark):
+    folder, out = new_path(spark, "land"), new_path(spark, "out")
+    requests = traffic(3, 2_000)
+    cuts = [0, 40_000_000, 400_000_000, 10**15]  # equal times on both sides of a border belong to one file
+    for low, high in zip(cuts, cuts[1:]):
+        (spark.createDataFrame([r for r in requests if low <= r[1] < high], "user_id long, at long, request_id long")
+              .coalesce(1).write.mode("append").parquet(folder))
+    stream = jobs.landing_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
+    jobs.stream_rate_limit(stream, out, new_path(spark, "state"), 5, 60).awaitTermination()
+    got = {r.request_id: (r.accepted, r.retry_after) for r in spark.read.parquet(out).collect()}
+    assert got == brute_force(requests, 5, 60)
+
+
+def test_request_limit_keeps_what_a_batch_accepted(spark):
+    """Accepted requests of an earlier batch come first at an equal time, and no row goes through state of a stream."""
+    earlier = spark.createDataFrame([(1, 5, 9)], "user_id long, at long, request_id long")
+    asked = spark.createDataFrame([(1, 5, 1)], "user_id long, at long, request_id long")
+    assert rows(rate_limit(asked, 1, 60, earlier), "request_id", "accepted") == [(1, False)]
