@@ -69,16 +69,31 @@ def v1_batches(t: Tables):
     return t.spark.read.parquet(path).withColumnRenamed("batch", "export")
 
 
+def _actions(t: Tables) -> DataFrame:
+    return _stream(t).withColumn("action", F.expr(
+        "CASE event_type WHEN 'view' THEN 'upload' WHEN 'click' THEN 'transform' WHEN 'purchase' THEN 'chat_request' END"))
+
+
 @query("v2_stream_usage", """
 SELECT CAST(ts AS DATE) AS day, user_id, COUNT(*) FILTER (WHERE event_type = 'view') AS uploads,
        COUNT(*) FILTER (WHERE event_type = 'click') AS transforms,
        COUNT(*) FILTER (WHERE event_type = 'purchase') AS chat_requests, COUNT(*) AS actions
 FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
 def v2(t: Tables):
-    """Days the watermark has closed."""
-    actions = _stream(t).withColumn("action", F.expr(
-        "CASE event_type WHEN 'view' THEN 'upload' WHEN 'click' THEN 'transform' WHEN 'purchase' THEN 'chat_request' END"))
-    return _result(t, jobs.stream_usage(actions)).withColumn("day", F.to_date("window_start")).drop("window_start")
+    """Days the watermark has closed; v2_stream_usage_now has all days."""
+    return _result(t, jobs.stream_usage(_actions(t))).withColumn("day", F.to_date("window_start")).drop("window_start")
+
+
+@query("v2_stream_usage_now", """
+SELECT CAST(ts AS DATE) AS day, user_id, COUNT(*) FILTER (WHERE event_type = 'view') AS uploads,
+       COUNT(*) FILTER (WHERE event_type = 'click') AS transforms,
+       COUNT(*) FILTER (WHERE event_type = 'purchase') AS chat_requests, COUNT(*) AS actions
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def v2_now(t: Tables):
+    """All days, the newest included; an event without a time is in no window."""
+    path = new_path(t.spark, "usage")
+    jobs.stream_usage_now(_actions(t), path, new_path(t.spark, "usage-state")).awaitTermination()
+    return jobs.read_usage(t.spark, path).withColumn("day", F.to_date("window_start")).drop("window_start")
 
 
 @query("v3_stream_dedupe", "SELECT event_id, user_id, event_type FROM events")

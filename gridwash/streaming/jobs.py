@@ -66,6 +66,27 @@ def stream_usage(events: DataFrame, delay: str = "1 day", window: str = "1 day")
                           "chat_requests", "actions"))
 
 
+def stream_usage_now(events: DataFrame, path: str, checkpoint: str, delay: str = "1 day",
+                     window: str = "1 day") -> StreamingQuery:
+    """The counters of ``stream_usage`` with the windows that are still open, for ``read_usage``.
+
+    Each micro-batch writes the counters it has changed; a batch that is run again replaces its own folder.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (stream_usage(events, delay, window).writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The latest counters of each user and window."""
+    written = spark.read.parquet(path)
+    counters = [c for c in written.columns if c not in ("window_start", "user_id", "batch")]
+    return (written.groupBy("window_start", "user_id").agg(F.max_by(F.struct(*counters), "batch").alias("latest"))
+                   .select("window_start", "user_id", "latest.*"))
+
+
 def stream_keep_first(events: DataFrame, keys: Sequence[str], delay: str = "1 day",
                       thin_first: bool = True) -> DataFrame:
     """First occurrence of each key; a key is forgotten once the watermark passes it by the delay.

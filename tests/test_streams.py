@@ -64,3 +64,12 @@ def test_request_limit_keeps_what_a_batch_accepted(spark):
     earlier = spark.createDataFrame([(1, 5, 9)], "user_id long, at long, request_id long")
     asked = spark.createDataFrame([(1, 5, 1)], "user_id long, at long, request_id long")
     assert rows(rate_limit(asked, 1, 60, earlier), "request_id", "accepted") == [(1, False)]
+
+
+def test_open_windows_are_counted_and_go_on(spark):
+    folder, out, state = (new_path(spark, n) for n in ("land", "out", "state"))
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for hours, want in (((1, 2), 2), ((3,), 3)):
+        land(spark, folder, [(1, f"2024-01-05 0{h}:00:00", "upload") for h in hours])
+        jobs.stream_usage_now(jobs.landing_stream(spark, folder, schema), out, state).awaitTermination()
+        assert rows(jobs.read_usage(spark, out), "user_id", "uploads", "actions") == [(1, want, want)]
