@@ -38,20 +38,26 @@ MAX_MEETING = 4096
 CHANCE_MEETINGS = 1 / 8  # unrelated fingerprints that one may meet by chance under one choice of segments, about
 
 
-def fingerprint_of(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of one text as a signed 64-bit number."""
+def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> list[int]:
+    """Hashes of all runs of so many words; a shorter text is one run, one without words has none."""
     import xxhash
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: ASCII letters and white space only
     if not found:
-        return 0
+        return []
     joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= words:
-        hashes = [digest(joined, seed)]
-    else:
-        after = np.cumsum([len(w) + 1 for w in found])
-        starts, ends = [0, *after[:-1].tolist()], (after - 1).tolist()
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1:])]
+        return [digest(joined, seed)]
+    after = np.cumsum([len(w) + 1 for w in found])
+    starts, ends = [0, *after[:-1].tolist()], (after - 1).tolist()
+    return [digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1:])]
+
+
+def fingerprint_of(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of one text as a signed 64-bit number."""
+    hashes = shingle_hashes(text, words, seed)
+    if not hashes:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     packed = np.array(hashes, dtype=np.uint64)
     for at in range(0, len(packed), 65_536):  # a very long text in parts, 4 MB of bits each
