@@ -22,4 +22,6 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-from gridwash.llm import query_ann, query_bpe, query_html, query_langid, query_lengths, query_mixing, query_pii, query_quality, query_simhash, query_topk  # noqa: E402, F401
+from gridwash.llm import (  # noqa: E402, F401
+    query_ann, query_bpe, query_clustering, query_fim, query_html, query_langid, query_lengths, query_mixing, query_pii,
+    query_quality, query_simhash, query_topk)
