@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 from gridwash.llm import (  # noqa: E402, F401
     query_ann, query_bpe, query_clustering, query_fim, query_html, query_langid, query_lengths, query_mixing, query_pii,
-    query_quality, query_simhash, query_topk)
+    query_oddsketch, query_quality, query_simhash, query_topk)
