@@ -67,9 +67,13 @@ def fingerprint_of(text: str | None, words: int = SHINGLE, seed: int = SEED) ->
 
 
 @pandas_udf(LongType())
-def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([fingerprint_of(t) for t in batch], dtype="int64")
+def _fingerprint(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, words in batches:
+        yield pd.Series([fingerprint_of(t, k) for t, k in zip(texts, words)], dtype="int64")
+
+
+def fingerprint(text: Column, words: int = SHINGLE) -> Column:
+    return _fingerprint(text, F.lit(words))
 
 
 def segments(parts: int) -> list[int]:
@@ -239,8 +243,9 @@ def half_way_links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFra
     return (at.select(close.alias("a"), F.col("fp").alias("b")).filter("a IS NOT NULL AND a <> b").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", distance: int = DISTANCE,
-                    max_meeting: int = MAX_MEETING, keep_columns: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE,
+                    distance: int = DISTANCE, max_meeting: int = MAX_MEETING,
+                    keep_columns: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """``id, fp, component`` for every row (+ ``row``, a struct of ``keep_columns`` with any names).
 
     ``component`` is the smallest id of the rows that are linked with this one, over any number of links, itself
@@ -249,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     bounded_batches(docs.sparkSession)
     kept = [F.struct(*[F.col(f"`{c}`") for c in keep_columns]).alias("row")] if keep_columns else []
-    rows = frozen(docs.select(F.col(f"`{id_column}`").alias("id"), fingerprint(text_of(text_column)).alias("fp"), *kept),
+    rows = frozen(docs.select(F.col(f"`{id_column}`").alias("id"), fingerprint(text_of(text_column), words).alias("fp"), *kept),
                   "fingerprints")
     distinct = frozen(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     labels = components(links(distinct.select("fp"), distance, max_meeting))
