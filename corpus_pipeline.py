@@ -21,8 +21,8 @@ from gridwash.llm.bpe import encode, load_ranks  # noqa: E402
 from gridwash.llm.common import crc_fold  # noqa: E402
 from gridwash.llm.langid import UNKNOWN, labelled_rows, predict, train  # noqa: E402
 from gridwash.llm.mixing import mixed  # noqa: E402
-from gridwash.llm.nearcopies import without_near_copies  # noqa: E402
 from gridwash.llm.pii import mask_pii  # noqa: E402
+from gridwash.llm.simhash import DISTANCE, SHINGLE, without_near_duplicates  # noqa: E402
 from gridwash.session import configure, frozen  # noqa: E402
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -43,8 +43,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of texts that share 0.8 or more of their five-word shingles."""
-    return without_near_copies(docs)
+    """Keeps the document with the smallest id of each group of texts whose SimHash fingerprints are linked."""
+    return without_near_duplicates(docs, words=SHINGLE, distance=DISTANCE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
