@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridwash.catalog.registry import Tables, query
 from gridwash.functions.values import month_of
-from gridwash.plans import history, policy
+from gridwash.plans import guard, history, policy
 from gridwash.plans.recipes import Recipe, apply_recipe, apply_recipe_many, renumber_after, snapshot_steps
 from gridwash.plans.steps import Step, replay
 
@@ -239,7 +239,7 @@ def r12(t: Tables):
 
 
 # "~" stands for a quote, so that both dialects read the same literals.
-STORED = """replace(CASE doc_id % 15
+STORED = """replace(CASE doc_id % 22
   WHEN 0 THEN concat('SELECT * FROM data WHERE lang = ~', lang, '~;;')
   WHEN 1 THEN concat('```sql', chr(10), 'SELECT * FROM data', chr(10), '```')
   WHEN 2 THEN concat('WITH t AS (SELECT ', doc_id, ') DELETE FROM data')
@@ -254,6 +254,13 @@ STORED = """replace(CASE doc_id % 15
   WHEN 11 THEN concat(' with x as (select 1) select * from x where y = ~', replace(text, chr(39), ''), '~')
   WHEN 12 THEN concat('SELECT * FROM glob(~**~) -- drop ', lang)
   WHEN 13 THEN concat('SELECT 1 AS "it~s", reflect(~java.lang.Math~, ~abs~, ', doc_id, ') AS "b~"')
+  WHEN 14 THEN concat('SELECT * FROM IDENTIFIER(~secret~) WHERE x = ', doc_id)
+  WHEN 15 THEN concat('SELECT a FROM data WHERE EXISTS (SELECT 1 FROM customers c WHERE c.k = data.k AND c.n = ~', lang, '~)')
+  WHEN 16 THEN concat('SELECT * FROM data VERSION AS OF ', doc_id)
+  WHEN 17 THEN concat('SELECT * FROM data JOIN range(', doc_id, ') r ON r.id = data.id')
+  WHEN 18 THEN concat('WITH t AS (SELECT * FROM data WHERE n = ~FROM x~) SELECT * FROM t JOIN data USING (k) LIMIT ', doc_id)
+  WHEN 19 THEN concat('WITH t AS (WITH u AS (SELECT * FROM data) SELECT * FROM u) SELECT a + ', doc_id, ' FROM u')
+  WHEN 20 THEN concat('SELECT sum(a) OVER w FROM data WINDOW w AS (PARTITION BY (SELECT ', doc_id, ' FROM hidden))')
   ELSE text END, '~', chr(39))"""
 # The texts as lists of tokens: what hides code, calls, words, other characters. Written apart from the operator's patterns.
 _HIDES = r'''r'[^']*'|'(?:[^'\\]|\\.|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|--[^\r\n]*|/[*][^+][\s\S]*?[*]/'''.replace("'", "''")
@@ -277,9 +284,13 @@ w AS (SELECT *, list_filter(words, lambda x: x IN ({_WORDS}))[1] AS word, calls[
 v AS (SELECT *, CASE WHEN cleaned_sql = '' THEN 'empty'
         WHEN words[1] IS NULL OR words[1] NOT IN ('SELECT', 'WITH') THEN 'not a select'
         WHEN word IS NOT NULL THEN 'blocked keyword' WHEN call IS NOT NULL THEN 'blocked function'
-        WHEN list_contains(tokens, ';') THEN 'multiple statements' ELSE 'ok' END AS verdict FROM w)
-SELECT doc_id, cleaned_sql, verdict, CASE verdict WHEN 'blocked keyword' THEN word WHEN 'blocked function' THEN call END
-  AS blocked_keyword FROM v""")
+        WHEN list_contains(tokens, ';') THEN 'multiple statements' ELSE 'ok' END AS verdict FROM w),
+b AS (SELECT *, regexp_replace(cleaned_sql, $$'[^']*'$$, '', 'g') AS bare FROM v),
+t AS (SELECT *, CASE WHEN verdict <> 'ok' THEN NULL WHEN contains(bare, ' AS OF ') THEN 'AS OF'
+        ELSE list_filter(regexp_extract_all(bare, '(?i)\b(?:from|join)\s+(\w+)', 1),
+          lambda x: x NOT IN ('data', regexp_extract(bare, '(?i)^with\s+(\w+)', 1)))[1] END AS other FROM b)
+SELECT doc_id, cleaned_sql, CASE WHEN other IS NULL THEN verdict ELSE 'reads another table' END AS verdict,
+  CASE verdict WHEN 'blocked keyword' THEN word WHEN 'blocked function' THEN call ELSE other END AS blocked_keyword FROM t""")
 def r13(t: Tables):
     df = t.documents.selectExpr("doc_id", f"{STORED} AS stored")
-    return policy.policy_scan(df, "stored").drop("stored")
+    return guard.policy_scan(df, "stored").drop("stored")

@@ -1,27 +1,23 @@
 """Recorded steps and their replay.
 
-A step is an operator name with plain arguments, so a chain can be stored as
-JSON and folded over any table. Replay only builds the plan; Spark sees the whole
-chain at once and moves filters and column choices across step borders.
+A step is an operator name with plain arguments, so a chain can be stored as JSON and folded over any table. Most steps only
+add to the plan, so Spark sees the chain at once and moves filters and column choices across step borders; those that must
+look at the table first, such as fuzzy matching or empty columns, run jobs when they are applied.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwash.operators import aggregates, cells, duplicates, nested, ordering, tidy, vocabulary
-from gridwash.plans.policy import PolicyError, check_sql, names_in_backticks
-
-OTHER_TABLE = "reads another table"
+from gridwash.plans.guard import checked_query
 
 
 @dataclass(frozen=True)
@@ -39,31 +35,16 @@ class Step:
         return Step(raw["op"], raw.get("args", {}), raw.get("instruction", ""))
 
 
-def _relations(plan: str) -> tuple[set[str], set[str]]:
-    """Names that a parsed query reads, and names of its own subqueries, from the plan as text."""
-    read = {m.strip() for m in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)}
-    own = {n.strip().lower() for m in re.findall(r"CTE \[([^\]]*)\]", plan) for n in m.split(",")}
-    return read, own
-
-
 def sql_step(df: DataFrame, query: str) -> DataFrame:
     """One SELECT over ``data``, the result of the step before.
 
-    Every mention of ``data`` means the current table, and besides it a query reads only its own subqueries. Double quotes
-    mark names. The caller's views and settings stay as they are: the table is bound under a name of its own, which is
-    dropped once Spark has analysed the query.
+    Every mention of ``data`` means the current table, and besides it a query reads only its own subqueries, whatever the
+    syntax: what the parser's tree has beyond that is refused (see ``guard``). Double quotes mark names. The caller's views
+    and settings stay as they are: the table is bound under a name of its own, which is dropped once Spark has analysed
+    the query.
     """
     spark = df.sparkSession
-    text = names_in_backticks(check_sql(query))
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    except Py4JJavaError as exc:
-        raise ValueError(f"not a query: {str(exc.java_exception.getMessage()).strip().splitlines()[0]}") from None
-    read, own = _relations(plan)
-    for name in sorted(read):
-        # A subquery's name that is also a table's could mean the table outside the subquery's reach.
-        if name.lower() != "data" and (name.lower() not in own or spark.catalog.tableExists(f"`{name}`")):
-            raise PolicyError(OTHER_TABLE, name)
+    text = checked_query(spark, query)
     view = f"step_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(view)
     try:
