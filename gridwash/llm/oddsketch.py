@@ -4,9 +4,11 @@
    of copies of any size costs one row from here on.
 2. Vertices meet under bands of ``rows`` MinHash values. There are so many bands that two sets at the threshold miss each
    other in all of them with a chance of at most ``miss``, and so many rows that unrelated texts seldom meet.
-3. A second MinHash sample of one value per bin (one permutation, 512 bins) is folded into an odd sketch: each value flips one
-   of 512 bits. The bits that differ between two sketches tell how many sampled values differ, and with the sizes of both
-   sets whether their similarity can reach the threshold: 4.5 deviations of sampling and folding are allowed for.
+3. A second MinHash sample is folded into an odd sketch: each value flips one of 1,024 bits. The bits that differ between two
+   sketches tell how many values differ, and with the sizes of both sets whether their similarity can reach the threshold.
+   Up to 1,024 shingles the sample is the set itself: bits that differ are never more than values that differ, so no pair is
+   lost. Larger sets are sampled by the smallest value of each of 1,024 bins, and 4.5 deviations of sampling and folding are
+   allowed for. Sets near the border have both sketches, so that two of similar sizes can always be compared.
 4. Where vertices meet, the sketches give a forest of the most similar pairs, so a group of near copies costs one pair per
    member. Meeting points of more than ``block`` members are split into blocks at random, in each band anew. The pairs of the
    forest are confirmed on the full sets of both texts, and confirmed ones become components.
@@ -38,12 +40,14 @@ SIMILAR = (4, 5)  # similarity of 0.8 as a fraction, so that comparing is exact
 MISS = 1e-6  # chance that a pair at the threshold shares no band
 BACKGROUND = 0.02  # similarity of texts that have nothing to do with each other, about
 LEAST_ROWS = 5
-BITS = 512  # of an odd sketch, and bins of its sample
+BITS = 1_024  # of an odd sketch, and bins of its sample
+WHOLE = 1_024  # shingles up to which a set is its own sample
+FILTER_ROWS = 1 << 22  # texts that a bitmap of 4 MB can tell from others; with more, all texts are dealt out
 DEVIATIONS = 4.5
 BLOCK = 1_024
 STEP = 1_024  # shingles that are hashed at once
 
-SKETCHED = "s1 long, s2 long, n long, sampled int, sketch binary, bands array<long>"
+SKETCHED = "s1 long, s2 long, n long, sampled int, whole binary, part binary, bands array<long>"
 
 
 # ---- one text
@@ -101,45 +105,84 @@ class Bands:
         return key.view(np.int64)
 
 
-def odd_sketch(found: np.ndarray) -> tuple[int, bytes]:
-    """Size of the sample of a set, and the parities its values leave on the bits."""
-    bins = found >> np.uint64(64 - BITS.bit_length() + 1)
-    sample = found[np.flatnonzero(np.diff(bins, prepend=np.uint64(BITS)))]  # ascending: the first of a bin is its smallest
+def parities(sample: np.ndarray) -> bytes:
+    """What the values of a sample leave on the bits, each flipping one."""
     x = sample * np.uint64(0x9E3779B97F4A7C15)
-    flips = np.bincount(((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) .astype(np.int64) % BITS,
-                        minlength=BITS)
-    return len(sample), np.packbits(flips & 1, bitorder="little").tobytes()
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    flips = np.bincount((x >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS)
+    return np.packbits(flips & 1, bitorder="little").tobytes()
 
 
-# ---- pairs of sketches
-
-def allowed(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, flipped: np.ndarray) -> np.ndarray:
-    """The estimated share of different sample values, or infinity where sizes or sketches rule the threshold out."""
+def odd_sketches(found: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Size of the sample by bins, the sketch of the whole set and that of the sample; empty where a set needs none."""
     part, whole = SIMILAR
-    j = part / whole
-    union = BITS * -np.expm1(-(na + nb) / ((1 + j) * BITS))  # bins that the sample of the union takes at the threshold
-    expected = np.maximum(sa + sb - 2 * j * union, 0)
-    spread = np.sqrt(4 * j * (1 - j) * union + BITS / 4 * np.expm1(4 * expected / BITS))
-    share = np.minimum(2 * flipped / BITS, 1 - 1e-9)
-    differing = -BITS / 2 * np.log1p(-share)
-    fits = (np.minimum(na, nb) * whole >= np.maximum(na, nb) * part) & (differing <= expected + DEVIATIONS * spread + 1)
-    return np.where(fits, differing / (sa + sb), np.inf)
-
+    bins = found >> np.uint64(64 - BITS.bit_length() + 1)
+    sample = found[np.flatnonzero(np.diff(bins, prepend=np.uint64(BITS)))]  # ascending: the first of a bin is its smallest
+    return (len(sample), parities(found) if len(found) * part <= WHOLE * whole else b"",
+            parities(sample) if len(found) * whole > WHOLE * part else b"")
 
-def distances(n: np.ndarray, s: np.ndarray, sketches: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    flipped = np.bitwise_count(sketches[rows] ^ sketches[columns]).sum(axis=1, dtype=np.int64)
-    return allowed(n[rows], n[columns], s[rows], s[columns], flipped)
 
+# ---- pairs of sketches
 
-def forest(n: np.ndarray, s: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Features:
+    """Sizes and sketches of some vertices."""
+
+    def __init__(self, n: np.ndarray, sampled: np.ndarray, whole: np.ndarray, part: np.ndarray):
+        self.n, self.sampled, self.whole, self.part = n, sampled, whole, part
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Features:
+        blank = bytes(BITS // 8)
+        bits = [np.frombuffer(b"".join(x or blank for x in rows[c]), dtype=np.uint64).reshape(len(rows), -1)
+                for c in ("whole", "part")]
+        return cls(rows["n"].to_numpy(np.int64), rows["sampled"].to_numpy(np.float64), *bits)
+
+    def __getitem__(self, some: slice) -> Features:
+        return Features(self.n[some], self.sampled[some], self.whole[some], self.part[some])
+
+    def __len__(self) -> int:
+        return len(self.n)
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of rows one less their estimated similarity, infinite where the threshold is out of reach."""
+        part, whole = SIMILAR
+        na, nb = self.n[a], self.n[b]
+        out = np.full(len(a), np.inf)
+        fits = np.minimum(na, nb) * whole >= np.maximum(na, nb) * part
+        plain = np.flatnonzero(fits & (np.maximum(na, nb) * part <= WHOLE * whole))
+        flipped = np.bitwise_count(self.whole[a[plain]] ^ self.whole[b[plain]]).sum(axis=1, dtype=np.int64)
+        near = flipped * (whole + part) <= (na[plain] + nb[plain]) * (whole - part)
+        out[plain[near]] = 2 * flipped[near] / (na[plain] + nb[plain] + flipped)[near]
+        rest = np.flatnonzero(fits & (np.maximum(na, nb) * part > WHOLE * whole))
+        if len(rest):
+            flipped = np.bitwise_count(self.part[a[rest]] ^ self.part[b[rest]]).sum(axis=1, dtype=np.int64)
+            out[rest] = sampled_distance(na[rest], nb[rest], self.sampled[a[rest]], self.sampled[b[rest]], flipped)
+        return out
+
+
+def sampled_distance(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, flipped: np.ndarray) -> np.ndarray:
+    """One less the estimated similarity of two samples, infinite beyond what chance allows at the threshold."""
+    part, whole = SIMILAR
+    j, union = part / whole, (na + nb) * whole / (whole + part)  # of both sets, at the threshold
+    taken = BITS * -np.expm1(-union / BITS)  # bins with a value
+    expected = np.maximum(sa + sb - 2 * j * taken, 0)
+    sampling = 4 * j * (1 - j) * taken * np.maximum(1 - taken / union, 0)
+    kept = (1 - 2 / BITS) ** expected
+    folding = BITS / 4 + BITS * (BITS - 1) / 4 * (1 - 4 / BITS) ** expected - (BITS * kept) ** 2 / 4
+    spread = np.sqrt(sampling + np.maximum(folding, 0) / kept ** 2)
+    differing = -BITS / 2 * np.log1p(-np.minimum(2 * flipped / BITS, 1 - 1e-9))
+    return np.where(differing <= expected + DEVIATIONS * spread + 1, differing / (sa + sb), np.inf)
+
+
+def forest(some: Features) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows: a forest over all allowed pairs, with the most similar ones taken first."""
-    size = len(n)
+    size = len(some)
     near, source = np.full(size, np.inf), np.zeros(size, dtype=np.int64)
     left, right, free, at = [], [], np.ones(size, dtype=bool), 0
     for _ in range(size - 1):
         free[at] = False
         others = np.flatnonzero(free)
-        found = distances(n, s, sketches, np.full(len(others), at), others)
+        found = some.distances(np.full(len(others), at), others)
         closer = found < near[others]
         near[others[closer]], source[others[closer]] = found[closer], at
         at = others[np.argmin(near[others])]
@@ -149,17 +192,16 @@ def forest(n: np.ndarray, s: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarr
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
-def between(n: np.ndarray, s: np.ndarray, sketches: np.ndarray, label: np.ndarray, visits: np.ndarray
-            ) -> tuple[np.ndarray, np.ndarray]:
+def between(some: Features, label: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All allowed pairs of rows with different labels, of which at most one only visits."""
-    left, right = [], []
-    for row in range(len(n) - 1):
-        other = np.arange(row + 1, len(n))
+    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for row in range(len(some) - 1):
+        other = np.arange(row + 1, len(some))
         other = other[(label[other] != label[row]) & ~(visits[other] & visits[row])]
-        found = other[distances(n, s, sketches, np.full(len(other), row), other) < np.inf]
+        found = other[some.distances(np.full(len(other), row), other) < np.inf]
         left.append(np.full(len(found), row))
         right.append(found)
-    return np.concatenate([np.empty(0, dtype=np.int64), *left]), np.concatenate([np.empty(0, dtype=np.int64), *right])
+    return np.concatenate(left), np.concatenate(right)
 
 
 # ---- tables
@@ -177,11 +219,11 @@ def sketched(texts: DataFrame, shape: tuple[int, int], words: int = WORDS) -> Da
             for text in batch["text"]:
                 found = shingle_set(text, words)
                 if not len(found):
-                    out.append((None, None, 0, 0, None, None))
+                    out.append((None, None, 0, 0, None, None, None))
                     continue
                 whole = xxhash.xxh3_128_intdigest(found.tobytes())
                 ones = np.array([whole >> 64, whole & (2 ** 64 - 1)], dtype=np.uint64).view(np.int64).tolist()
-                out.append((*ones, len(found), *odd_sketch(found), bands.keys(found)))
+                out.append((*ones, len(found), *odd_sketches(found), bands.keys(found)))
             known = pd.DataFrame(out, columns=names).astype({"s1": "Int64", "s2": "Int64"})
             yield pd.concat([batch.drop(columns="text").reset_index(drop=True), known], axis=1)
 
@@ -209,16 +251,14 @@ def _blocks(rows: DataFrame, compare) -> DataFrame:
 
 def _pairs(rows: pd.DataFrame, cuts: np.ndarray, choose) -> pd.DataFrame:
     """Pairs of all blocks of a batch: blocks of two at once, others by ``choose(begin, end)``."""
-    v, n = rows["v"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-    s = rows["sampled"].to_numpy(np.float64)
-    sketches = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint64).reshape(len(rows), -1)
+    v, some = rows["v"].to_numpy(np.int64), Features.of(rows)
     starts = np.concatenate([[0], cuts]).astype(np.int64)
     ends = np.concatenate([cuts, [len(rows)]]).astype(np.int64)
     two = starts[ends - starts == 2]
-    near = two[distances(n, s, sketches, two, two + 1) < np.inf] if len(two) else two
+    near = two[some.distances(two, two + 1) < np.inf]
     left, right = [near], [near + 1]
     for low, high in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-        a, b = choose(n[low:high], s[low:high], sketches[low:high], low, high)
+        a, b = choose(some[low:high], low, high)
         left.append(a + low)
         right.append(b + low)
     a, b = v[np.concatenate(left)], v[np.concatenate(right)]
@@ -230,7 +270,7 @@ def forest_pairs(members: DataFrame, features: DataFrame, block: int = BLOCK) ->
     chunk = F.when(F.col("m") > block, F.pmod(F.xxhash64("v", "key"), F.ceil(F.col("m") / block))).otherwise(0).cast("int")
 
     def compare(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        return _pairs(rows, cuts, lambda n, s, sketches, low, high: forest(n, s, sketches)).drop_duplicates()
+        return _pairs(rows, cuts, lambda some, low, high: forest(some)).drop_duplicates()
 
     return _blocks(members.select("key", "v", chunk.alias("chunk")).join(features, "v"), compare).distinct()
 
@@ -253,8 +293,8 @@ def other_pairs(members: DataFrame, features: DataFrame, labels: DataFrame, bloc
 
     def compare(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
         own, visits = rows["label"].to_numpy(np.int64), rows["visits"].to_numpy(bool)
-        return _pairs(rows, cuts, lambda n, s, sketches, low, high: between(
-            n, s, sketches, own[low:high], visits[low:high])).drop_duplicates()
+        return _pairs(rows, cuts, lambda some, low, high: between(
+            some, own[low:high], visits[low:high])).drop_duplicates()
 
     return _blocks(few.unionByName(placed).join(features, "v"), compare).distinct()
 
@@ -271,13 +311,35 @@ def _confirmed(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
         yield pd.Series(found, dtype=bool)
 
 
+def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts that may be wanted, by one bit of a bitmap for each ``t1``, where the wanted ones are few enough for one."""
+    count = wanted.count()
+    if count > FILTER_ROWS:
+        return texts
+    bits = 1 << max(10, (8 * count).bit_length())
+    at = F.col("t1").bitwiseAND(F.lit(bits - 1))
+    words = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, int((t1 & {bits - 1}L) & 63L))")).alias("bits")).collect()  # 4 MB at most
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
+    for row in words:
+        bitmap[row["word"]] = row["bits"]
+
+    @pandas_udf(BooleanType())
+    def marked(t1: pd.Series) -> pd.Series:
+        at = t1.to_numpy(np.int64) & (bits - 1)
+        return pd.Series((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return texts.filter(marked("t1"))
+
+
 def confirm(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar. Only texts that are in a pair are kept, once each."""
-    ends = frozen(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(vertices.select("v", "t"), "v"), "ends")
+    ends = frozen(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(
+        vertices.select("v", "t1", "t2"), "v"), "ends")
     # Copies of a text go in the map tasks already, by the limit on the row number.
-    one = Window.partitionBy("t").orderBy(F.length("text"))
-    needed = frozen(texts.withColumn("nth", F.row_number().over(one)).filter("nth = 1").join(ends, "t").select("v", "text"),
-                    "candidate-texts")
+    one = Window.partitionBy("t1", "t2").orderBy(F.length("text"))
+    single = _among(texts, ends).withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    needed = frozen(single.join(ends, ["t1", "t2"]).select("v", "text"), "candidate-texts")
     both = (pairs.join(needed.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
             .join(needed.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a"))
     return both.filter(_confirmed("text_a", "text_b", F.lit(words))).select("a", "b")
@@ -296,18 +358,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     bounded_batches(docs.sparkSession)
     text = text_of(text_column)
     # 128 bits that tell one text from another without Python, to find it again.
-    t = F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("again"), text).alias("t2"))
+    t = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("again"), text).alias("t2")]
     shape = band_shape(docs.count(), miss)
-    rows = frozen(sketched(docs.select(F.col(f"`{id_column}`").alias("id"), t.alias("t"), text.alias("text")), shape, words),
+    rows = frozen(sketched(docs.select(F.col(f"`{id_column}`").alias("id"), *t, text.alias("text")), shape, words),
                   "sketched")
     vertices = frozen(rows.filter("s1 IS NOT NULL").groupBy("s1", "s2").agg(
-        F.min("id").alias("first"), F.min(F.struct("t", "n", "sampled", "sketch", "bands")).alias("of"))
+        F.min("id").alias("first"), F.min(F.struct("t1", "t2", "n", "sampled", "whole", "part", "bands")).alias("of"))
         .select(F.monotonically_increasing_id().alias("v"), "s1", "s2", "first", "of.*"), "vertices")
     keyed = vertices.select("v", F.explode("bands").alias("key"))
     met = frozen(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "meetings")
     members = frozen(keyed.join(met, "key"), "members")
-    features = vertices.select("v", "n", "sampled", "sketch")
-    texts = docs.select(t.alias("t"), text.alias("text"))
+    features = vertices.select("v", "n", "sampled", "whole", "part")
+    texts = docs.select(*t, text.alias("text"))
 
     pairs = frozen(forest_pairs(members, features, block), "pairs")
     links = frozen(confirm(pairs, vertices, texts, words), "confirmed")

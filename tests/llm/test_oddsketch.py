@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gridwash.llm import oddsketch
@@ -74,26 +75,33 @@ def test_no_documents(spark):
     assert sorted(tuple(r) for r in oddsketch.near_duplicates(docs).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-def test_estimates_are_near_the_truth():
+def test_no_similar_pair_is_ruled_out_and_estimates_are_near_the_truth():
     rng = np.random.default_rng(3)
-    for size in (5, 40, 300, 3_000, 40_000):
-        for j in (0.5, 0.8, 0.9):
-            both = round(2 * size * j / (1 + j))
-            close = []
-            for _ in range(40):
-                pool = np.unique(rng.integers(0, 2 ** 64, 2 * size, dtype=np.uint64))
+    for size in (5, 40, 300, 800, 1_000, 1_200, 3_000, 40_000):
+        for j in (0.5, 0.7, 0.8, 0.9):
+            both, other = round(size * 2 * j / (1 + j)), rng.integers(max(1, size * 4 // 5), size + 1)
+            close, passed = [], 0
+            for _ in range(30):
+                pool = np.unique(rng.integers(0, 2 ** 64, 2 * size + 10, dtype=np.uint64))
                 rng.shuffle(pool)
-                a, b = np.sort(pool[:size]), np.sort(pool[size - both:2 * size - both])
-                (sa, ka), (sb, kb) = oddsketch.odd_sketch(a), oddsketch.odd_sketch(b)
-                flipped = sum(int(x ^ y).bit_count() for x, y in zip(ka, kb))
-                estimate = -oddsketch.BITS / 2 * np.log1p(-min(2 * flipped / oddsketch.BITS, 1 - 1e-9))
-                match = (sa + sb - estimate) / 2
-                close.append(match / (sa + sb - match))
-                ok = oddsketch.allowed(*[np.array([x], dtype=float) for x in (size, size, sa, sb, flipped)])[0] < np.inf
-                assert ok or not oddsketch.similar(a, b)
-                assert not ok or j > 0.5 or size < 300
-            if 300 <= size and j >= 0.8:
-                assert abs(np.mean(close) - j) < 0.05
+                for a, b in ((pool[:size], pool[size - both:2 * size - both]), (pool[:size], pool[:other])):
+                    a, b = np.sort(a), np.sort(b)
+                    rows = pd.DataFrame([(len(x), *oddsketch.odd_sketches(x)) for x in (a, b)],
+                                        columns=["n", "sampled", "whole", "part"])
+                    found = oddsketch.Features.of(rows).distances(np.array([0]), np.array([1]))[0]
+                    assert found < np.inf or not oddsketch.similar(a, b), (size, j)
+                    if len(a) == len(b):
+                        passed += found < np.inf
+                        close.append(1 - found)
+            assert j > 0.5 or passed == 0 or size < 20
+            if j >= 0.8 and size >= 300 and passed > 20:
+                assert abs(np.mean([c for c in close if c > 0]) - j) < 0.05, (size, j)
+
+
+def test_more_texts_than_a_bitmap_tells(spark, texts, monkeypatch):
+    monkeypatch.setattr(oddsketch, "FILTER_ROWS", 3)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted([tuple(r) for r in oddsketch.near_duplicates(docs).collect()], key=str) == plain(texts)
 
 
 def test_bands_meet_as_they_should():
