@@ -44,7 +44,7 @@ BITS = 1_024  # of an odd sketch, and bins of its sample
 WHOLE = 1_024  # shingles up to which a set is its own sample
 FILTER_ROWS = 1 << 22  # texts that a bitmap of 4 MB can tell from others; with more, all texts are dealt out
 DEVIATIONS = 4.5
-BLOCK = 1_024
+BLOCK = 4_096
 STEP = 1_024  # shingles that are hashed at once
 
 SKETCHED = "s1 long, s2 long, n long, sampled int, whole binary, part binary, bands array<long>"
@@ -195,9 +195,10 @@ def forest(some: Features) -> tuple[np.ndarray, np.ndarray]:
 def between(some: Features, label: np.ndarray, visits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All allowed pairs of rows with different labels, of which at most one only visits."""
     left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-    for row in range(len(some) - 1):
-        other = np.arange(row + 1, len(some))
-        other = other[(label[other] != label[row]) & ~(visits[other] & visits[row])]
+    names, counts = np.unique(label, return_counts=True)
+    main, at = label == names[np.argmax(counts)], np.arange(len(some))
+    for row in np.flatnonzero(~main):
+        other = np.flatnonzero((label != label[row]) & (main | (at > row)) & ~(visits & visits[row]))
         found = other[some.distances(np.full(len(other), row), other) < np.inf]
         left.append(np.full(len(found), row))
         right.append(found)
@@ -246,7 +247,7 @@ def _blocks(rows: DataFrame, compare) -> DataFrame:
         if held is not None and len(held):
             yield compare(held, np.empty(0, dtype=np.int64))
 
-    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(run, "a long, b long")
+    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "v").mapInPandas(run, "a long, b long")
 
 
 def _pairs(rows: pd.DataFrame, cuts: np.ndarray, choose) -> pd.DataFrame:

@@ -265,10 +265,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return rows.join(by_fp, "fp")
 
 
-def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
-    """One row of each component, the one with the smallest id, with the columns of ``docs``."""
-    found = near_duplicates(docs, id_column, keep_columns=docs.columns, **settings)
-    # Spark keeps the first row of each key in every map task already, so a group of any size costs one row per task.
-    order = Window.partitionBy("label").orderBy(F.col("id").asc_nulls_last(), "fp")
-    first = found.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
-    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """One row of each component, the one with the smallest id, with the columns of ``docs``.
+
+    Rows are found again by hashes of id and text, so whole rows move once, and only when it is known which of them stay.
+    """
+    text, id_ = text_of(text_column), F.col(f"`{id_column}`")
+    key = {"k": F.xxhash64(id_), "t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("again"), text)}
+    keyed = [c.alias(name) for name, c in key.items()]
+    found = near_duplicates(docs.select(id_.alias("id"), text.alias("text"), *keyed), "id", "text", keep_columns=list(key),
+                            **settings)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "fp", "row")).alias("first")
+    kept = frozen(found.groupBy("label").agg(first).select("first.row.*"), "kept")
+    # Spark keeps the first row of each key in every map task already, so a row repeated any number of times costs one per task.
+    order = Window.partitionBy(*key).orderBy(F.lit(1))
+    rows = docs.select(*keyed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    single = rows.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return single.join(kept, list(key), "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
