@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from gridwash.functions.similarity import best_match
+from gridwash.functions.similarity import BOOST_ABOVE, PREFIX_LENGTH, PREFIX_WEIGHT, best_match, jaro_winkler
 from gridwash.operators.cells import quoted
+from gridwash.operators.naming import unused
 from gridwash.session import frozen
 
-# Most entries sent to a task at once; a larger vocabulary goes through in slices of this size.
+# Most entries of a list sent to a task at once; a longer list goes through in slices of this size.
 SLICE = 5_000
 # Values whose match a task remembers from one batch to the next.
 REMEMBERED = 100_000
@@ -34,50 +37,136 @@ def _matcher(entries: Sequence[str]):
     return match
 
 
-def _better(old: Column, new: Column) -> Column:
-    """The later slice wins only with a strictly higher score, so the first entry wins ties."""
-    return F.when(old.isNull() | (new["score"] > old["score"]), new).otherwise(old)
-
-
 def fuzzy_match(df: DataFrame, column: str, entries: Sequence[str] | DataFrame, threshold: float = 0.7,
                 name: str = "matched", order_by: str | None = None) -> DataFrame:
-    """Closest entry by Jaro-Winkler similarity, or NULL below the threshold.
+    """Closest entry by Jaro-Winkler similarity, or NULL below the threshold; the first entry wins ties.
 
-    Runs where the rows are, without a shuffle: a task scores each different
-    value once, so a very frequent value costs no more than a rare one. The
-    vocabulary is a list, or a DataFrame of one text column, which is read
-    slice by slice in ``order_by`` order (default: by the text) and may have any size.
+    A list of entries goes to the rows, without a shuffle: a task scores each different value once. A vocabulary that is a
+    DataFrame of one text column, in ``order_by`` order (default: by the text), may have any size and never leaves the
+    cluster: see ``closest``.
     """
-    cell = quoted(column).cast("string")
-    if not isinstance(entries, DataFrame):
-        slices: Iterator[list[str]] = (list(entries[i:i + SLICE]) for i in range(0, len(entries), SLICE))
-    else:
-        slices = _slices(entries, order_by)
-    out, done = df.withColumn("_best", F.lit(None).cast("struct<entry string, score double>")), 0
-    for part in slices:
-        out = out.withColumn("_new", _matcher(part)(cell))
-        out = out.withColumn("_best", _better(F.col("_best"), F.col("_new"))).drop("_new")
-        done += 1
-        if done % 8 == 0:
-            out = frozen(out, "fuzzy")
-    return (out.withColumn(name, F.when(F.col("_best.score") >= threshold, F.col("_best.entry")))
-               .drop("_best"))
-
-
-def _slices(entries: DataFrame, order_by: str | None) -> Iterator[list[str]]:
+    if isinstance(entries, DataFrame):
+        return _match_table(df, column, entries, threshold, name, order_by)
+    best, new = unused([*df.columns, name], "_best", "_new")
+    out = df.withColumn(best, F.lit(None).cast("struct<entry string, score double>"))
+    for i in range(0, len(entries), SLICE):
+        out = out.withColumn(new, _matcher(list(entries[i:i + SLICE]))(quoted(column).cast("string")))
+        # A later slice wins only with a strictly higher score.
+        out = out.withColumn(best, F.when(F.col(best).isNull() | (F.col(f"{new}.score") > F.col(f"{best}.score")), F.col(new))
+                             .otherwise(F.col(best))).drop(new)
+    return out.withColumn(name, F.when(F.col(f"{best}.score") >= threshold, F.col(f"{best}.entry"))).drop(best)
+
+
+def _match_table(df: DataFrame, column: str, entries: DataFrame, threshold: float, name: str, order_by: str | None) -> DataFrame:
     text = entries.columns[0] if order_by is None else next(c for c in entries.columns if c != order_by)
-    key = order_by or text
-    ordered = entries.filter(quoted(text).isNotNull()).orderBy(quoted(key), quoted(text))
-    first = ordered.limit(SLICE + 1).collect()
-    if len(first) <= SLICE:
-        yield [r[text] for r in first]
-        return
-    from gridwash.operators.segments import row_index
-    indexed = frozen(row_index(entries.filter(quoted(text).isNotNull()), [key, text], "_at"), "vocabulary")
-    start = 0
-    while True:
-        rows = indexed.filter(F.col("_at").between(start, start + SLICE - 1)).orderBy("_at").collect()
-        if not rows:
-            return
-        yield [r[text] for r in rows]
-        start += SLICE
+    listed = entries.select(quoted(text).cast("string").alias("entry"), quoted(order_by or text).alias("place"))
+    values = df.select(quoted(column).cast("string").alias("value"))
+    value, entry = unused([*df.columns, name], "_value", "_entry")
+    found = closest(values, listed, threshold).select(F.col("value").alias(value), F.col("entry").alias(entry))
+    others = [quoted(c) for c in df.columns if c.lower() != name.lower()]
+    return df.join(found, quoted(column).cast("string") == F.col(value), "left").select(*others, F.col(entry).alias(name))
+
+
+# A join on similarity. The similarity of two texts of a and b bytes with m common ones is at most (m/a + m/b + 1)/3 before the
+# bonus for a common beginning, so a score needs a least number of common bytes, equal bytes counted as often as they occur.
+# Texts that share so many share one of their rarest bytes as well, and meet under these.
+
+LEVELS = (0.97, 0.92, 0.85)  # scores that are looked for first: the higher, the fewer texts can meet
+OCCURRENCES = 8  # of one byte in a text that are told apart in counting how rare they are
+ROUNDING = 1e-9
+
+
+def _least_jaro(score: float, beginning: int) -> float:
+    """The similarity without bonus that a score takes with so many common first bytes."""
+    bonus = PREFIX_WEIGHT * beginning
+    return min(score, max(BOOST_ABOVE, (score - bonus) / (1 - bonus)))
+
+
+def _byte_order(entries: DataFrame) -> dict[int, int]:
+    """How many entries have a byte for the n-th time: at most 256 times ``OCCURRENCES`` figures."""
+    tokens = entries.select(F.explode(_tokens({})("entry")).alias("token")).filter(F.col("token") < 256 * OCCURRENCES)
+    return {r["token"]: r["count"] for r in tokens.groupBy("token").count().collect()}
+
+
+def _tokens(rarity: dict[int, int]):
+    """The bytes of a text as numbers, each with how often it came before, rare ones first."""
+    def of(text: str) -> list[int]:
+        seen: dict[int, int] = {}
+        out = []
+        for byte in text.encode("utf-8"):
+            seen[byte] = seen.get(byte, 0) + 1
+            out.append(byte + 256 * (seen[byte] - 1))
+        return sorted(out, key=lambda t: (rarity.get(t, 0), t))
+
+    @F.pandas_udf("array<int>")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(of)
+
+    return tokens
+
+
+@F.pandas_udf(DoubleType())
+def _score(values: pd.Series, entries: pd.Series) -> pd.Series:
+    return pd.Series([jaro_winkler(v.encode("utf-8"), e.encode("utf-8")) for v, e in zip(values, entries)], dtype=float)
+
+
+def _meeting_under(jaro: float):
+    """The bytes under which a text meets those of at least this similarity, from its ``tokens``."""
+    size = F.size("tokens")
+    needed = F.greatest(F.lit(1), F.ceil(size * max(0.0, 3 * jaro - 2) - ROUNDING))
+    return F.slice("tokens", 1, (size - needed + 1).cast("int"))
+
+
+def candidates(values: DataFrame, entries: DataFrame, score: float) -> DataFrame:
+    """Pairs ``value, entry, place`` that lengths and common bytes allow to reach a score, each once and none of them lost.
+
+    Both sides have ``tokens``, and texts that are not empty.
+    """
+    def side(rows: DataFrame, jaro: float, text: str, *kept: str) -> DataFrame:
+        prefix = _meeting_under(jaro)
+        return rows.select(text, *kept, F.col("tokens").alias(f"{text}_tokens"), prefix.alias(f"{text}_prefix"),
+                           F.substring(F.col(text).cast("binary"), 1, 1).alias(f"{text}_first"), F.explode(prefix).alias("token"))
+
+    out = []
+    for same_first in (True, False):  # without a common first byte there is no bonus
+        jaro = _least_jaro(score, PREFIX_LENGTH if same_first else 0)
+        left, right = side(values, jaro, "value"), side(entries, jaro, "entry", "place")
+        if same_first:
+            right = right.withColumnRenamed("entry_first", "value_first")
+            pairs = left.join(right, ["token", "value_first"])
+        else:
+            pairs = left.join(right, "token").filter("value_first <> entry_first")
+        a, b = F.size("value_tokens"), F.size("entry_tokens")
+        # A pair that shares several of the bytes counts where the first of them is.
+        once = F.element_at(F.array_intersect("value_prefix", "entry_prefix"), 1) == F.col("token")
+        enough = F.size(F.array_intersect("value_tokens", "entry_tokens")) * (a + b) >= a * b * (3 * jaro - 1) - ROUNDING
+        out.append(pairs.filter(once & enough).select("value", "entry", "place"))
+    return out[0].unionByName(out[1])
+
+
+def closest(values: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """``value, entry, score`` for each different value that has an entry with at least the threshold: the best one.
+
+    ``entries`` has columns ``entry`` and ``place``; the smaller place wins ties, then the text. Equal texts are joined first.
+    Values without one look for a high score, under which few texts meet, and only those that find none go on to the next
+    level, down to the threshold. Whoever finds something at a level has found the best there is, as all pairs of at least
+    that score are among its candidates. NULL and empty texts match nothing; the threshold must be above 0.
+    """
+    if threshold <= 0:
+        raise ValueError("a vocabulary in a table needs a threshold above 0")
+    known = entries.filter("entry <> ''").groupBy("entry").agg(F.min("place").alias("place"))
+    rarity = _byte_order(known)
+    known = frozen(known.withColumn("tokens", _tokens(rarity)("entry")), "vocabulary")
+    asked = values.filter("value <> ''").distinct()
+    same = known.select("entry", F.col("entry").alias("value"))
+    rest = frozen(asked.join(same.select("value"), "value", "left_anti").withColumn("tokens", _tokens(rarity)("value")), "values")
+    found = [asked.join(same, "value", "left_semi").select("value", F.col("value").alias("entry"), F.lit(1.0).alias("score"))]
+    if threshold <= 1:
+        for level in [*(s for s in LEVELS if s > threshold), threshold]:
+            scored = candidates(rest, known, level).withColumn("score", _score("value", "entry")).filter(F.col("score") >= level)
+            best = F.min(F.struct((-F.col("score")).alias("less"), "place", "entry")).alias("best")
+            hits = frozen(scored.groupBy("value").agg(best).select("value", "best.entry", (-F.col("best.less")).alias("score")),
+                          "closest")
+            found.append(hits)
+            rest = rest.join(hits.select("value"), "value", "left_anti")
+    return reduce(DataFrame.unionByName, found) if threshold <= 1 else found[0].limit(0)
