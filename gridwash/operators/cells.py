@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -75,7 +77,8 @@ def _with_value(cell: Column, kind: T.DataType, value: Any) -> tuple[Column, Col
     """Cell and value brought to one type that loses nothing of either.
 
     A value that the column's type holds takes that type. A number it cannot hold, such as 0.9 among whole numbers, widens
-    the column to double; a text that spells no number does not fit a column of numbers and is an error.
+    the column to double, or a decimal column to one with more digits while 38 are enough; a text that spells no number does
+    not fit a column of numbers and is an error.
     """
     if value is None or not isinstance(kind, T.NumericType):
         return cell, F.lit(value).cast(kind)
@@ -85,6 +88,15 @@ def _with_value(cell: Column, kind: T.DataType, value: Any) -> tuple[Column, Col
         except ValueError:
             value = float(value)
     whole = isinstance(value, int) or isinstance(value, float) and value.is_integer()
+    if isinstance(kind, T.DecimalType) and math.isfinite(value):
+        exact = Decimal(repr(value) if isinstance(value, float) else value)
+        _, digits, exponent = exact.normalize().as_tuple()
+        scale = max(kind.scale, -exponent)
+        wider = T.DecimalType(max(kind.precision - kind.scale, len(digits) + exponent) + scale, scale) if (
+            max(kind.precision - kind.scale, len(digits) + exponent) + scale <= 38) else T.DoubleType()
+        return cell.cast(wider), F.lit(str(exact)).cast(wider)
+    if isinstance(kind, T.DecimalType):
+        return cell.cast("double"), F.lit(value)
     bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(kind))
     if bits is None or whole and -(1 << bits - 1) <= value < 1 << bits - 1:
         return cell, F.lit(value).cast(kind)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridwash.operators.cells import quoted
+from gridwash.operators.naming import unused
 from gridwash.operators.segments import sort_columns
 
 
@@ -30,7 +31,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | t
         raise ValueError("first_per_key needs an order; a table has none of its own")
     parts = [F.coalesce(quoted(k).cast("string"), F.lit("")) if blank_is_null else quoted(k) for k in keys]
     window = Window.partitionBy(*parts).orderBy(*sort_columns(order_by))
-    return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
+    nth = unused(df, "_rn")[0]
+    return df.withColumn(nth, F.row_number().over(window)).filter(F.col(nth) == 1).drop(nth)
 
 
 def keep_first(df: DataFrame, order_by: Sequence[str | tuple[str, str]],
@@ -54,5 +56,5 @@ def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows; NULLs compare equal."""
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(df.columns)]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg((F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).alias("duplicate_rows"))

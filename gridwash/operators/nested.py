@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwash.operators.cells import quoted
+from gridwash.operators.naming import unused
 
 
 def _leaves(schema: T.StructType, base: str = "", path: str = "") -> list[tuple[str, str, T.DataType]]:
@@ -56,12 +57,13 @@ def json_text_schema(df: DataFrame, column: str) -> T.StructType:
 def flatten_json_text(df: DataFrame, column: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON text to text columns ``<column>.<path>``; a missing or null key gives empty text."""
     schema = schema or json_text_schema(df, column)
-    parsed = df.withColumn("_doc", F.from_json(quoted(column), schema))
+    doc = unused(df, "_doc")[0]
+    parsed = df.withColumn(doc, F.from_json(quoted(column), schema))
     others = [quoted(c) for c in df.columns if c != column]
     flat = [F.coalesce(F.col(w), F.lit("")).alias(n)
-            for n, w, _ in _leaves(T.StructType([T.StructField("_doc", schema)]))]
-    renamed = [c.alias(f"{column}.{n.removeprefix('_doc.')}") for c, (n, _, _) in
-               zip(flat, _leaves(T.StructType([T.StructField("_doc", schema)])))]
+            for n, w, _ in _leaves(T.StructType([T.StructField(doc, schema)]))]
+    renamed = [c.alias(f"{column}.{n.removeprefix(doc + '.')}") for c, (n, _, _) in
+               zip(flat, _leaves(T.StructType([T.StructField(doc, schema)])))]
     return parsed.select(*others, *renamed)
 
 

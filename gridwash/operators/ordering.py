@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwash.operators.cells import quoted
-from gridwash.operators.segments import row_index, sort_columns, tie_break
+from gridwash.operators.naming import unused
+from gridwash.operators.segments import any_rows, row_index, sort_columns, tie_break
 
 # A top-n of this size is merged in one task; more rows go through the row index.
 SMALL_LIMIT = 100_000
@@ -36,19 +37,23 @@ def top_n(df: DataFrame, sort: Sequence[str | tuple[str, str]], n: int) -> DataF
     """The first n rows in the given order; the same total order, ties by hash, whatever n is."""
     if n <= SMALL_LIMIT:
         return df.orderBy(*sort_columns(sort), tie_break(df)).limit(n)
-    return row_index(df, sort, "_at").filter(F.col("_at") < n).drop("_at")
+    at = unused(df, "_at")[0]
+    return row_index(df, sort, at).filter(F.col(at) < n).drop(at)
 
 
 def cap_rows(df: DataFrame, n: int = 1_000_000, order_by: Sequence[str | tuple[str, str]] | None = None) -> DataFrame:
     """At most n rows: the first in order, or any n when the table has no order."""
-    return top_n(df, order_by, n) if order_by else df.limit(n)
+    if order_by:
+        return top_n(df, order_by, n)
+    return df.limit(n) if n <= SMALL_LIMIT else any_rows(df, n)
 
 
 def number_parts(df: DataFrame, order_by: Sequence[str | tuple[str, str]], rows_per_part: int = 1_000_000,
                  name: str = "part") -> DataFrame:
     """Part number from 1 so that every part but the last has exactly ``rows_per_part`` rows."""
     size = max(1, int(rows_per_part))
-    return row_index(df, order_by, "_at").withColumn(name, F.expr(f"_at div {size} + 1")).drop("_at")
+    at = unused(df, "_at")[0]
+    return row_index(df, order_by, at).withColumn(name, F.expr(f"`{at}` div {size} + 1")).drop(at)
 
 
 SORTABLE = {"created_at", "name", "row_count"}
@@ -77,7 +82,8 @@ def page_of(df: DataFrame, order_by: Sequence[str | tuple[str, str]], page: int,
     start = (page - 1) * page_size
     if start + page_size <= SMALL_LIMIT:
         return df.orderBy(*sort_columns(order_by), tie_break(df)).offset(start).limit(page_size)
-    return (row_index(df, order_by, "_at").filter(F.col("_at").between(start, start + page_size - 1)).drop("_at"))
+    at = unused(df, "_at")[0]
+    return row_index(df, order_by, at).filter(F.col(at).between(start, start + page_size - 1)).drop(at)
 
 
 def latest_for_parent(df: DataFrame, parent: str, value, order_by: Sequence[str | tuple[str, str]],

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwash.operators.cells import quoted
+from gridwash.operators.naming import unused
 from gridwash.operators.segments import join_same
+from gridwash.session import frozen
 
 # A key with more than this share of the rows is hot, so there are at most 1/share hot keys.
 HOT_SHARE = 0.001
@@ -16,31 +18,39 @@ HOT_SHARE = 0.001
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, at_least: int = 1_000_000) -> DataFrame:
     """Keys that hold more than a given share of all rows; never more than 1/share of them."""
-    counts = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    n = unused(keys, "_n")[0]
+    counts = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias(n))
     total = df.agg(F.count(F.lit(1)).alias("t"))
-    return counts.filter(F.col("_n") > F.greatest(F.lit(at_least), total.scalar() * share)).drop("_n")
+    return counts.filter(F.col(n) > F.greatest(F.lit(at_least), total.scalar() * share)).drop(n)
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, left_on: str, right_on: str, how: str = "inner",
                 split_hot: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
     """Attach the one matching lookup row to each fact; misses are dropped or kept by ``how``.
 
-    Spark picks the join by measured size and splits skewed partitions at run
-    time. ``split_hot`` takes hot keys out of the shuffle instead: their lookup
-    rows, at most 1/HOT_SHARE of them since the lookup key is unique, are sent to
-    the facts. A key needs ``hot_rows`` rows to be worth it.
+    Spark picks the join by measured size and splits skewed partitions at run time. ``split_hot`` takes hot keys out of the
+    shuffle instead: their lookup rows are sent to the facts where they are counted to be no more than the keys, of which
+    there are at most 1/HOT_SHARE; a lookup with several rows for a hot key is joined as Spark sees fit. A key needs
+    ``hot_rows`` rows to be worth it.
     """
-    def joined(f: DataFrame, side: DataFrame) -> DataFrame:
-        return f.join(side, f[left_on] == side[right_on], how)
+    def joined(f: DataFrame, side: DataFrame, kind: str) -> DataFrame:
+        return f.join(side, f[left_on] == side[right_on], kind)
 
     if not split_hot:
-        return joined(facts, lookup)
-    hot = hot_keys(facts.filter(quoted(left_on).isNotNull()), [left_on], at_least=hot_rows)
-    hot = F.broadcast(hot.select(quoted(left_on).alias("_hot")))
-    cold_facts = facts.join(hot, quoted(left_on) == F.col("_hot"), "left_anti")
-    hot_facts = facts.join(hot, quoted(left_on) == F.col("_hot"), "left_semi")
-    hot_lookup = lookup.join(hot, quoted(right_on) == F.col("_hot"), "left_semi")
-    return joined(cold_facts, lookup).unionByName(joined(hot_facts, F.broadcast(hot_lookup)))
+        return joined(facts, lookup, how)
+    kind = how.lower().replace("_", "").removesuffix("outer")
+    key = unused([*facts.columns, *lookup.columns], "_hot")[0]
+    hot = frozen(hot_keys(facts.filter(quoted(left_on).isNotNull()), [left_on], at_least=hot_rows)
+                 .select(quoted(left_on).alias(key)), "hot-keys")
+    few = F.broadcast(hot)
+    hot_lookup = lookup.join(few, quoted(right_on) == F.col(key), "left_semi")
+    if hot_lookup.limit(int(1 / HOT_SHARE) + 1).count() <= hot.count():
+        hot_lookup = F.broadcast(hot_lookup)
+    # Every hot key has facts, so the lookup rows that no fact matches are all with the cold ones.
+    within = {"right": "inner", "full": "left"}.get(kind, how)
+    cold = joined(facts.join(few, quoted(left_on) == F.col(key), "left_anti"),
+                  lookup.join(few, quoted(right_on) == F.col(key), "left_anti"), how)
+    return cold.union(joined(facts.join(few, quoted(left_on) == F.col(key), "left_semi"), hot_lookup, within))
 
 
 def first_child(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str,
@@ -49,8 +59,9 @@ def first_child(parents: DataFrame, children: DataFrame, parent_key: str, child_
 
     Children are reduced to one row per key before the join.
     """
-    first = children.groupBy(quoted(child_key).alias("_k")).agg(F.min(at).alias(name))
-    return parents.join(first, parents[parent_key] == first["_k"], "left").drop("_k")
+    key = unused([*parents.columns, name], "_k")[0]
+    first = children.groupBy(quoted(child_key).alias(key)).agg(F.min(at).alias(name))
+    return parents.join(first, parents[parent_key] == first[key], "left").drop(key)
 
 
 def owned_rows(df: DataFrame, owner: str, user) -> DataFrame:

@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridwash.operators.naming import unused
 from gridwash.session import frozen
 
 SEG, POS = "_seg", "_pos"
+HELPERS = (SEG, POS, "_mid", "_amount", "_start", "_local", "_first", "_carry", "_sum", "_rows")
 _POS_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -56,9 +58,11 @@ def hashable(df: DataFrame) -> list[Column]:
 
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, str]]) -> DataFrame:
     """The table sorted by keys and order over the cluster, with segment number and position."""
-    ids = (df.orderBy(*sort_columns(list(keys) + list(order)), tie_break(df))
-             .withColumn("_mid", F.monotonically_increasing_id()))
-    pinned = frozen(ids, "segments")
+    return _placed(df.orderBy(*sort_columns(list(keys) + list(order)), tie_break(df)))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    pinned = frozen(df.withColumn("_mid", F.monotonically_increasing_id()), "segments")
     return (pinned.withColumn(SEG, F.shiftright("_mid", _POS_BITS))
                   .withColumn(POS, F.col("_mid").bitwiseAND((1 << _POS_BITS) - 1))
                   .drop("_mid"))
@@ -71,9 +75,35 @@ def _before(per_segment: DataFrame, keys: Sequence[str], amount: str, out: str)
     return per_segment.withColumn(out, F.sum(amount).over(earlier))
 
 
+def _set_apart(df: DataFrame, *named: Sequence) -> tuple[DataFrame, dict[str, str], list[list]]:
+    """The table with its own columns out of the way of helper names, the way back, and lists of names or orders to match."""
+    own = [c for c in df.columns if c.lower() in HELPERS]
+    away = dict(zip(own, unused([*df.columns, *HELPERS], *own)))
+    by_lower = {c.lower(): new for c, new in away.items()}
+
+    def new(item):
+        name = item if isinstance(item, str) else item[0]
+        found = by_lower.get(name.lower(), name)
+        return found if isinstance(item, str) else (found, *item[1:])
+
+    return df.withColumnsRenamed(away), {v: k for k, v in away.items()}, [[new(i) for i in items] for items in named]
+
+
 def row_index(df: DataFrame, order: Sequence[str | tuple[str, str]], name: str = "row_index") -> DataFrame:
     """Exact 0-based position of each row in the given order over the whole table."""
-    seg = segmented(df, [], order)
+    df, back, (order,) = _set_apart(df, order)
+    return _positions(segmented(df, [], order), name).withColumnsRenamed(back)
+
+
+def any_rows(df: DataFrame, n: int) -> DataFrame:
+    """Some n rows, or all if there are fewer: whole partitions as they lie, and a part of one, without a sort or one task."""
+    df, back, _ = _set_apart(df)
+    at = unused(df, "_at")[0]
+    placed = _positions(_placed(df), at)
+    return placed.filter(F.col(at) < n).drop(at).withColumnsRenamed(back)
+
+
+def _positions(seg: DataFrame, name: str) -> DataFrame:
     counts = seg.groupBy(SEG).agg(F.count(F.lit(1)).alias("_rows"))
     # One row per segment, so as many as the sort has partitions.
     offsets = _before(counts, [], "_rows", "_start").select(SEG, F.coalesce("_start", F.lit(0)).alias("_start"))
@@ -85,7 +115,9 @@ def row_index(df: DataFrame, order: Sequence[str | tuple[str, str]], name: str =
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, str]],
                   amount: Column, name: str) -> DataFrame:
     """Sum of ``amount`` up to and including each row, per key."""
-    seg = segmented(df.withColumn("_amount", amount), keys, order)
+    summed = unused([*df.columns, *HELPERS], "_summed")[0]
+    df, back, (keys, order) = _set_apart(df.withColumn(summed, amount), keys, order)
+    seg = segmented(df.withColumnRenamed(summed, "_amount"), keys, order)
     cells = [F.col(f"`{k}`") for k in keys]
     local = Window.partitionBy(*cells, SEG).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     per = seg.groupBy(*cells, SEG).agg(F.sum("_amount").alias("_sum"))
@@ -93,7 +125,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str | tupl
     carried = _before(per, keys, "_sum", "_start").filter("_start IS NOT NULL").drop("_sum")
     joined = join_same(seg.withColumn(name, F.sum("_amount").over(local)), F.broadcast(carried), [*keys, SEG], "left")
     return (joined.withColumn(name, F.col(name) + F.coalesce("_start", F.lit(0)))
-                  .drop(SEG, POS, "_start", "_amount"))
+                  .drop(SEG, POS, "_start", "_amount").withColumnsRenamed(back))
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, str]],
@@ -105,6 +137,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str | tuple[str, str]],
                    column: str, name: str) -> DataFrame:
     """lag(column) per key, exact for keys of any size."""
+    df, back, (keys, order, (column,)) = _set_apart(df, keys, order, [column])
     seg = segmented(df, keys, order)
     cells = [F.col(f"`{k}`") for k in keys]
     local = Window.partitionBy(*cells, SEG).orderBy(POS)
@@ -117,7 +150,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str | tup
                .withColumn("_first", F.row_number().over(local) == 1))
     joined = join_same(rows, F.broadcast(carry), [*keys, SEG], "left")
     return (joined.withColumn(name, F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col("_local")))
-                  .drop(SEG, POS, "_local", "_first", "_carry"))
+                  .drop(SEG, POS, "_local", "_first", "_carry").withColumnsRenamed(back))
 
 
 # Large keys that are handled by sketch and band; with more of them, all keys go by rank.
@@ -135,8 +168,14 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "m
     keys a sketch gives a narrow band around the median; rows outside it are
     counted, rows inside it are ranked, and the result is exact.
     """
-    cells = [F.col(f"`{k}`") for k in keys]
-    filled = df.select(*cells, F.col(f"`{column}`").cast("double").alias("_v")).filter("_v IS NOT NULL")
+    names, keys = list(keys), [f"key{i}" for i in range(len(keys))]
+    filled = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, keys)],
+                       F.col(f"`{column}`").cast("double").alias("_v")).filter("_v IS NOT NULL")
+    return _exact_median(filled, keys, in_memory_rows, max_large_keys).toDF(*names, name)
+
+
+def _exact_median(filled: DataFrame, keys: Sequence[str], in_memory_rows: int, max_large_keys: int) -> DataFrame:
+    cells, name, spark = [F.col(k) for k in keys], "middle", filled.sparkSession
     large = filled.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > in_memory_rows)
     # One small row per large key, and never more than the limit of them.
     bands = large.limit(max_large_keys + 1).collect()
@@ -145,7 +184,6 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "m
     if not bands:
         picked = filled.groupBy(*cells).agg(F.median("_v").alias(name))
         return picked if keys else picked.filter(F.col(name).isNotNull())
-    spark = df.sparkSession
     listed = F.broadcast(spark.createDataFrame(bands, large.schema).drop("_rows"))
     hot = join_same(filled, listed, keys) if keys else filled
     found = _median_in_band(hot, keys, _bands(hot, keys), name)

@@ -64,7 +64,7 @@ def _pivot(df: DataFrame, by: Sequence[str], on: str, values: Sequence, agg: str
 def _limit(df: DataFrame, n: int, sort: Sequence | None = None) -> DataFrame:
     order = [(s["col"], s.get("dir", "asc")) if isinstance(s, dict) else tuple(s) if isinstance(s, list) else s
              for s in sort or []]
-    return ordering.top_n(df, order, n) if order else df.limit(n)
+    return ordering.cap_rows(df, n, order)
 
 
 def _update(df: DataFrame, set: dict[str, Any], where: str | Sequence[str] | None = None) -> DataFrame:
