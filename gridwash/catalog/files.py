@@ -80,6 +80,14 @@ def a1_texts(t: Tables):
     return readers.read_csv(t.spark, path)
 
 
+@query("a1_read_csv_parallel", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def a1_parallel(t: Tables):
+    """Whole documents, whose line breaks and quotes are all over the files, cut into records by many tasks per file."""
+    path = new_path(t.spark, "documents-csv")
+    writers.write_csv(t.documents, path)
+    return readers.read_csv(t.spark, path, parallel=True)
+
+
 @query("a2_read_csv_lenient_texts", CONVERSATIONS)
 def a2_texts(t: Tables):
     path = new_path(t.spark, "conversations-csv")
