@@ -142,7 +142,7 @@ def policy_scan(df: DataFrame, sql_column: str) -> DataFrame:
     pass, each distinct shape goes there once, a partition at a time, and its verdict is written to the shared folder and
     joined back. Stored steps come from few patterns; the shapes of arbitrary texts are as many as the texts.
     """
-    judged = policy.text_scan(df, sql_column)
+    judged = frozen(policy.text_scan(df, sql_column), "judged")  # the patterns run once, and not again in what follows
     key, kind, hit = unused([*judged.columns], "shape", "shape_verdict", "shape_blocked")
     shaped = judged.withColumn(key, F.when(F.col("verdict") == "ok", shape(F.col("cleaned_sql"))))
     verdicts = _shape_verdicts(shaped.filter(F.col(key).isNotNull()).select(F.col(key).alias("shape")).distinct())

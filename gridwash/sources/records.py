@@ -30,10 +30,10 @@ class QuoteRule:
 
     def patterns(self) -> tuple[re.Pattern, re.Pattern]:
         other = f"[^{re.escape(self.sep)}]"
-        cell = rf'(?:"(?:[^"]|"")*"{other}*|(?!"){other}*)'
+        cell = rf'(?:"(?:[^"]++|"")*+"{other}*|(?!"){other}*)'
         # Whole cells up to the end of the line, or up to a quote that opens a cell and is not closed.
         outside = re.compile(rf'{cell}(?:{re.escape(self.sep)}{cell})*\Z', re.S)
-        closing = re.compile(rf'(?:[^"]|"")*"(?!"){other}*(?:{re.escape(self.sep)}|\Z)', re.S)
+        closing = re.compile(rf'(?:[^"]++|"")*+"{other}*(?:{re.escape(self.sep)}|\Z)', re.S)
         return outside, closing
 
 

@@ -121,7 +121,7 @@ def test_large_files_are_cut_by_default(spark, splits, tmp_path):
 def test_line_states():
     states = LineStates(QuoteRule("|"))
     both = {"a|b": (False, True), '"a|b': (True, False), 'a"|b': (False, False), '"a""b"|c': (False, False), '""': (False, True),
-            '"': (True, False), '|"x"|"y': (True, True), 'a|"': (True, False), 'x"|"y"|z': (False, False), '""|"': (True, False)}
+            '"': (True, False), '|"x"|"y': (True, True), 'a|"': (True, False), 'x"|"y"|z': (False, False), '""|"': (True, False), '1|"so ""said"" he, | and ""x': (True, False), '"""a""|"': (False, True)}
     for line, want in both.items():
         assert states.both(line) == want, line
 
