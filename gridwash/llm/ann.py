@@ -140,6 +140,23 @@ def build(nodes: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relaxed: fl
     return edges
 
 
+class Frame:
+    """Coordinates of a shard for its graph: centred on its mean and scaled to at most 1 in double precision, then single.
+
+    Distances keep their order, whatever the place and size of the vectors. Scores are computed on the original ones.
+    """
+
+    def __init__(self, nodes: np.ndarray):
+        self.unit = np.abs(nodes).max(initial=0) or 1.0
+        self.centre = (nodes / self.unit).mean(axis=0)
+        self.spread = np.abs(nodes / self.unit - self.centre).max(initial=0) or 1.0
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            inside = (vectors / self.unit - self.centre) / self.spread
+        return np.clip(inside, -1e15, 1e15).astype(np.float32)  # a query may lie far outside
+
+
 def index(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, relaxed: float = RELAXED
           ) -> DataFrame:
     """Shards of ``id, v`` with their graphs: ``block, dims, ids, values, starts, edges``.
@@ -163,7 +180,7 @@ def index(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE, beam: in
                 place[order] = np.arange(len(order))
                 by_node = np.lexsort((ids, place[owner]))
                 starts = np.searchsorted(place[owner][by_node], np.arange(len(order) + 1))
-                edges = build(nodes[order].astype(np.float32), degree, beam, relaxed)
+                edges = build(Frame(nodes).of(nodes[order]), degree, beam, relaxed)
                 yield pd.DataFrame({"block": [row.block], "dims": [row.dims], "ids": [ids[by_node].tobytes()],
                                     "values": [nodes[order].tobytes()], "starts": [starts.astype(np.int64).tobytes()],
                                     "edges": [edges.astype(np.int32).tobytes()]})
@@ -183,8 +200,9 @@ def search(queries: DataFrame, graphs: DataFrame, k: int, degree: int = DEGREE,
         nodes = np.frombuffer(row["values"], dtype=np.float64).reshape(-1, row["dims"])
         ids, starts = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["starts"], dtype=np.int64)
         edges = np.frombuffer(row["edges"], dtype=np.int32).reshape(len(nodes), degree).astype(np.int64)
-        small = nodes.astype(np.float32)
-        found, _ = beam_search(small, (small ** 2).sum(axis=1), edges, q.astype(np.float32), max(beam, k + 1))
+        frame = Frame(nodes)
+        small = frame.of(nodes)
+        found, _ = beam_search(small, (small ** 2).sum(axis=1), edges, frame.of(q), max(beam, k + 1))
         at, slot = np.nonzero(found >= 0)
         node = found[at, slot]
         exact = np.sqrt(((q[at] - nodes[node]) ** 2).sum(axis=1))
@@ -211,7 +229,8 @@ def nearest(vectors: DataFrame, is_query, k: int, id_column: str = "vec_id", vec
 
     Ties go to the smaller id; fewer candidates give fewer rows. Vectors that are NULL, empty or zero, hold NULL or
     non-finite components or have no id take no part; vectors of different lengths do not meet. Rows with the query's id
-    are its own. Other columns, whatever their names, are not read.
+    are its own. Vectors may lie anywhere and be of any size whose squares a double holds. Other columns, whatever their names,
+    are not read. Each query visits every shard, so the work grows with queries times shards.
     """
     fine = vectors.filter(usable(vector_column, zero=False) & F.col(f"`{id_column}`").isNotNull()).select(
         F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"),

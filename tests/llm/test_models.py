@@ -260,6 +260,22 @@ def test_nearest_neighbours_recall_and_distances(spark):
     assert found[0] == [(i, 0.0) for i in range(750, 760)]
 
 
+@pytest.mark.parametrize("shift,scale", [(0.0, 1.0), (1e4, 1.0), (-1e7, 1.0), (0.0, 1e-25), (0.0, 1e20), (1e22, 1e20)])
+def test_recall_wherever_vectors_lie(spark, shift, scale):
+    """At the query's own settings: a number of vectors that one shard of 4,096 holds."""
+    v = vector_rows(1_200, 16, 7) * scale + shift
+    got = ann.nearest(vector_table(spark, v), F.col("vec_id") % 100 == 0, 10).collect()
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r.query_id, []).append(r.score)
+    near = 0
+    for q in range(0, 1_200, 100):
+        d = np.sort(np.sqrt(((v - v[q]) ** 2).sum(axis=1))[np.arange(1_200) != q])
+        assert len(by_query[q]) == 10
+        near += sum(s <= d[9] for s in by_query[q])
+    assert near >= 0.9 * 120
+
+
 def test_recall_on_given_embeddings(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = ann.nearest(rows, F.col("vec_id") % 100 == 0, 10, shard=512).toPandas()
