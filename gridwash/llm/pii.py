@@ -5,7 +5,8 @@ words that stand near a span adjust its score. Spans of the base kinds stay once
 also need a score of at least ``THRESHOLD``.
 
 A text is cut at the matches of a pattern, so positions are sums of the lengths of the pieces, and the neighbourhood of a
-match is the end of the piece before and the beginning of the piece after it. Patterns cannot run over the same
+match is the end of the piece before and the beginning of the piece after it. Sums run in two levels, over blocks of matches,
+since appending to an array copies it: time is linear in the matches for every text that fits a row. Patterns cannot run over the same
 characters again and again: repeats are possessive, and a match starts only where a run starts or the last match ended.
 """
 
@@ -21,6 +22,8 @@ from gridwash.llm.common import text_of
 THRESHOLD = 0.5
 NEAR = 40  # characters on each side that are searched for context words
 CONTEXT = 0.3  # what a context word adds to a score
+BLOCK = 256  # matches, or pieces of a masked text, that are put together at a time
+CHUNK = 1024  # characters of the parts that a text is cut in for masking, as a position in a long text is found from its start
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
 
 
@@ -74,6 +77,20 @@ def _sql(text: str) -> str:
     return "r'" + text.replace("'", "\\x27") + "'"
 
 
+def _running(items: str, start: str, entry: str, step: str) -> str:
+    """SQL of an array with one ``entry`` per element ``x`` of ``items``, and a number ``at`` carried from each to the next.
+
+    ``step`` gives ``item`` and the new ``at`` from ``a.at`` and ``x``. Elements are appended to arrays of at most ``BLOCK``.
+    """
+    inner = f"""aggregate(slice(all_items, block * {BLOCK} + 1, {BLOCK}),
+        struct(b.at AS at, CAST(array() AS array<{entry}>) AS found),
+        (a, x) -> transform(array({step}), r -> struct(r.at AS at, concat(a.found, array(r.item)) AS found))[0])"""
+    return f"""transform(array({items}), all_items -> flatten(aggregate(sequence(0, (size(all_items) - 1) div {BLOCK}),
+        struct({start} AS at, CAST(array() AS array<array<{entry}>>) AS blocks),
+        (b, block) -> transform(array({inner}), r -> struct(r.at AS at, concat(b.blocks, array(r.found)) AS blocks))[0],
+        b -> b.blocks)))[0]"""
+
+
 def _spans(kind: Kind) -> Column:
     """Confirmed spans of one kind in text ``t``."""
     pattern = _sql(kind.pattern)
@@ -81,10 +98,9 @@ def _spans(kind: Kind) -> Column:
     proposed = f"""transform(zip_with(zip_with({matches}, slice({pieces}, 1, size({pieces}) - 1), (m, p) -> struct(m, p)),
         slice({pieces}, 2, size({pieces})), (x, n) -> struct(x.m AS m, x.p AS p, n AS n)),
         x -> struct(length(x.p) AS ahead, length(x.m) AS long, x.m AS m, right(x.p, {NEAR}) AS p, left(x.n, {NEAR}) AS n))"""
-    placed = f"""aggregate({proposed},
-        struct(0 AS at, CAST(array() AS array<struct<start:int,end:int,m:string,p:string,n:string>>) AS found),
-        (a, x) -> struct(a.at + x.ahead + x.long AS at, concat(a.found, array(struct(a.at + x.ahead AS start,
-          a.at + x.ahead + x.long AS end, x.m AS m, x.p AS p, x.n AS n))) AS found), a -> a.found)"""
+    entry = "struct<start:int,end:int,m:string,p:string,n:string>"
+    placed = _running(proposed, "0", entry, """struct(struct(a.at + x.ahead AS start, a.at + x.ahead + x.long AS end,
+        x.m AS m, x.p AS p, x.n AS n) AS item, a.at + x.ahead + x.long AS at)""")
     score = f"""least(1D, {kind.score}D + CASE WHEN concat(x.p, '\\n', x.n) RLIKE {_sql(rf"(?i)(?<![A-Za-z])(?:{kind.words})(?![A-Za-z])")}
         THEN {CONTEXT}D ELSE 0D END)"""
     confirmed = f"filter({placed}, x -> {kind.confirm.replace('(m', '(x.m').replace('m RLIKE', 'x.m RLIKE')})"
@@ -123,12 +139,14 @@ def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
     A NULL text stays NULL and a text without spans stays as it is.
     """
     name = "spans_" + "_".join(docs.columns)  # cannot be a column of docs, being longer than each
-    masked = f"""concat(array_join(aggregate(array_sort(transform(`{name}`, s -> struct(s.start AS start, -s.end AS upto, s.kind AS kind))),
-        struct(0 AS at, CAST(array() AS array<string>) AS parts),
-        (a, s) -> CASE WHEN s.start < a.at THEN struct(greatest(a.at, -s.upto) AS at, a.parts AS parts)
-          ELSE struct(-s.upto AS at, concat(a.parts, array(substring(`{text_column}`, a.at + 1, s.start - a.at),
-            concat('[', upper(s.kind), ']'))) AS parts) END, a -> a.parts), ''),
-        substring(`{text_column}`, 1 + array_max(transform(`{name}`, s -> s.end))))"""
+    spans = f"array_sort(transform(`{name}`, s -> struct(s.start AS start, -s.end AS upto, s.kind AS kind)))"
+    # What stands before a span, from the one or more parts of the text that hold it.
+    piece = f"""substring(array_join(slice(chunks, a.at div {CHUNK} + 1, (x.start - 1) div {CHUNK} - a.at div {CHUNK} + 1), ''),
+        a.at % {CHUNK} + 1, x.start - a.at)"""
+    pieces = _running(spans, "0", "string", f"""CASE WHEN x.start < a.at THEN struct('' AS item, greatest(a.at, -x.upto) AS at)
+        ELSE struct(concat(CASE WHEN x.start > a.at THEN {piece} ELSE '' END, '[', upper(x.kind), ']') AS item, -x.upto AS at) END""")
+    masked = f"""transform(array(regexp_extract_all(`{text_column}`, '(?s).{{1,{CHUNK}}}', 0)), chunks -> concat(array_join({pieces}, ''),
+        substring(`{text_column}`, 1 + array_max(transform(`{name}`, s -> s.end)))))[0]"""
     found = find_pii(docs, text_column, name)
     text = F.when(F.size(F.col(f"`{name}`")) > 0, F.expr(masked)).otherwise(F.col(f"`{text_column}`"))
     return found.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])

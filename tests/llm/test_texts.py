@@ -309,3 +309,14 @@ def test_histogram_answers_every_limit(spark, ranks, library):
         assert r.n_tokens == n[max(0, int(np.ceil(r.share * len(n))) - 1)]
     empty = lengths.histogram(spark.createDataFrame([], "n_tokens long"))
     assert empty.count() == 0 and lengths.at_limits(empty, [5]).first().truncated_tokens == 0
+
+
+def test_very_many_spans_in_one_text(spark):
+    text = " ".join(f"mail user{i}@host{i}.example.org \U0001F4A1 call +1 555 010 {i % 9000 + 1000} ok" for i in range(6_000))
+    docs = spark.createDataFrame([(1, text), (2, "x" * 5_000 + " a@b.cd " + "y" * 3_000), (3, ""), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    assert [len(found[i]) for i in (1, 2, 3, 4)] == [12_000, 1, 0, 0]
+    assert all(text[s.start:s.end] == s.value for s in found[1])
+    masked = {r.doc_id: r.text for r in pii.mask_pii(docs).collect()}
+    assert masked[1] == " ".join("mail [EMAIL] \U0001F4A1 call [PHONE] ok" for _ in range(6_000))
+    assert masked[2] == "x" * 5_000 + " [EMAIL] " + "y" * 3_000 and masked[3] == "" and masked[4] is None
