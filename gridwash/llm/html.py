@@ -2,8 +2,11 @@
 
 A page is cut into blocks at block-level tags. What stands in elements for menus, headers, footers, sidebars, notices,
 adverts, forms or reader comments is out by its markup. The rest is judged by rules: pass one calls a block good or bad by
-its density of stop words, its length and the share of its characters inside links, and leaves short or middling blocks
-undecided; in pass two these inherit the label of the nearest decided block, first of the same container, then of the page.
+its density of stop words, its length and the share of its characters inside links, where neighbouring paragraphs of middling
+length are judged together, and leaves others undecided; in pass two these inherit the label of the nearest decided block,
+first of the same container, then of the page. Figures, names or lists have no stop words, which says nothing against them.
+Where the text of a page has hardly any stop word of the listed languages, its language is none of them, and length and links
+alone decide.
 
 Pages are independent rows: no shuffle, one page at a time in memory, time linear in its length.
 """
@@ -26,7 +29,8 @@ from gridwash.llm.common import bounded_batches, text_of
 LONG = 200  # characters from which a block can be good by itself
 SHORT = 70  # characters below which a block says nothing about itself
 DENSE = 0.3  # share of stop words of running text
-SPARSE = 0.05  # share below which a long block is no running text
+SPARSE = 0.05  # share below which a block is no running text
+FOREIGN = 0.15  # share below which the words of a page are of another language than the listed ones
 LINKED = 0.5  # share of characters inside links from which a block is a menu
 
 # Frequent function words of some languages.
@@ -189,23 +193,36 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def first_label(block: Block) -> str:
-    """Pass one: good, bad, or nothing where the block alone does not tell."""
-    if block.out:
-        return "bad"
-    if block.linked > LINKED * len(block.text):
-        return "bad"
-    if len(block.text) < SHORT:
-        return ""
-    if not block.article and "\N{COPYRIGHT SIGN}" in block.text and len(block.text) < LONG:
-        return "bad"
-    words = LETTERS.findall(block.text.lower())
-    dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if dense >= DENSE and len(block.text) >= LONG:
-        return "good"
-    if dense < SPARSE and not block.article:
-        return "bad"
-    return ""
+def first_labels(blocks: list[Block]) -> None:
+    """Pass one: good, bad, or nothing where a block and its neighbours do not tell."""
+    open_ = []  # blocks that say something about themselves: number, words, stop words
+    for i, b in enumerate(blocks):
+        if b.out or b.linked > LINKED * len(b.text):
+            b.label = "bad"
+        elif not b.article and "\N{COPYRIGHT SIGN}" in b.text and len(b.text) < LONG:
+            b.label = "bad" if len(b.text) >= SHORT else ""
+        elif len(b.text) >= SHORT:
+            words = LETTERS.findall(b.text.lower())
+            open_.append((i, len(words), sum(w in STOP_WORDS for w in words)))
+    if sum(stops for _, _, stops in open_) < FOREIGN * sum(words for _, words, _ in open_):
+        for i, words, _ in open_:  # bytes, as a character of some scripts says as much as a syllable
+            if words and len(blocks[i].text.encode("utf-8", "surrogatepass")) >= LONG:
+                blocks[i].label = "good"
+    run: list[tuple[int, int, int]] = []
+    for item in [*open_, None]:
+        if run and (item is None or item[0] != run[-1][0] + 1 or blocks[item[0]].container != blocks[run[-1][0]].container):
+            words, stops = sum(w for _, w, _ in run), sum(s for _, _, s in run)
+            if sum(len(blocks[i].text) for i, _, _ in run) >= LONG and stops >= DENSE * words:
+                for i, _, _ in run:
+                    blocks[i].label = "good"
+            run = []
+        if item is None:
+            break
+        i, words, stops = item
+        if stops >= DENSE * max(1, words) and len(blocks[i].text) >= LONG:
+            blocks[i].label = "good"
+        if stops >= SPARSE * max(1, words):  # a sparse block neither joins the paragraphs around it nor speaks against them
+            run.append(item)
 
 
 def nearest_labels(blocks: list[Block]) -> list[str]:
@@ -249,8 +266,7 @@ def nearest_labels(blocks: list[Block]) -> list[str]:
 def main_text(page: str | None) -> str:
     """Main text of one page: its good blocks in order, one per line; empty for NULL, empty or article-free pages."""
     blocks = blocks_of(page or "")
-    for b in blocks:
-        b.label = first_label(b)
+    first_labels(blocks)
     return "\n".join(b.text for b, label in zip(blocks, nearest_labels(blocks)) if label == "good")
 
 

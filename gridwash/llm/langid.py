@@ -3,7 +3,8 @@
 The pieces are those of a fixed public vocabulary. For every language the probabilities of its pieces are learned from
 word counts by expectation-maximisation: a forward and a backward pass over each distinct word give the expected number of
 uses of each piece over all segmentations. A word's probability is the sum over its segmentations (forward pass), a
-text's is the product over its words.
+text's is the product over its words. Words of any length are whole: the passes keep as many positions as the longest piece
+has bytes and rescale their sums as they go, so a run of letters without spaces is one word, in time linear in its length.
 
 Scale: training counts words in the map tasks, so the passes see each distinct word of a language once. The model is as
 large as vocabulary times languages, whatever the corpus; only such sums reach the driver. Prediction needs no shuffle.
@@ -26,7 +27,8 @@ from gridwash.llm.common import bounded_batches, text_of
 from gridwash.session import frozen
 
 ROUNDS = 2  # of expectation-maximisation
-PART = 48  # bytes; longer words are scored in parts of this length
+STRETCH = 4_096  # positions of a word whose pieces are looked up at a time
+RESCALE = 8  # positions after which the sums of a pass are brought back to about 1
 SMOOTH = 0.01  # uses that every piece starts with
 MAX_LANGUAGES = 1_000  # labels are a short list; more mean a wrong column, which is an error
 REMEMBERED = 200_000  # words whose scores a task keeps
@@ -47,10 +49,9 @@ def numbering() -> defaultdict:
     return numbers
 
 
-def parts_of(word: str) -> list[bytes]:
-    """The bytes of a word with the space before it, in parts of bounded length."""
-    whole = b" " + word.encode("utf-8", "surrogatepass")
-    return [whole[i:i + PART] for i in range(0, len(whole), PART)]
+def bytes_of(word: str) -> bytes:
+    """A word with the space before it."""
+    return b" " + word.encode("utf-8", "surrogatepass")
 
 
 class Pieces:
@@ -63,6 +64,7 @@ class Pieces:
 
     def __init__(self, pieces: Iterable[bytes]):
         self.names = sorted(pieces)
+        self.longest = max(map(len, self.names), default=1)
         self.bits = max(4, int(4 * len(self.names)).bit_length())
         self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
         self.values = np.full(1 << self.bits, len(self.names), dtype=np.int32)
@@ -81,16 +83,22 @@ class Pieces:
             key = key * int(self.BASE) + byte + 1 & (1 << 64) - 1
         return key
 
-    def find(self, parts: list[bytes]) -> np.ndarray:
-        """(parts, start, length - 1) -> piece, for parts of one length; ``len(self)`` where there is none."""
-        count, n = len(parts), len(parts[0])
-        letters = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(count, n).astype(np.uint64) + np.uint64(1)
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """(words, positions) -> hash of all bytes up to there, for words of one length."""
+        count, n = len(words), len(words[0])
+        letters = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(count, n).astype(np.uint64) + np.uint64(1)
         hashes = np.zeros((count, n + 1), dtype=np.uint64)
-        powers = np.array([pow(int(self.BASE), i, 1 << 64) for i in range(n + 1)], dtype=np.uint64)
         for i in range(n):
             hashes[:, i + 1] = hashes[:, i] * self.BASE + letters[:, i]
-        start, end = np.triu_indices(n)
-        keys = hashes[:, end + 1] - hashes[:, start] * powers[end - start + 1]
+        return hashes
+
+    def find(self, hashes: np.ndarray, first: int, last: int) -> np.ndarray:
+        """(words, end, length - 1) -> piece that ends at ``first`` < end <= ``last``; ``len(self)`` where there is none."""
+        wide = min(last, self.longest)
+        powers = np.array([pow(int(self.BASE), i, 1 << 64) for i in range(wide + 1)], dtype=np.uint64)
+        end, length = np.nonzero(np.arange(first + 1, last + 1)[:, None] >= np.arange(1, wide + 1)[None, :])
+        end, length = end + first + 1, length + 1
+        keys = hashes[:, end] - hashes[:, end - length] * powers[length]
         slots = (keys * self.SPREAD) >> np.uint64(64 - self.bits)
         held = self.keys[slots]
         numbers = np.where(held == keys, self.values[slots], len(self)).astype(np.int32)
@@ -103,8 +111,8 @@ class Pieces:
             numbers[open_[0][hit], open_[1][hit]] = self.values[at[hit]]
             more = ~hit & (held != 0)
             open_, at = (open_[0][more], open_[1][more]), at[more]
-        out = np.full((count, n, n), len(self), dtype=np.int32)
-        out[:, start, end - start] = numbers
+        out = np.full((len(hashes), last - first, wide), len(self), dtype=np.int32)
+        out[:, end - first - 1, length - 1] = numbers
         return out
 
 
@@ -116,42 +124,117 @@ class Model:
     table: np.ndarray  # probabilities of pieces x languages, with a last row of zeros
 
 
-def _by_length(parts: list[bytes], most: int = 2_000) -> Iterator[np.ndarray]:
-    """Indexes of parts of equal length, in blocks of bounded size."""
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    for n in np.unique(lengths):
-        where = np.flatnonzero(lengths == n)
-        step = max(1, most * 64 // int(n * n))
-        for at in range(0, len(where), step):
-            yield where[at:at + step]
+def _by_length(words: list[bytes], longest: int, most: int = 128_000) -> Iterator[np.ndarray]:
+    """Indexes of words of equal length, in blocks of bounded size."""
+    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    order = np.argsort(lengths, kind="stable")
+    for where in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+        if len(where):
+            n = int(lengths[where[0]])
+            step = max(1, most // (n * min(n, longest)))
+            for at in range(0, len(where), step):
+                yield where[at:at + step]
 
 
-def forward(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """(parts, positions, ...) sums over all segmentations up to each position; ``table`` has a last row of zeros."""
-    count, n = ids.shape[:2]
-    sums = np.zeros((count, n + 1, *table.shape[1:]))
-    sums[:, 0] = 1.0
-    for end in range(1, n + 1):
-        for start in range(end):
-            sums[:, end] += sums[:, start] * table[ids[:, start, end - start - 1]]
-    return sums
+def forward(words: list[bytes], pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of each word, for words of one length; ``table`` has a last row of zeros.
+
+    Sums of the last positions only are held, divided by the newest one every ``RESCALE`` positions.
+    """
+    n, hashes = len(words[0]), pieces.hashes(words)
+    back = min(n, pieces.longest)
+    logs = np.zeros((len(words), *table.shape[1:]))
+    sums = np.zeros((len(words), back + min(n, STRETCH), *table.shape[1:]))  # ``back`` positions before a stretch, then its own
+    sums[:, back - 1] = 1.0
+    for first in range(0, n, STRETCH):
+        last = min(n, first + STRETCH)
+        ids = pieces.find(hashes, first, last)
+        for i in range(last - first):
+            wide = min(first + i + 1, ids.shape[2])
+            at = back + i
+            sums[:, at] = np.einsum("cw...,cw...->c...", sums[:, at - wide:at][:, ::-1], table[ids[:, i, :wide]])
+            if (first + i + 1) % RESCALE == 0:
+                newest = np.where(sums[:, at] > 1e-250, sums[:, at], 1.0)
+                sums[:, at + 1 - back:at + 1] /= newest[:, None]
+                logs += np.log(newest)
+        if last < n:
+            sums[:, :back] = sums[:, last - first:last - first + back].copy()
+    return logs + np.log(np.maximum(sums[:, back + last - first - 1], 1e-300))
 
 
 def word_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for p in parts_of(w):
-            parts.append(p)
-            owner.append(i)
-    owner = np.array(owner, dtype=np.int64)
+    whole = [bytes_of(w) for w in words]
     out = np.zeros((len(words), table.shape[1]))
-    for where in _by_length(parts):
-        whole = forward(pieces.find([parts[i] for i in where]), table)[:, -1]
-        np.add.at(out, owner[where], np.log(np.maximum(whole, 1e-300)))
+    for where in _by_length(whole, pieces.longest):
+        out[where] = forward([whole[i] for i in where], pieces, table)
     return out
 
 
+def _pass(p, words: int, n: int, longest: int) -> np.ndarray:
+    """(words, positions) log sums over all segmentations up to each position.
+
+    ``p(i, wide)`` gives (words, length - 1) probabilities of pieces of up to ``wide`` bytes that end at position ``i``.
+    """
+    sums, logs = np.zeros((words, n + 1)), np.zeros((words, n + 1))
+    sums[:, 0] = 1.0
+    scale = np.zeros(words)
+    for i in range(1, n + 1):
+        wide = min(i, longest)
+        sums[:, i] = np.einsum("cw,cw->c", sums[:, i - wide:i][:, ::-1], p(i, wide))
+        logs[:, i] = scale
+        if i % RESCALE == 0:
+            newest = np.where(sums[:, i] > 1e-250, sums[:, i], 1.0)
+            near = slice(max(0, i + 1 - longest), i + 1)
+            sums[:, near] /= newest[:, None]
+            scale = scale + np.log(newest)
+            logs[:, near] = scale[:, None]
+    with np.errstate(divide="ignore"):
+        return np.log(sums) + logs
+
+
+def segment_uses(words: list[bytes], pieces: Pieces, column: np.ndarray, table: np.ndarray) -> Iterator[tuple]:
+    """``word, piece, share`` arrays: the posterior of each use of a piece, for words of one length in one language each."""
+    n, hashes = len(words[0]), pieces.hashes(words)
+    held: dict[int, tuple] = {}
+
+    def stretch(i: int) -> tuple[int, np.ndarray]:
+        """The stretch that ends at position ``i`` lie in, with its pieces; the two last used ones are kept."""
+        first = (i - 1) // STRETCH * STRETCH
+        if first not in held:
+            while len(held) > 1:
+                held.pop(next(iter(held)))
+            held[first] = pieces.find(hashes, first, min(n, first + STRETCH))
+        return first, held[first]
+
+    def before(i: int, wide: int) -> np.ndarray:
+        first, ids = stretch(i)
+        return table[ids[:, i - first - 1, :wide], column[:, None]]
+
+    def after(i: int, wide: int) -> np.ndarray:
+        """Pieces that start at ``n - i``: that of k bytes ends k further on."""
+        ids = np.empty((len(words), wide), dtype=np.int32)
+        k = 1
+        while k <= wide:  # ends in one stretch, then those in the next
+            first, found = stretch(n - i + k)
+            upto = min(wide, first + STRETCH - (n - i))
+            ks = np.arange(k, upto + 1)
+            ids[:, k - 1:upto] = found[:, n - i + ks - first - 1, ks - 1]
+            k = upto + 1
+        return table[ids, column[:, None]]
+
+    ahead = _pass(before, len(words), n, pieces.longest)
+    behind = _pass(after, len(words), n, pieces.longest)[:, ::-1]
+    for first in range(0, n, STRETCH):
+        first, ids = stretch(first + 1)
+        word, end, length = np.nonzero(ids < len(pieces))
+        piece = ids[word, end, length]
+        end = end + first + 1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.exp(ahead[word, end - length - 1] + np.log(table[piece, column[word]]) + behind[word, end] - ahead[word, n])
+        yield word, piece, np.nan_to_num(share, nan=0.0)
+
+
 def count_words(labelled: DataFrame) -> DataFrame:
     """``lang, word, n`` from rows of ``lang, text``, summed in the map tasks first; an empty word counts the texts."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,32 +259,12 @@ def expected_uses(counts: DataFrame, languages: list[str], pieces: Pieces, proba
         known, table = sent.value
         uses = np.zeros(table.shape)
         for batch in batches:
-            parts, column, times = [], [], []
-            for lang, word, n in zip(batch["lang"], batch["word"], batch["n"]):
-                for p in parts_of(word):
-                    parts.append(p)
-                    column.append(place[lang])
-                    times.append(n)
-            column, times = np.array(column, dtype=np.int64), np.array(times, dtype=np.float64)
-            for where in _by_length(parts):
-                ids, nth = known.find([parts[i] for i in where]), column[where]
-                size = ids.shape[1]
-                p = table[ids, nth[:, None, None]]
-                ahead = np.zeros((len(where), size + 1))
-                behind = np.zeros((len(where), size + 1))
-                ahead[:, 0] = behind[:, size] = 1.0
-                for end in range(1, size + 1):
-                    for start in range(end):
-                        ahead[:, end] += ahead[:, start] * p[:, start, end - start - 1]
-                for start in range(size - 1, -1, -1):
-                    for end in range(start + 1, size + 1):
-                        behind[:, start] += p[:, start, end - start - 1] * behind[:, end]
-                share = times[where] / np.maximum(ahead[:, size], 1e-300)
-                for start in range(size):
-                    for end in range(start + 1, size + 1):
-                        at = start, end - start - 1
-                        np.add.at(uses, (ids[:, at[0], at[1]], nth),
-                                  ahead[:, start] * p[:, at[0], at[1]] * behind[:, end] * share)
+            words = [bytes_of(w) for w in batch["word"]]
+            column = np.array([place[lang] for lang in batch["lang"]], dtype=np.int64)
+            times = batch["n"].to_numpy(np.float64)
+            for where in _by_length(words, known.longest):
+                for word, piece, share in segment_uses([words[i] for i in where], known, column[where], table):
+                    np.add.at(uses, (piece, column[where][word]), share * times[where][word])
         piece, nth = np.nonzero(uses[:-1])
         yield pd.DataFrame({"nth": nth.astype(np.int32), "piece": piece.astype(np.int32), "uses": uses[piece, nth]})
 

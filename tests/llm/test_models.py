@@ -54,11 +54,62 @@ def test_pieces_are_found_where_they_are():
     rnd = random.Random(1)
     for n in (1, 2, 9, 48):
         parts = [bytes(rnd.choice(b"abcdefgh the\xc3\xa9\x00\xff") for _ in range(n)) for _ in range(60)]
-        found = pieces.find(parts)
-        for k, p in enumerate(parts):
-            for i in range(n):
-                for j in range(i + 1, n + 1):
-                    assert found[k, i, j - i - 1] == number.get(p[i:j], len(names))
+        hashes = pieces.hashes(parts)
+        for first, last in ((0, n), (n // 3, n), (0, max(1, n // 2))):
+            found = pieces.find(hashes, first, last)
+            for k, p in enumerate(parts):
+                for end in range(first + 1, last + 1):
+                    for size in range(1, found.shape[2] + 1):
+                        want = number.get(p[end - size:end], len(names)) if size <= end else len(names)
+                        assert found[k, end - first - 1, size - 1] == want
+
+
+def log_passes(word, table):
+    """Log sums over all segmentations up to and from each position, one number at a time."""
+    def add(values):
+        top = max(values, default=-math.inf)
+        return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+
+    n, log = len(word), {p: math.log(table[i]) for p, i in PIECES.items()}
+    ahead, behind = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for end in range(1, n + 1):
+        ahead[end] = add([ahead[end - len(p)] + v for p, v in log.items() if word[:end].endswith(p)])
+    for start in range(n - 1, -1, -1):
+        behind[start] = add([v + behind[start + len(p)] for p, v in log.items() if word.startswith(p, start)])
+    return ahead, behind, log
+
+
+@pytest.mark.parametrize("stretch", [4, 16, 4_096])
+def test_long_words_are_whole(monkeypatch, stretch):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    rng = np.random.default_rng(3)
+    pieces = langid.Pieces(VOCABULARY)
+    for size in (1, 7, 47, 48, 60, 2_000):  # 2,000 bytes are far below the smallest double
+        table = rng.random((len(PIECES) + 1, 2)) / 1_000
+        table[-1] = 0
+        words = ["".join(rng.choice(list("abc"), size)) for _ in range(2)]
+        got = langid.word_scores(words, pieces, table)
+        uses = np.zeros((2, len(PIECES)))
+        for word, piece, share in langid.segment_uses([langid.bytes_of(w) for w in words], pieces, np.array([0, 1]), table):
+            np.add.at(uses, (word, piece), share)
+        for k, w in enumerate(words):
+            whole = b" " + w.encode()
+            for lang in (0, 1):
+                assert got[k, lang] == pytest.approx(log_passes(whole, table[:, lang])[0][-1], rel=1e-9)
+            ahead, behind, log = log_passes(whole, table[:, k])
+            for p, i in PIECES.items():
+                want = sum(math.exp(ahead[at] + log[p] + behind[at + len(p)] - ahead[-1])
+                           for at in range(len(whole)) if whole.startswith(p, at))
+                assert uses[k, i] == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
+def test_bytes_that_no_piece_has():
+    pieces = langid.Pieces([b" ", b"a", b"b", b" a", b"ab"])
+    table = np.full((6, 1), 0.01)
+    table[-1] = 0
+    assert np.isfinite(langid.word_scores(["abxab", "x" * 300], pieces, table)).all()
+    shares = [s for _, _, s in langid.segment_uses([b" x"], pieces, np.array([0]), table)]
+    assert all((s == 0).all() for s in shares)
 
 
 def test_expected_uses_by_hand(spark):
@@ -165,6 +216,38 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+PARAGRAPH = "The house of the family was on the edge of the town and they had lived in it for a very long time, far from the mill."
+FIGURES = "12,4 34,5 55,6 | 2019 2020 2021 | 4455 3321 998 | 12,4 34,5 55,6 | 2019 2020 2021 | 4455 3321 998 kWh"
+OTHER = {
+    "pl": "Dom rodziny stał na skraju miasta i mieszkali w nim przez bardzo długi czas, niedaleko rzeki płynącej w dolinie starego "
+          "młyna. Latem dzieci bawiły się nad wodą, a dorośli pracowali w polu do późnego wieczora, kiedy słońce zachodziło.",
+    "ja": "その家族の家は町のはずれにあり、彼らはとても長い間そこに住んでいました。古い水車のある谷を流れる川からも遠くありませんでした。夏になると"
+          "子供たちは水辺で遊び、大人たちは夕方遅くまで畑で働いていました。",
+}
+
+
+def in_content(*blocks, tag="p"):
+    return "<div class='content'>" + "".join(f"<{tag}>{b}</{tag}>" for b in blocks) + "</div>"
+
+
+@pytest.mark.parametrize("blocks", [
+    [PARAGRAPH] * 6, [PARAGRAPH] * 6 + [FIGURES], [FIGURES] + [PARAGRAPH] * 6, [PARAGRAPH, PARAGRAPH, FIGURES, PARAGRAPH, PARAGRAPH],
+    [OTHER["pl"]] * 3, [OTHER["ja"]] * 3, [OTHER["pl"], "Krótko.", FIGURES, OTHER["pl"]], [PARAGRAPH], [FIGURES],
+])
+def test_no_article_vanishes(blocks):
+    menu = "<div><a href=1>" + PARAGRAPH + "</a> <a href=2>" + PARAGRAPH + "</a></div>"
+    assert html.main_text(in_content(*blocks)) == "\n".join(blocks)
+    if len(blocks) > 1:
+        assert html.main_text(menu + in_content(*blocks) + menu) == "\n".join(blocks)
+
+
+def test_lists_and_tables_stay_with_their_article():
+    items = [f"Reading number {i} taken at the well" for i in range(8)]
+    page = in_content(PARAGRAPH, PARAGRAPH) + "<div><ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul><table><tr><td>" \
+        + FIGURES + "</td></tr></table></div>" + in_content(PARAGRAPH, PARAGRAPH)
+    assert html.main_text(page) == "\n".join([PARAGRAPH] * 2 + items + [FIGURES] + [PARAGRAPH] * 2)
+
+
 def test_pages_of_any_size_and_columns(spark):
     rows = [(1, "u", f"<article>{'<p>' + LINE + '</p>'}</article>" * 1, 5), (1, "u", None, 5), (None, None, "<p>" * 30_000 + "x", None),
             (2, "u", "<article><p>" + LINE * 20_000 + "</p></article>", 6), (3, "u", '<a href="' * 3_000, 6)]
