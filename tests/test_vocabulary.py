@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import plan, rows
 
-from gridwash.functions.similarity import jaro_winkler
+from gridwash.functions.similarity import jaro_winkler, pair_scores
 from gridwash.operators import vocabulary
 
 
@@ -65,3 +66,36 @@ def test_order_decides_ties_and_empty_tables(spark):
     assert rows(vocabulary.fuzzy_match(df.limit(0), "v", listed.select("e"))) == []
     with pytest.raises(ValueError):
         vocabulary.fuzzy_match(df, "v", listed.select("e"), 0)
+
+
+def numbered(n):
+    return [f"Supplier#{i:09d}" for i in range(n)], [f"Suplier {i:09d}" for i in range(n)]
+
+
+def test_numbered_names_meet_few_others(spark):
+    entries, values = numbered(200)
+    known = spark.createDataFrame([(e, e) for e in entries], "entry string, place string")
+    rarity = vocabulary._byte_order(known)
+    known = known.withColumn("tokens", vocabulary._tokens(rarity)("entry"))
+    asked = spark.createDataFrame([(v,) for v in values], "value string").withColumn("tokens", vocabulary._tokens(rarity)("value"))
+    met = {(r.value, r.entry) for r in vocabulary.candidates(asked, known, 0.94).collect()}
+    reached = {(v, e) for v in values for e in entries if jaro_winkler(v.encode(), e.encode()) >= 0.94}
+    assert reached <= met and len(met) <= 6 * len(values)
+
+
+def test_kinds_in_several_packs_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "PACK", 2)
+    monkeypatch.setattr(vocabulary, "BLOCK", 3)
+    entries, values = numbered(130)
+    entries, values = [*entries[::3], "Tupplier", "S"], [*values[:60], *values[100:], "supplier", "Sup", "x" * 90]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = vocabulary.fuzzy_match(df, "v", spark.createDataFrame([(e,) for e in entries], "e string"))
+    assert dict(rows(got)) == by_all_pairs(values, entries, 0.7)
+
+
+def test_scores_of_many_pairs_are_those_of_each():
+    rnd = random.Random(5)
+    texts = [*words(6, 120)[1], *("ab" * 30 + c for c in "cdé"), "x" * 80, "a", "é"]
+    left, right = [t.encode() for t in texts], [t.encode() for t in reversed(texts)]
+    at = np.array([(rnd.randrange(len(left)), rnd.randrange(len(right))) for _ in range(3000)] + [(i, len(left) - 1 - i) for i in range(len(left))])
+    assert pair_scores(left, right, at[:, 0], at[:, 1]).tolist() == [jaro_winkler(left[i], right[j]) for i, j in at]
